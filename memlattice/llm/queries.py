@@ -1,8 +1,8 @@
 """All driver queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import packing, sharding, simhash, topk
+from . import packing, quality, sharding, simhash, topk, toxicity
 
-MODULES = (simhash, packing, sharding, topk)
+MODULES = (simhash, toxicity, quality, packing, sharding, topk)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}

@@ -1,8 +1,8 @@
 """All driver queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import langid, packing, quality, sharding, simhash, topk, toxicity, vectors
+from . import langid, lines, packing, quality, sharding, simhash, topk, toxicity, vectors
 
-MODULES = (langid, simhash, toxicity, quality, packing, sharding, topk, vectors)
+MODULES = (langid, simhash, toxicity, quality, packing, sharding, topk, vectors, lines)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in getattr(m, "SQL", {}).items()}

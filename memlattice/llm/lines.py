@@ -53,7 +53,7 @@ def repeated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     """(id, h, pos, n): the chunks to remove from the document of this id and hash of text.
 
     Hashes are counted first, so that only chunks that may repeat are moved with their text, and groups of equal chunks
-    are reduced before they are shuffled.
+    are reduced before they are shuffled. The joins are sort-merge joins at every size: neither side is bounded.
     """
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.explode(chunks(F.col(text_col), every, long_bytes)).alias("c"))
     src = src.select("id", "h", "c.pos", "c.n", "c.body", F.octet_length("c.body").alias("bytes"))
@@ -61,9 +61,9 @@ def repeated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     src = src.withColumn("k", F.xxhash64("body"))
     many = scratch.write(src.groupBy("k").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k"), "many")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "pos")
-    found = scratch.write(src.join(many, "k", "left_semi").select("id", "h", "pos", "n", "k", "body"), "candidates")
+    found = scratch.write(src.join(many.hint("merge"), "k", "left_semi").select("id", "h", "pos", "n", "k", "body"), "candidates")
     first = found.groupBy("k", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    return scratch.write(found.join(first, ["k", "body"]).where(F.col("first") != place).select("id", "h", "pos", "n"), "removed")
+    return scratch.write(found.join(first.hint("merge"), ["k", "body"]).where(F.col("first") != place).select("id", "h", "pos", "n"), "removed")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, long_bytes: int = LONG, least_bytes: int = LEAST) -> DataFrame:
@@ -73,7 +73,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every
     gone = gone.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("_gone"))
     gone = scratch.write(gone.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.expr("flatten(transform(_gone, x -> sequence(x.pos, x.pos + x.n - 1)))").alias("_lines")), "gone")
     on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
-    wide = docs.join(gone, on, "left")
+    wide = docs.join(gone.hint("merge"), on, "left")
     left = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_lines", i))
     text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     kept = [(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns]

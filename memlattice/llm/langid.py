@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import Query, Scratch, crc_mod, hash_sample, table
 
-#: Columns of a vector; documents of a language to learn from, at most about; centroids a language; bytes of text at a time.
-COLUMNS, ROWS, CENTROIDS, STEP = 4096, 1500, 4, 1 << 20
+#: Columns of a vector; documents of a language, and of all, to learn from, at most about; centroids a language; bytes of
+#: text at a time.
+COLUMNS, ROWS, ALL_ROWS, CENTROIDS, STEP = 4096, 1000, 4000, 4, 1 << 20
 _gap = re.compile(r"[\W\d_]+")
 
 
@@ -44,7 +45,7 @@ def counts(text: str, columns: int = COLUMNS) -> np.ndarray:
 
 
 def unit(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(x) * idf
+    v = np.log1p(x.astype(np.float32)) * idf
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
 
@@ -64,8 +65,8 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 @dataclass
 class Model:
-    idf: np.ndarray = field(default_factory=lambda: np.ones(COLUMNS))
-    centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, COLUMNS)))
+    idf: np.ndarray = field(default_factory=lambda: np.ones(COLUMNS, np.float32))
+    centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, COLUMNS), np.float32))
     names: list[str] = field(default_factory=list)  #: of the centroids
     least: dict[str, float] = field(default_factory=dict)  #: cosine below which a language is rejected
 
@@ -76,7 +77,7 @@ def fit(x: np.ndarray, langs: list[str], k: int = CENTROIDS, reject: float = 0.0
     if not len(x):
         return Model()
     y = np.array(langs)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
     v = unit(x, idf)
     names = sorted(set(langs))
     middle = np.stack([v[y == n].mean(axis=0) for n in names])
@@ -93,37 +94,32 @@ def fit(x: np.ndarray, langs: list[str], k: int = CENTROIDS, reject: float = 0.0
 
 
 def train(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from about ``rows`` documents of each language, chosen by a hash of id, none of which is held out."""
+    """A model from about ``rows`` documents of each language (fewer where there are so many languages that they would
+    pass ALL_ROWS), chosen by a hash of id, none of which is held out. The driver gets a vector of each, no text."""
     spark = docs.sparkSession
     known = docs.where((crc_mod(F.col(id_col), 5) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = docs.where((crc_mod(F.col(id_col), 5) != 0) & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().collect()
+    each = min(rows, ALL_ROWS // max(1, len(sizes)) + 1)
     part = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30))
     share = F.lit(0)
     for lang, n in sorted((r[0], r[1]) for r in sizes):
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, rows / n) * (1 << 30)))).otherwise(share)
-    chosen = known.where(part < share).limit(2 * rows * max(1, len(sizes)))
+        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, each / n) * (1 << 30)))).otherwise(share)
+    chosen = known.where(part < share).limit(2 * each * max(1, len(sizes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, value = [], []
-            for t in b.column("text"):
-                c = counts(t.as_py())
-                at.append(np.flatnonzero(c).astype(np.int32))
-                value.append(c[at[-1]])
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int64()))], names=["id", "lang", "at", "value"])
+            vectors = [counts(t.as_py()).astype("<u4").tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(vectors, pa.binary())], names=["id", "lang", "v"])
 
-    got = Scratch(spark, "langid").write(chosen.mapInArrow(run, "id long, lang string, at array<int>, value array<long>"), "vectors").collect()
-    got.sort(key=lambda r: (r.id, r.lang, r.at, r.value))
-    x = np.zeros((len(got), COLUMNS), np.float32)
-    for row, r in zip(x, got):
-        row[r.at] = r.value
-    return fit(x, [r.lang for r in got])
+    got = Scratch(spark, "langid").write(chosen.mapInArrow(run, "id long, lang string, v binary"), "vectors").orderBy("id", "lang", "v").toArrow()
+    x = np.frombuffer(b"".join(got.column("v").to_pylist()), "<u4").astype(np.float32).reshape(-1, COLUMNS)
+    return fit(x, got.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row; score is the cosine to the nearest centroid, 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.idf.astype(np.float32), model.centroids.astype(np.float32), model.names, model.least))
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.names, model.least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, centroids, names, least = shared.value

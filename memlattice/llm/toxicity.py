@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Query, Scratch, crc_mod, labelled_sample, table
 
@@ -130,19 +131,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     return fit([r[1:] for r in found])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row."""
+def mark(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``_score``."""
     shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.weights, model.bias))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinary, toxic, weights, bias = shared.value
         o, t = compressor(ordinary), compressor(toxic)
         for b in batches:
-            x = np.array([gains(s.as_py(), o, t) for s in b.column(1)]).reshape(-1, FEATURES)
+            x = np.array([gains(s.as_py(), o, t) for s in b.column(names.index(text_col))]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(weights) + bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*names, "_score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) for each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return mark(rows, model).select("doc_id", F.col("_score").alias("score"))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -72,9 +72,9 @@ def current_truths(spark, sf):
     return S.scoped(V.memories(spark, sf), "en").where("valid_to IS NULL").select(*BRIEF)
 
 
-@query(f"WITH {ENT} SELECT id, kind, name FROM ent WHERE name = 'FRANCE'")
+@query(f"WITH {ENT} SELECT id, kind, name FROM ent WHERE name = 'Customer#000000042'")
 def entity_by_name(spark, sf):
-    return V.entities(spark, sf).where("name = 'FRANCE'").select("id", "kind", "name")
+    return V.entities(spark, sf).where("name = 'Customer#000000042'").select("id", "kind", "name")
 
 
 AUDIT = f"id, actor_id, event_type, target_id, {siso('recorded_at')} AS recorded_at"

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return note
 
 
-from . import q_graph, q_ingest, q_lifecycle, q_redaction, q_retrieval, q_scans, q_usage  # noqa: E402, F401
+from . import q_context, q_graph, q_ingest, q_lifecycle, q_matching, q_redaction, q_retrieval, q_scans, q_streaming, q_usage  # noqa: E402, F401

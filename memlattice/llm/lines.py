@@ -63,6 +63,7 @@ def repeated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "pos")
     found = scratch.write(src.join(many.hint("merge"), "k", "left_semi").select("id", "h", "pos", "n", "k", "body"), "candidates")
     first = found.groupBy("k", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    first = scratch.write(first, "first")  # with a shuffle of its own, the join's large groups can be split
     return scratch.write(found.join(first.hint("merge"), ["k", "body"]).where(F.col("first") != place).select("id", "h", "pos", "n"), "removed")
 
 

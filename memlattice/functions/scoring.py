@@ -12,7 +12,8 @@ from .text import choose, strip
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """``x`` within bounds; null stays null (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def micros(since: Column, until: Column) -> Column:

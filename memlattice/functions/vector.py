@@ -18,7 +18,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def semantic(a: Column, b: Column) -> Column:
     """Cosine held to 0 .. 1; 0 where there is none."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b))), F.lit(0.0))
+    x = cosine(a, b)
+    return F.when(x.isNull() | (x < 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), x))
 
 
 def deterministic_embedding(text: Column, dims: int) -> Column:

@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import Query, table
 
 MARK = "▁"
+#: Begins the stand-in names of control pieces: a code point that is no character.
+HIDDEN = "\ufdd0"
+LOOKS_LIKE_BYTE = re.compile("<0x[0-9A-F]{2}>")
 #: Kinds of pieces and models in the file format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
@@ -94,7 +97,9 @@ def build(spec: Spec, cache: int = 400_000):
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     usable = {p: i for i, (p, _, kind) in enumerate(spec.pieces) if kind in (NORMAL, USER)}
-    unknown = spec.pieces[spec.unknown][0]
+    # Pieces that no text may give keep their ids under names that no text has.
+    names = [p if kind in (NORMAL, USER, BYTE) else f"{HIDDEN}{i};" for i, (p, _, kind) in enumerate(spec.pieces)]
+    unknown = names[spec.unknown]
     if spec.kind == BPE:
         score = {p: spec.pieces[i][1] for p, i in usable.items()}
         pairs = []
@@ -103,10 +108,10 @@ def build(spec: Spec, cache: int = 400_000):
                 if p[:k] in usable and p[k:] in usable:
                     pairs.append((-score[p], usable[p], usable[p[:k]], usable[p[k:]], p[:k], p[k:]))
         merges = [x[4:] for x in sorted(pairs)]
-        model = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges=merges, unk_token=unknown, fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=cache)
+        model = models.BPE(vocab={p: i for i, p in enumerate(names)}, merges=merges, unk_token=unknown, fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=cache)
     else:
-        low = min((s for _, s, k in spec.pieces if k == NORMAL), default=0.0)
-        model = models.Unigram([(p, s if k in (NORMAL, USER) else low - 10) for p, s, k in spec.pieces], unk_id=spec.unknown, byte_fallback=spec.byte_fallback)
+        low = lowest(spec)
+        model = models.Unigram([(n, s if k in (NORMAL, USER) else low) for n, (_, s, k) in zip(names, spec.pieces)], unk_id=spec.unknown, byte_fallback=spec.byte_fallback)
     tok = Tokenizer(model)
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.squeeze:
@@ -119,11 +124,43 @@ def build(spec: Spec, cache: int = 400_000):
     tok.normalizer = normalizers.Sequence(steps)
     if not any(re.search(f"[^{space}]{space}", p) for p in usable):  # no piece goes over the start of a word
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{space}+[^{space}]*|[^{space}]+"), "isolated")
-    tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.prefix else [])])
+    tok.decoder = decoders.Sequence([decoders.Replace(Regex(f"{HIDDEN}[0-9]+;"), ""), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.prefix else [])])
     tok.add_tokens([AddedToken(p, normalized=False) for p, _, k in spec.pieces if k == USER])
     return tok
 
 
+def lowest(spec: Spec) -> float:
+    return min((s for _, s, k in spec.pieces if k == NORMAL), default=0.0)
+
+
+def best_path(word: str, spec: Spec, usable: dict[str, int], longest: int) -> list[int]:
+    """The unigram model's ids for a word, by dynamic programming. For words that spell out a byte piece's name, which
+    the tokenizer would take for the piece."""
+    penalty, score, back = lowest(spec) - 10, [0.0], [(0, -1)]
+    for end in range(1, len(word) + 1):
+        options = [(score[k] + spec.pieces[usable[word[k:end]]][1], -k, usable[word[k:end]]) for k in range(max(0, end - longest), end) if word[k:end] in usable]
+        if word[end - 1] not in usable:
+            options.append((score[end - 1] + penalty, 1 - end, -1))
+        value, k, piece = max(options)
+        score.append(value)
+        back.append((-k, piece))
+    at, path = len(word), []
+    while at:
+        start, piece = back[at]
+        path.append((piece, word[start:at]))
+        at = start
+    byte = {p: i for i, (p, _, k) in enumerate(spec.pieces) if k == BYTE}
+    ids: list[int] = []
+    for piece, part in reversed(path):
+        if piece >= 0:
+            ids.append(piece)
+        elif spec.byte_fallback:
+            ids += [byte[f"<0x{b:02X}>"] for b in part.encode()]
+        elif not ids or ids[-1] != spec.unknown:
+            ids.append(spec.unknown)
+    return ids
+
+
 class Codec:
     """Encodes and decodes by a rebuilt tokenizer. Where words can be told apart without loss, each distinct word is
     given to the tokenizer once, in multithreaded batches, and remembered (``room`` of them at most); it is then also
@@ -155,6 +192,11 @@ class Codec:
             for x in (self.known, self.unequal, self.lossy):
                 x.clear()
         ids = [array("I", e.ids) for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
+        if self.spec.kind == UNIGRAM and self.spec.byte_fallback:
+            usable = {p: i for i, (p, _, k) in enumerate(self.spec.pieces) if k == NORMAL}
+            for k, w in enumerate(words):
+                if LOOKS_LIKE_BYTE.search(w):
+                    ids[k] = array("I", best_path(w, self.spec, usable, max(map(len, usable))))
         self.known.update(zip(words, (x.tobytes() for x in ids)))
         theirs = self.own.encode([w.removeprefix(MARK).replace(MARK, " ") for w in words], num_threads=1)
         for k, w in enumerate(words):

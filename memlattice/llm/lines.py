@@ -72,13 +72,15 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated(docs, scratch, id_col, text_col, every, long_bytes, least_bytes)
     gone = gone.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("_gone"))
-    gone = scratch.write(gone.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.expr("flatten(transform(_gone, x -> sequence(x.pos, x.pos + x.n - 1)))").alias("_lines")), "gone")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
-    wide = docs.join(gone.hint("merge"), on, "left")
-    left = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_lines", i))
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    kept = [(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    return wide.select(*kept, F.when(F.col("_lines").isNull(), F.lit(0).cast("long")).otherwise(F.size("_lines").cast("long")).alias("_removed_lines"))
+    gone = scratch.write(gone.select("id", "h", F.expr("flatten(transform(_gone, x -> sequence(x.pos, x.pos + x.n - 1)))").alias("places")), "gone")
+    # The document travels as one value, so that none of its columns can clash with a name used here.
+    text = F.col(f"`{text_col}`")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("key"), F.xxhash64(text).alias("hash"))
+    wide = whole.join(gone.hint("merge"), F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left")
+    body = F.col("doc").getField(text_col)
+    left = F.array_join(F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains("places", i)), "\n")
+    kept = [(F.when(F.col("places").isNull(), body).otherwise(left) if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns]
+    return wide.select(*kept, F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.size("places")).cast("long").alias("_removed_lines"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -55,3 +55,11 @@ def slug(email: Column) -> Column:
 
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def weighted_terms(title: Column, content: Column, tags: Column) -> Column:
+    """Search terms with the weight of the best place that they stand in: title A, content B, tags C."""
+    part = lambda x, w: F.transform(terms(x), lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
+    a, b = terms(title), terms(content)
+    fresh = lambda x, w, seen: F.filter(part(x, w), lambda t: ~F.array_contains(seen, t["term"]))
+    return F.concat(part(title, "A"), fresh(content, "B", a), fresh(F.concat_ws(" ", tags), "C", F.array_union(a, b)))

@@ -103,3 +103,9 @@ def question(name: Column) -> Column:
 
 def utility_delta(confidence: Column) -> Column:
     return F.when(confidence >= 0.5, 0.05).otherwise(-0.05)
+
+
+def mark_stale(summaries: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    """``summaries`` with is_stale set for the keys whose sources changed."""
+    hit = changed.select(key).distinct().withColumn("_hit", F.lit(True))
+    return summaries.join(hit, key, "left").withColumn("is_stale", F.col("is_stale") | F.coalesce("_hit", F.lit(False))).drop("_hit")

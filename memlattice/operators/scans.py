@@ -63,3 +63,13 @@ def affected(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def has_scope(scopes: Column, wanted: str) -> Column:
+    """Whether a key's scopes hold the one wanted, or 'admin'; a scope is compared whole, never by its letters."""
+    return F.coalesce(F.array_contains(scopes, wanted) | F.array_contains(scopes, "admin"), F.lit(False))
+
+
+def same_tenant(header: Column, asked: Column) -> Column:
+    """Whether a request stays within the tenant of its key."""
+    return F.coalesce(header == asked, F.lit(False))

@@ -6,7 +6,7 @@ from ..functions import domains as D
 from ..functions import text
 from ..operators import context as C
 from ..sources import views as V
-from .ctes import ENT, GOA, LNK, MEM, case, strip
+from .ctes import ENT, GOA, LNK, MEM, case, strip, terms
 from .registry import query
 
 CAT = case("memory_type", D.CATEGORY, "'facts'")
@@ -124,3 +124,23 @@ def dream_log(spark, sf):
     d = V.memories(spark, sf).where(F.col("last_accessed_at") < V.at(V.DOCS_NOW)).withColumn("n", F.row_number().over(w)).where("n <= 50")
     g = d.groupBy("user_id").agg(F.count(F.lit(1)).alias("memory_count"), F.sort_array(F.collect_list("id")).alias("ids"))
     return g.select("user_id", "memory_count", F.array_join(F.slice("ids", 1, 10), ",").alias("first_ids"))
+
+
+@query(f"""WITH {MEM}, c AS (SELECT user_id, count(*) AS n FROM mem GROUP BY user_id), s AS (SELECT DISTINCT user_id FROM mem WHERE id % 31 = 0)
+SELECT c.user_id, n, s.user_id IS NOT NULL AS is_stale FROM c LEFT JOIN s ON s.user_id = c.user_id""")
+def compression_stale(spark, sf):
+    """Summaries of users whose memories changed since."""
+    m = V.memories(spark, sf)
+    made = m.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("is_stale", F.lit(False))
+    return C.mark_stale(made, m.where("id % 31 = 0"), "user_id").select("user_id", "n", "is_stale")
+
+
+@query(f"""WITH {MEM}, t AS (SELECT id, {terms('title')} AS a, {terms('content')} AS b, {terms("array_to_string(tags, ' ')")} AS c FROM mem)
+SELECT id, CAST(len(a) AS BIGINT) AS n_a, CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS BIGINT) AS n_b,
+  CAST(len(list_filter(c, lambda x: NOT list_contains(a, x) AND NOT list_contains(b, x))) AS BIGINT) AS n_c FROM t""")
+def weighted_terms(spark, sf):
+    """The search vector that is kept with a memory: how many terms have each weight."""
+    w = text.weighted_terms(F.col("title"), F.col("content"), F.col("tags"))
+    m = V.memories(spark, sf).select("id", w.alias("w"))
+    n = lambda k: F.size(F.filter("w", lambda t: t["weight"] == k)).cast("long")
+    return m.select("id", n("A").alias("n_a"), n("B").alias("n_b"), n("C").alias("n_c"))

@@ -222,3 +222,14 @@ def update_delete(spark, sf):
         F.when(i % 7 == 3, F.struct(F.lit(4).alias("seq"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("memory_state"), F.lit(None).cast("boolean").alias("is_pinned"))),
     ])).alias("c")).where("c IS NOT NULL").select("id", "c.*")
     return S.apply_changes(base, log)
+
+
+SCOPES = "['read', 'write', 'readonly', 'admin'][c_custkey % 4 + 1]"
+
+
+@query(f"SELECT c_custkey AS id, {SCOPES} IN ('read', 'admin') AS may_read, c_custkey % 6 = c_custkey % 3 AS own_tenant FROM customer")
+def scope_check(spark, sf):
+    """Keys that may read (a scope that only holds the letters does not count), and requests within their tenant."""
+    i = F.col("c_custkey")
+    k = V.load(spark, sf, "customer").withColumn("scopes", F.array(V.pick(["read", "write", "readonly", "admin"], i % 4)))
+    return k.select(i.alias("id"), S.has_scope(F.col("scopes"), "read").alias("may_read"), S.same_tenant(i % 6, i % 3).alias("own_tenant"))

@@ -38,7 +38,7 @@ def usage_event_page(spark, sf):
     """A page, and how many rows all pages have."""
     m = V.meter_events(spark, sf).where("tenant_id = 3")
     rows = page(m, F.desc("recorded_at"), F.col("id"), offset=50, limit=50)
-    return rows.join(F.broadcast(m.agg(F.count(F.lit(1)).alias("total")))).select("id", "event_type", F.round("units", 6).alias("units"), "total")
+    return rows.select("id", "event_type", F.round("units", 6).alias("units"), m.agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 PERIODS = f"""{MET}, per AS (SELECT tenant_id, CAST(day(recorded_at) AS BIGINT) // 10 AS period, sum(units) AS used, count(*) AS requests, tenant_id % 4 <> 1 AS open FROM met GROUP BY ALL),

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..sources import views as V
 from ..streaming import metering as S
+from .q_usage import BUCKET
 from .registry import query
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -33,7 +34,7 @@ def stream_idempotent(spark, sf):
     return once.groupBy("actor_id").agg(F.count(F.lit(1)).alias("n_types"))
 
 
-@query(None)
+@query(BUCKET)
 def stream_token_bucket(spark, sf):
     """Rate limits as keyed state; the same rule as rate_limit_bucket."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -84,9 +84,19 @@ def idempotent_ingest(spark, sf):
     return U.first_within(m, ["actor_id", "event_type"], "recorded_at", 24, "id").select("id", "actor_id", "event_type")
 
 
-@query(None)
+BUCKET = """WITH RECURSIVE m AS (SELECT event_id AS id, user_id AS actor_id, date_diff('second', TIMESTAMP '2024-01-01', ts) // 36000 AS s FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY actor_id ORDER BY s, id) AS n FROM m),
+f AS (SELECT actor_id, n, id, true AS allowed, s AS since, CAST(3 AS BIGINT) AS tokens FROM o WHERE n = 1
+  UNION ALL SELECT o.actor_id, o.n, o.id, least(4, f.tokens + (o.s - f.since) * 2) >= 1,
+    CASE WHEN least(4, f.tokens + (o.s - f.since) * 2) >= 1 THEN o.s ELSE f.since END,
+    CASE WHEN least(4, f.tokens + (o.s - f.since) * 2) >= 1 THEN least(4, f.tokens + (o.s - f.since) * 2) - 1 ELSE f.tokens END
+  FROM f JOIN o ON o.actor_id = f.actor_id AND o.n = f.n + 1)
+SELECT id, actor_id, allowed FROM f"""
+
+
+@query(BUCKET)
 def rate_limit_bucket(spark, sf):
-    """Requests of each actor, ten minutes as one second, against the smallest plan with a burst of four."""
+    """Requests of each actor, ten hours as one second, against the smallest plan of two a second with a burst of four."""
     m = V.meter_events(spark, sf)
     quick = F.timestamp_add("SECOND", F.floor(F.timestamp_diff("SECOND", V.at("2024-01-01 00:00:00"), F.col("recorded_at")) / 36000).cast("int"), V.at("2024-01-01 00:00:00"))
     return U.rate_limited(m.withColumn("at", quick), "actor_id", "at", "id", 2, 4).select("id", "actor_id", "allowed")

@@ -102,6 +102,9 @@ def token_bucket(requests: DataFrame, key: str, request: str, ts: str, rate: int
 def drain(stream: DataFrame, name: str, mode: str = "append", **options: str) -> DataFrame:
     """Runs a stream over what there is now and gives its result as a table; for tests and small reports."""
     w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        w = w.option("checkpointLocation", f"{shared}/{name}")
     for k, v in options.items():
         w = w.option(k, v)
     w.start().awaitTermination()

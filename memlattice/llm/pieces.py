@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,7 +169,7 @@ class Codec:
 
     def __init__(self, raw: bytes, room: int = 800_000):
         import sentencepiece
-        from tokenizers import normalizers
+        from tokenizers import normalizers, pre_tokenizers
 
         self.spec, self.room = parse(raw), room
         self.tok, self.bare = build(self.spec), build(self.spec)
@@ -176,35 +177,48 @@ class Codec:
         self.split, self.plain = None, not self.spec.charsmap and not self.spec.squeeze and self.spec.prefix and self.spec.escape
         if self.spec.escape and self.spec.prefix and self.bare.pre_tokenizer is not None and not any(k == USER for _, _, k in self.spec.pieces):
             self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
         self.spelling = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, _, k in self.spec.pieces]
         self.known: dict[str, bytes] = {}
-        self.unequal: set[str] = set()  #: words for which SentencePiece gives other ids
-        self.lossy: set[str] = set()  #: words that their ids don't spell
 
     def normalize(self, text: str) -> str:
         if self.plain:
             return MARK + text.replace(" ", MARK) if text else ""
         return self.tok.normalizer.normalize_str(text)
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.room:
-            for x in (self.known, self.unequal, self.lossy):
-                x.clear()
-        ids = [array("I", e.ids) for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as native 32-bit numbers; 256 words are one item of the multithreaded batch."""
+        items = [words[k : k + 256] for k in range(0, len(words), 256)]
+        out: list[bytes] = []
+        for e in self.bare.encode_batch(items, is_pretokenized=True, add_special_tokens=False):
+            raw = array("I", e.ids).tobytes()
+            cuts = (np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)) * 4).tolist()
+            out += [raw[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(raw)])]
         if self.spec.kind == UNIGRAM and self.spec.byte_fallback:
             usable = {p: i for i, (p, _, k) in enumerate(self.spec.pieces) if k == NORMAL}
             for k, w in enumerate(words):
                 if LOOKS_LIKE_BYTE.search(w):
-                    ids[k] = array("I", best_path(w, self.spec, usable, max(map(len, usable))))
-        self.known.update(zip(words, (x.tobytes() for x in ids)))
+                    out[k] = array("I", best_path(w, self.spec, usable, max(map(len, usable)))).tobytes()
+        return out
+
+    def learn(self, words: list[str]) -> tuple[dict[str, bytes], set[str], set[str]]:
+        """(ids of the words, those for which SentencePiece gives others, those that their ids don't spell). Words with
+        a flaw are not remembered, so that they are told each time."""
+        ids = dict(zip(words, self.word_ids(words)))
         theirs = self.own.encode([w.removeprefix(MARK).replace(MARK, " ") for w in words], num_threads=1)
         for k, w in enumerate(words):
             if not w.strip(MARK):  # blanks at the end of a text: nothing is marked without something before it
                 theirs[k] = self.own.encode("a" + " " * len(w))[len(self.own.encode("a")) :]
+        unequal = {w for (w, x), y in zip(ids.items(), theirs) if x != array("I", y).tobytes()}
         spelling = self.spelling
-        self.unequal.update(w for w, x, y in zip(words, ids, theirs) if x != array("I", y))
-        self.lossy.update(w for w, x in zip(words, ids) if b"".join([spelling[i] for i in x]) != w.encode())
+        lossy = {w for w, y in zip(words, theirs) if w not in unequal and b"".join([spelling[i] for i in y]) != w.encode()}
+        lossy |= {w for w in unequal if b"".join([spelling[i] for i in array("I", ids[w])]) != w.encode()}
+        if len(self.known) + len(words) > self.room:
+            self.known.clear()
+        self.known.update(ids)
+        for w in unequal | lossy:
+            del self.known[w]
+        return ids, unequal, lossy
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """For each text: its ids as native 32-bit numbers, whether SentencePiece gives the same, and whether they
@@ -216,14 +230,14 @@ class Codec:
                 out.append((raw.tobytes(), raw == array("I", y), b"".join([self.spelling[i] for i in e.ids]) == self.normalize(t).encode()))
             return out
         split = [self.split(self.normalize(t)) for t in texts]
-        wanted = set().union(*split)
-        new = sorted(wanted.difference(self.known))
-        if len(self.known) + len(new) > self.room:
-            new = sorted(wanted)  # learn() forgets the rest
-        if new:
-            self.learn(new)
-        known, unequal, lossy = self.known, self.unequal, self.lossy
-        return [(b"".join([known[w] for w in ws]), not unequal or unequal.isdisjoint(ws), not lossy or lossy.isdisjoint(ws)) for ws in split]
+        get = self.known.get
+        parts = [list(map(get, ws)) for ws in split]
+        new = {w for ws, found in zip(split, parts) for w, x in zip(ws, found) if x is None}
+        fresh, unequal, lossy = self.learn(sorted(new)) if new else ({}, set(), set())
+        return [
+            (b"".join([fresh[w] if x is None else x for w, x in zip(ws, found)]), not unequal or unequal.isdisjoint(ws), not lossy or lossy.isdisjoint(ws))
+            for ws, found in zip(split, parts)
+        ]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)

@@ -1,8 +1,7 @@
 """From raw documents to packed training sequences: quality, toxicity, repeated passages, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and is written and read again
-before the next. All but the last return the columns of ``documents``. Rows without an id stay where a decision needs
-none. Learned stages learn from the labels in ``sf_dir`` and the documents that reach them.
+before the next. All but the last return the columns of ``documents``. Learned stages learn from the labels in ``sf_dir`` and the documents that reach them.
 """
 
 from __future__ import annotations
@@ -17,29 +16,32 @@ from memlattice.llm.common import Scratch, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is under 0.7."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    stats = {n: c for n, c in quality.statistics(F.coalesce(F.col("text"), F.lit(""))).items() if any(n == x for r, _ in model.rules for x, _, _ in r)}
-    wide = docs.select(*docs.columns, *[c.alias(f"_{n}") for n, c in stats.items()])
-    return wide.where(model.column({n: F.col(f"_{n}") for n in stats}) >= 0.7).select(*docs.columns)
+    return quality.mark(docs, model).where("score >= 0.7").select("doc.*")
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.3 or more."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.mark(docs, model).where("_score < 0.3").select(*docs.columns)
+    return toxicity.mark(docs, model).where("score < 0.3").select("doc.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes chunks of lines that occur earlier; a document whose text goes altogether stays, with an empty one."""
-    out = lines.clean(docs)
-    n = F.when(F.col("_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    count = "_removed"
+    while count in docs.columns:
+        count += "_"
+    out = lines.clean(docs, count_col=count)
+    n = F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of SimHash near-duplicates, the document with the smallest id (once, if it is repeated)."""
+    """Keeps, of each group of SimHash near-duplicates, the document with the smallest id (once, if it is repeated), and
+    all rows without an id, as no group can be named after them."""
     found = simhash.near_duplicates(docs)
     names = Scratch(spark, "kept").write(found.where("id = component").select("id").distinct(), "ids")
-    return docs.join(names, docs.doc_id == names.id, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(names, docs.doc_id == names.id, "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(docs.doc_id.isNull()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

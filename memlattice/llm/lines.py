@@ -67,8 +67,8 @@ def repeated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     return scratch.write(found.join(first.hint("merge"), ["k", "body"]).where(F.col("first") != place).select("id", "h", "pos", "n"), "removed")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, long_bytes: int = LONG, least_bytes: int = LEAST) -> DataFrame:
-    """``docs`` with ``text_col`` cleaned and a column ``_removed_lines``: how many lines went."""
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, long_bytes: int = LONG, least_bytes: int = LEAST, count_col: str = "_removed_lines") -> DataFrame:
+    """``docs`` with ``text_col`` cleaned and a column ``count_col``: how many lines went."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated(docs, scratch, id_col, text_col, every, long_bytes, least_bytes)
     gone = gone.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("_gone"))
@@ -80,7 +80,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every
     body = F.col("doc").getField(text_col)
     left = F.array_join(F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains("places", i)), "\n")
     kept = [(F.when(F.col("places").isNull(), body).otherwise(left) if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns]
-    return wide.select(*kept, F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.size("places")).cast("long").alias("_removed_lines"))
+    return wide.select(*kept, F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.size("places")).cast("long").alias(count_col))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -148,12 +148,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     return fit(x, got["y"].to_numpy(float), got["fold"].to_numpy(), got["weight"].to_numpy(float), list(stats))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row: a projection, without a shuffle."""
+def mark(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(doc, score): each row of ``docs`` as one value, so that no name can clash, and its score; a projection, without
+    a shuffle. Statistics are columns of their own, so that rules that share one don't compute it again."""
     used = {n for r, _ in model.rules for n, _, _ in r}
     stats = {n: c for n, c in statistics(F.coalesce(F.col(text_col), F.lit(""))).items() if n in used}
-    wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(n) for n, c in stats.items()])
-    return wide.select("doc_id", model.column({n: F.col(n) for n in stats}).alias("score"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(n) for n, c in stats.items()])
+    return wide.select("doc", model.column({n: F.col(n) for n in stats}).alias("score"))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) for each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return mark(rows, model).select("doc.doc_id", "score")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -132,25 +132,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 
 
 def mark(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``_score``."""
+    """(doc, score): each row of ``docs`` as one value, so that no name can clash, and its score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.ordinary, model.toxic, model.weights, model.bias))
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordinary, toxic, weights, bias = shared.value
         o, t = compressor(ordinary), compressor(toxic)
         for b in batches:
-            x = np.array([gains(s.as_py(), o, t) for s in b.column(names.index(text_col))]).reshape(-1, FEATURES)
+            x = np.array([gains(s.as_py(), o, t) for s in b.column(0).field(text_col)]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(weights) + bias, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["doc", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return mark(rows, model).select("doc_id", F.col("_score").alias("score"))
+    return mark(rows, model).select("doc.doc_id", "score")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

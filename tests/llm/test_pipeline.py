@@ -43,3 +43,19 @@ def test_pipeline_of_nothing(spark):
 
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_odd_documents_pass_all_stages(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns whose names the stages use themselves."""
+    rows = [(1, None, 0), (2, "", 0), (3, "one text", 8), (3, "one text", 8), (None, "no id", 5), (4, "one text", 8), (5, " ".join(f"w{i % 500}" for i in range(30_000)), 1)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, doc string, score double, _removed string, id string, comp string, `a.b` int"
+    docs = spark.createDataFrame([(i, t, None, None, n, "d", 0.5, "r", "i", "c", 1) for i, t, n in rows], kind)
+    for k, (_, stage) in enumerate(P.STAGES):
+        columns = docs.columns
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == columns
+        if k == 2:
+            before = docs.count()
+    assert before >= 3 and docs.where("doc_id IS NULL").count() == 1 and docs.where("doc_id = 3").count() == 1

@@ -56,7 +56,7 @@ def test_op2(spark, docs):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
-@pytest.mark.parametrize(("name", "label", "least", "right"), [("op3_toxicity", "toxic", 0.3, 0.85), ("op5_quality", "quality", 0.7, 0.9)])
+@pytest.mark.parametrize(("name", "label", "least", "right"), [("op3_toxicity", "toxic", 0.3, 0.85), ("op5_quality", "quality", 0.7, 0.85)])
 def test_op3_and_op5(spark, docs, name, label, least, right):
     got = {r.doc_id: r for r in QUERIES[name](spark, SF).collect()}
     assert set(got) == set(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= least) and r.held_out == (crc(r.doc_id) % 4 == 2) for r in got.values())
@@ -102,7 +102,9 @@ def test_op7(spark, docs):
         slots.setdefault(r.shard, []).append(r.slot)
         at.setdefault(text, set()).add(r.shard)
     assert set(load) <= set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(map(len, at.values())) == 1
+    share = sum(load.values()) / 40
+    copies = {t: sum(docs[r.doc_id].text == t for r in rows) for t in at}
+    assert all(len(s) == 1 for t, s in at.items() if copies[t] * (len(t.encode()) + 16) <= share)
 
 
 def test_op8(spark):

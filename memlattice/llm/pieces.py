@@ -93,7 +93,7 @@ def parse(raw: bytes) -> Spec:
     return out
 
 
-def build(spec: Spec, cache: int = 400_000):
+def build(spec: Spec, cache: int = 10_000):
     """The tokenizers.Tokenizer that encodes as the model does; ``cache``: words whose merges are remembered."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
@@ -167,7 +167,7 @@ class Codec:
     given to the tokenizer once, in multithreaded batches, and remembered (``room`` of them at most); it is then also
     held against what SentencePiece gives for it, and spelled out from its ids again."""
 
-    def __init__(self, raw: bytes, room: int = 800_000):
+    def __init__(self, raw: bytes, room: int = 600_000):
         import sentencepiece
         from tokenizers import normalizers, pre_tokenizers
 

@@ -19,3 +19,19 @@ def could_reach(left: Column, right: Column, least: float) -> Column:
     """False only where the lengths alone keep the ratio under ``least``: a lossless test before the UDF."""
     a, b = F.length(left), F.length(right)
     return 2.0 * F.least(a, b) >= least * (a + b)
+
+
+def ratio_from(least: float):
+    """A UDF (left, right) -> the ratio where it is ``least`` or more, else 0. Cheaper bounds are tried first, which
+    never lie under the ratio, so nothing that counts is lost."""
+
+    @F.pandas_udf(T.DoubleType())
+    def found(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, m = [], SequenceMatcher(None)
+        for a, b in zip(left, right):
+            m.set_seqs((a or "").lower(), (b or "").lower())
+            near = m.real_quick_ratio() >= least and m.quick_ratio() >= least
+            out.append(x if near and (x := m.ratio()) >= least else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return found

@@ -23,7 +23,7 @@ def best_match(incoming: DataFrame, existing: DataFrame, block: list[str], key:
     where none is similar by ``least`` or more, and never a row with similarity 0."""
     theirs = existing.select(*block, F.col(key).alias("match"), F.col(text).alias("_theirs"))
     pairs = incoming.join(theirs, block).where(F.col(key) != F.col("match")).where(Sim.could_reach(F.col(text), F.col("_theirs"), least))
-    pairs = pairs.select(key, "match", Sim.ratio(F.col(text), F.col("_theirs")).alias("similarity")).where((F.col("similarity") >= least) & (F.col("similarity") > 0))
+    pairs = pairs.select(key, "match", Sim.ratio_from(least)(F.col(text), F.col("_theirs")).alias("similarity")).where((F.col("similarity") >= least) & (F.col("similarity") > 0))
     w = Window.partitionBy(key).orderBy(F.desc("similarity"), "match")
     top = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return incoming.join(top, key, "left")
@@ -61,7 +61,7 @@ def contradictions(new: DataFrame, current: DataFrame, block: list[str]) -> Data
     b = current.select(*block, F.col("id").alias("old_id"), F.col("title").alias("_b"), F.col("content").alias("_bc"))
     pairs = a.join(b, block).where((F.col("new_id") != F.col("old_id")) & (strip(F.col("_ac")) != strip(F.col("_bc"))))
     pairs = pairs.where(Sim.could_reach(F.col("_a"), F.col("_b"), D.CONTRADICTION_FROM))
-    return pairs.where(Sim.ratio(F.col("_a"), F.col("_b")) >= D.CONTRADICTION_FROM).select("new_id", "old_id")
+    return pairs.where(Sim.ratio_from(D.CONTRADICTION_FROM)(F.col("_a"), F.col("_b")) >= D.CONTRADICTION_FROM).select("new_id", "old_id")
 
 
 def supersede(current: DataFrame, pairs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

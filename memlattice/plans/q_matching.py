@@ -15,36 +15,40 @@ def comparison_text(spark, sf):
     return V.memories(spark, sf).select("id", F.sha2(text.comparison_text(F.col("title"), F.col("content")), 256).alias("digest"))
 
 
+BLOCK = ["organization_id", "user_id", "memory_type"]
+
+
 @query(None)
 def dedup_decision(spark, sf):
-    """Even memories are incoming, odd ones are there: discard, merge or store, by the most similar of the same tenant
-    and kind."""
-    m = V.memories(spark, sf).select("id", "organization_id", "memory_type", F.left(text.comparison_text(F.col("title"), F.col("content")), F.lit(400)).alias("t"))
-    out = M.best_match(m.where("id % 2 = 0"), m.where("id % 2 = 1"), ["organization_id", "memory_type"], "id", "t", 0.85)
+    """Every other memory of a tenant, user and kind is incoming, the rest are there: discard, merge or store, by the
+    most similar of the block."""
+    m = V.memories(spark, sf).select("id", *BLOCK, text.comparison_text(F.col("title"), F.col("content")).alias("t"))
+    late = F.floor(F.col("id") / 550) % 2 == 1
+    out = M.best_match(m.where(late), m.where(~late), BLOCK, "id", "t", 0.85)
     return out.select("id", "match", F.round("similarity", 6).alias("similarity"), M.dedup_decision(F.col("similarity")).alias("decision"))
 
 
 @query(None)
 def dedup_sequential(spark, sf):
-    """Each user's memories in turn, every one against those stored before it."""
-    m = V.memories(spark, sf).select("id", "organization_id", "user_id", F.left("title", F.lit(60)).alias("t"))
-    return M.sequential_dedup(m, ["organization_id", "user_id"], "id", "t")
+    """A user's memories of a kind in turn, every one against those stored before it."""
+    m = V.memories(spark, sf).select("id", *BLOCK, F.left("title", F.lit(60)).alias("t"))
+    return M.sequential_dedup(m, BLOCK, "id", "t")
 
 
 @query(None)
 def entity_resolution(spark, sf):
-    """Parts as mentions against parts as entities of the same kind: linked above 0.8, else created."""
-    p = V.load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    out = M.best_match(p.where("id % 3 = 0"), p.where("id % 3 > 0"), ["kind"], "id", "name", 0.5)
+    """Parts as mentions against parts as entities of the same owner and kind: linked above 0.8, else created."""
+    p = V.load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), (F.col("p_size") % 10).alias("owner"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    out = M.best_match(p.where("id % 3 = 0"), p.where("id % 3 > 0"), ["kind", "owner"], "id", "name", 0.5)
     linked = F.coalesce(F.col("similarity") > 0.8, F.lit(False))
     return out.select("id", "match", F.round("similarity", 6).alias("similarity"), F.when(linked, "link").otherwise("create").alias("decision"))
 
 
 @query(None)
 def truth_contradictions(spark, sf):
-    """Pairs of current memories of one tenant and kind with like titles and other contents."""
-    m = V.memories(spark, sf).where("valid_to IS NULL").select("id", "organization_id", "memory_type", "title", "content")
-    return M.contradictions(m, m, ["organization_id", "memory_type"])
+    """Pairs of current memories of one tenant, user and kind with like titles and other contents."""
+    m = V.memories(spark, sf).where("valid_to IS NULL").select("id", *BLOCK, "title", "content")
+    return M.contradictions(m, m, BLOCK)
 
 
 PAIRS = "par AS (SELECT a.id AS new_id, b.id AS old_id FROM mem a JOIN mem b ON a.id = b.id + 550 AND b.valid_to IS NULL)"

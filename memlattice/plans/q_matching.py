@@ -6,7 +6,7 @@ from ..functions import text
 from ..functions.text import iso
 from ..operators import matching as M
 from ..sources import views as V
-from .ctes import ENT, GOA, LNK, MEM, strip, iso as siso
+from .ctes import GOA, LNK, MEM, strip, iso as siso
 from .registry import query
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Query, Scratch, crc_mod, hash_sample, table
+from .common import Query, Scratch, crc_mod, table
 
 #: Columns of a vector; documents of a language, and of all, to learn from, at most about; centroids a language; bytes of
 #: text at a time.

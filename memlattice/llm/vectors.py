@@ -77,12 +77,25 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
+def met_before(earlier: pa.Array) -> np.ndarray:
+    """Which pairs of members share a leaf of an earlier tree, given each one's leaves there: those were compared."""
+    n, sizes = len(earlier), np.diff(earlier.offsets.to_numpy())
+    codes = earlier.flatten().to_numpy(zero_copy_only=False)
+    if not len(codes):
+        return np.zeros((n, n), bool)
+    names, column = np.unique(codes, return_inverse=True)
+    held = np.zeros((n, len(names)), np.float32)
+    held[np.repeat(np.arange(n), sizes), column] = 1
+    return held @ held.T > 0
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row.
 
     The forest is fitted on a sample of SAMPLE vectors of one length and indexes every vector. A leaf is compared
     within one label, in cells of two groups of CELL at most, so a crowded leaf is many tasks. Links are pairs of
-    distinct vectors whose cosine was computed; trees that find one twice are reconciled by a distinct.
+    distinct vectors whose cosine was computed; a pair is compared in the first tree in which it shares a leaf, so each
+    link is returned once, or a few times where both vectors spill into the same neighbouring leaves of that tree.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
     v = F.col(vector_col)
@@ -106,18 +119,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
             node, dims = b.column("node").to_numpy(), b.column("dim").to_numpy()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                part = b.take(pa.array(at))
-                x = unit(matrix(part.column("v")))
+                x = unit(matrix(b.take(pa.array(at)).column("v")))
+                before: list[list[int]] = [[] for _ in at]
                 for t, splits in enumerate(shared.value.get(int(dim), [[]])):
                     r, leaf_of = leaves(x, splits, spill)
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at][r]), pa.array(np.full(len(r), t, np.int32)), pa.array(leaf_of)], names=["node", "tree", "leaf"])
+                    earlier = pa.array([before[i] for i in r.tolist()], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at][r]), pa.array(np.full(len(r), t, np.int32)), pa.array(leaf_of), earlier], names=["node", "tree", "leaf", "earlier"])
+                    for i, code in zip(r.tolist(), ((t << 40) + leaf_of).tolist()):
+                        before[i].append(code)
 
-    found = scratch.write(nodes.select("node", "dim", "v").mapInArrow(index, "node long, tree int, leaf long").distinct(), "leaves")
+    found = scratch.write(nodes.select("node", "dim", "v").mapInArrow(index, "node long, tree int, leaf long, earlier array<long>"), "leaves")
     placed = found.join(nodes.select("node", "dim", "label", "v"), "node")
     on = ["dim", "label", "tree", "leaf"]
     many = placed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("c", F.ceil(F.col("n") / CELL).cast("int"))
     cell = placed.join(many, on).withColumn("g", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    cell = cell.groupBy(*on, F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j")).agg(F.collect_list(F.struct("node", "g", "v")).alias("members"))
+    cell = cell.groupBy(*on, F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j")).agg(F.collect_list(F.struct("node", "g", "v", "earlier")).alias("members"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,6 +142,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
                 node, g = members.field("node").to_numpy(), members.field("g").to_numpy()
                 x = unit(matrix(members.field("v")))
                 near = x @ x.T >= cosine - 1e-9
+                near &= ~met_before(members.field("earlier"))
                 if b.column("i")[k].as_py() != b.column("j")[k].as_py():
                     near &= g[:, None] != g[None, :]  # the rest is another cell's
                 p, q = np.nonzero(np.triu(near, 1))

@@ -12,8 +12,8 @@ LLM = ("op", "pipeline")
 QUERIES = {k: f for k, f in entry.queries().items() if not k.startswith(LLM)}
 SQL = entry.oracle_sql()
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
-#: Queries for ids that the smallest tables lack.
-EMPTY_HERE = {"usage_event_page"}
+#: Its blocks have a single memory each in the smallest tables; test_operators has the cases.
+EMPTY_HERE = {"truth_contradictions"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     got = sorted(tuple(repr(r[c]) for c in columns) for r in df.collect())
     if name not in SQL:
-        assert got
+        assert got or name in EMPTY_HERE
         return
     want = duck.sql(SQL[name])
     assert sorted(want.columns) == columns

@@ -1,13 +1,14 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame functions only.
+"""Line dedup by windows of lines, in DataFrame functions only.
 
-A rolling hash over the hashes of two neighbouring lines decides where a chunk ends, so an insertion shifts only the
-boundaries next to it; a line of ``long_bytes`` or more is a chunk of its own. Chunks of several lines, and long lines,
-that occur more than once anywhere are removed but for their first occurrence (smallest id, then place). Occurrences
-are compared byte for byte: a hash only brings candidates together.
+From each line a window runs forwards, and one backwards, until it has two lines and ``least_bytes``; a line of
+``long_bytes`` or more is a window of its own. A repeated passage of that size is covered by windows that lie wholly
+within it, whatever stands around it. Windows that occur more than once anywhere are removed but for their first
+occurrence (smallest id, then place) and those that overlap it. Occurrences are compared byte for byte: a hash only
+brings candidates together.
 
 Edge cases: a null text stays null, an empty one empty. Single short lines are never removed, however often they
-repeat, nor are chunks of less than ``least_bytes``. A text whose chunks all occur earlier becomes empty. Rows that
-share an id and a text keep the same chunks; rows without an id come after all others. Further columns are kept as they
+repeat, nor are passages of less than ``least_bytes``. A text whose windows all occur earlier becomes empty. Rows that
+share an id and a text keep the same lines; rows without an id come after all others. Further columns are kept as they
 are by ``clean``. An empty table gives an empty result.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Query, Scratch, table
 
-#: One boundary in so many lines; bytes of a line that is a chunk by itself; bytes of a chunk that may be removed.
+#: One boundary in so many lines (``chunks``); bytes of a line that may go by itself; bytes of lines that may go together.
 EVERY, LONG, LEAST = 2, 160, 80
 
 
@@ -30,7 +31,8 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def chunks(text: Column, every: int = EVERY, long_bytes: int = LONG) -> Column:
-    """Array of chunks (pos: the chunk's first line, n: its lines, body), which joined by line ends give the text."""
+    """Array of chunks (pos: the chunk's first line, n: its lines, body), which joined by line ends give the text. A
+    rolling hash over two neighbouring lines bounds them. ``clean`` does not use them: a passage's ends would stay."""
 
     def starts(hs: Column) -> Column:
         at = lambda i: F.element_at(hs, F.greatest(i, F.lit(1)))
@@ -49,30 +51,60 @@ def chunks(text: Column, every: int = EVERY, long_bytes: int = LONG) -> Column:
     return let(F.split(text, "\n", -1), of)
 
 
-def repeated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, long_bytes: int = LONG, least_bytes: int = LEAST) -> DataFrame:
-    """(id, h, pos, n): the chunks to remove from the document of this id and hash of text.
+def windows(text: Column, long_bytes: int = LONG, least_bytes: int = LEAST) -> Column:
+    """Array of the windows (pos: the first line, n: how many, k: their hash) of a text, each once."""
+    step, few = least_bytes + 2, 8
 
-    Hashes are counted first, so that only chunks that may repeat are moved with their text, and groups of equal chunks
-    are reduced before they are shuffled. The joins are sort-merge joins at every size: neither side is bounded.
+    def reach(sizes: Column, i: Column, most: int) -> Column:
+        """How many lines from the i-th (from 0) on make a window; negative if ``most`` lines don't."""
+        full = lambda m, b: ((m > 1) & (b > least_bytes)) | ((m == 1) & (b > long_bytes))  # noqa: E731  # a line end each
+        more = lambda s, x: F.when(s["done"], s).otherwise(F.struct((s["m"] + 1).alias("m"), (s["b"] + x + 1).alias("b"), full(s["m"] + 1, s["b"] + x + 1).alias("done")))
+        start = F.struct(F.lit(0).alias("m"), F.lit(0).alias("b"), F.lit(False).alias("done"))
+        return F.aggregate(F.slice(sizes, i + 1, most), start, more, lambda s: F.when(s["done"], s["m"]).otherwise(-1))
+
+    def reaches(sizes: Column) -> Column:
+        far = lambda i, m: F.when((m < 0) & (i + few < F.size(sizes)), reach(sizes, i, step)).otherwise(m)
+        return F.transform(sizes, lambda _, i: let(reach(sizes, i, few), lambda m: far(i, m)))
+
+    def of(lines: Column) -> Column:
+        sizes, hashes = F.transform(lines, F.octet_length), F.transform(lines, lambda x: F.xxhash64(x))
+        # a window as one number, as a union of those is made by hashing
+        code = lambda pos, n: F.when(n > 0, pos.cast("long") * step + n)
+        ahead = let(sizes, lambda z: F.transform(reaches(z), lambda n, i: code(i, n)))
+        back = let(F.reverse(sizes), lambda z: F.transform(reaches(z), lambda n, i: code(F.size(z) - i - n, n)))
+        each = lambda hs: lambda c: let(F.struct(F.floor(c / step).cast("int").alias("pos"), (c % step).cast("int").alias("n")), lambda w: F.struct(w["pos"].alias("pos"), w["n"].alias("n"), F.xxhash64(F.slice(hs, w["pos"] + 1, w["n"])).alias("k")))
+        return let(hashes, lambda hs: F.transform(F.array_compact(F.array_union(ahead, back)), each(hs)))
+
+    return let(F.split(text, "\n", -1), of)
+
+
+def repeated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", long_bytes: int = LONG, least_bytes: int = LEAST) -> DataFrame:
+    """(id, h, pos, n): the windows to remove from the document of this id and hash of text.
+
+    Hashes are counted and matched first, so that only windows that may repeat are formed as text, and groups of equal
+    windows are reduced before they are shuffled. The joins are sort-merge joins at every size: neither side is bounded.
     """
-    src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.explode(chunks(F.col(text_col), every, long_bytes)).alias("c"))
-    src = src.select("id", "h", "c.pos", "c.n", "c.body", F.octet_length("c.body").alias("bytes"))
-    src = src.where((F.col("bytes") >= least_bytes) & ((F.col("n") > 1) | (F.col("bytes") >= long_bytes)))
-    src = src.withColumn("k", F.xxhash64("body"))
+    whole = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    src = scratch.write(whole.select("id", "h", F.explode(windows(F.col("text"), long_bytes, least_bytes)).alias("w")).select("id", "h", "w.*"), "windows")
     many = scratch.write(src.groupBy("k").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k"), "many")
+    found = src.join(many.hint("merge"), "k", "left_semi").groupBy(F.col("id").alias("of"), F.col("h").alias("hash")).agg(F.collect_set(F.struct("pos", "n", "k")).alias("ws"))
+    found = whole.join(scratch.write(found, "found").hint("merge"), F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("hash")))
+    body = lambda w: F.struct(w["pos"].alias("pos"), w["n"].alias("n"), w["k"].alias("k"), F.array_join(F.slice(F.col("lines"), w["pos"] + 1, w["n"]), "\n").alias("body"))
+    found = found.select("id", "h", "ws", F.split("text", "\n", -1).alias("lines")).select("id", "h", F.explode(F.transform("ws", body)).alias("w"))
+    found = scratch.write(found.select("id", "h", "w.*"), "candidates")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "pos")
-    found = scratch.write(src.join(many.hint("merge"), "k", "left_semi").select("id", "h", "pos", "n", "k", "body"), "candidates")
     first = found.groupBy("k", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     first = scratch.write(first, "first")  # with a shuffle of its own, the join's large groups can be split
-    return scratch.write(found.join(first.hint("merge"), ["k", "body"]).where(F.col("first") != place).select("id", "h", "pos", "n"), "removed")
+    beyond = ~F.col("first.id").eqNullSafe(F.col("id")) | (F.col("first.h") != F.col("h")) | (F.col("first.pos") + F.col("n") <= F.col("pos"))
+    return scratch.write(found.join(first.hint("merge"), ["k", "body"]).where(beyond).select("id", "h", "pos", "n"), "removed")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, long_bytes: int = LONG, least_bytes: int = LEAST, count_col: str = "_removed_lines") -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_bytes: int = LONG, least_bytes: int = LEAST, count_col: str = "_removed_lines") -> DataFrame:
     """``docs`` with ``text_col`` cleaned and a column ``count_col``: how many lines went."""
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = repeated(docs, scratch, id_col, text_col, every, long_bytes, least_bytes)
-    gone = gone.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("_gone"))
-    gone = scratch.write(gone.select("id", "h", F.expr("flatten(transform(_gone, x -> sequence(x.pos, x.pos + x.n - 1)))").alias("places")), "gone")
+    gone = repeated(docs, scratch, id_col, text_col, long_bytes, least_bytes)
+    gone = gone.groupBy("id", "h").agg(F.collect_set(F.struct("pos", "n")).alias("_gone"))
+    gone = scratch.write(gone.select("id", "h", F.expr("array_distinct(flatten(transform(_gone, x -> sequence(x.pos, x.pos + x.n - 1))))").alias("places")), "gone")
     # The document travels as one value, so that none of its columns can clash with a name used here.
     text = F.col(f"`{text_col}`")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("key"), F.xxhash64(text).alias("hash"))

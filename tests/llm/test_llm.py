@@ -491,3 +491,47 @@ def test_boundaries_resist_shifts(spark):
     assert len(one & two) >= 0.8 * len(one) and any(r.n > 1 for r in parts)
     for i, t in rows:
         assert "\n".join(r.body for r in sorted((r for r in parts if r.doc_id == i), key=lambda r: r.pos)) == t
+
+
+def test_whole_passages_of_short_lines_go(spark):
+    """Passages of 5 to 12 lines of 10 words, each planted twice between lines of its own, go whole the second time."""
+    r = Random(3)
+    words = lambda n: " ".join(f"{r.choice('bdfgklmnprst')}{r.choice('aeiou')}{r.randrange(1000)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(80):
+        passage = [words(10) for _ in range(5 + k % 8)]
+        for i in (2 * k, 2 * k + 1):
+            before, after = ([words(r.randrange(1, 15)) for _ in range(3)] for _ in range(2))
+            rows.append((i, "\n".join([*before, *passage, *after])))
+            want[i] = rows[-1][1] if i % 2 == 0 else "\n".join([*before, *after])
+    assert {x.doc_id: x.text for x in lines.clean(docs(spark, rows)).collect()} == want
+
+
+def test_windows_against_brute_force(spark):
+    r = Random(4)
+    line = lambda: r.choice(["", "x", "a line of some thirty bytes, ok", "y" * 79, "é" * 50, "z" * 160, "w" * 90, f"new {r.random()}"])
+    texts = {i: [line() for _ in range(r.randrange(1, 40))] for i in range(60)} | {60: [""] * 200, 61: ["own", *[""] * 90]}
+
+    def runs(ls):
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                n = len("\n".join(ls[a:b]).encode())
+                if (b - a > 1 and n >= 80) or n >= 160:
+                    yield a, b - a
+                    break
+        for b in range(len(ls), 0, -1):
+            for a in range(b - 1, -1, -1):
+                n = len("\n".join(ls[a:b]).encode())
+                if (b - a > 1 and n >= 80) or n >= 160:
+                    yield a, b - a
+                    break
+
+    first, want = {}, {}
+    for i, ls in texts.items():
+        for a, n in sorted(set(runs(ls))):
+            first.setdefault(tuple(ls[a : a + n]), (i, a))
+    for i, ls in texts.items():
+        gone = {x for a, n in runs(ls) for j, f in [first[tuple(ls[a : a + n])]] if j != i or f + n <= a for x in range(a, a + n)}
+        want[i] = ("\n".join(x for k, x in enumerate(ls) if k not in gone), len(gone))
+    got = lines.clean(docs(spark, [(i, "\n".join(ls)) for i, ls in texts.items()]))
+    assert {x.doc_id: (x.text, x._removed_lines) for x in got.collect()} == want

@@ -74,26 +74,41 @@ def supersede(current: DataFrame, pairs: DataFrame, now: Column) -> tuple[DataFr
     return versions, closed, audit
 
 
-def sequential_dedup(incoming: DataFrame, block: list[str], key: str, text: str) -> DataFrame:
-    """(block, key, decision, match): each row of a block, in order of its key, against those stored before it."""
+def sequential_dedup(incoming: DataFrame, block: list[str], key: str, text: str, title: str | None = None) -> DataFrame:
+    """(block, key, decision, match): each row of a block, in order of its key, against those stored before it, by the
+    whole of title and text. A merge adds the row's text to the stored one, and its title if that has none."""
+    space = " \t\n\r\f\v"
+
+    def whole(head: str, body: str) -> str:
+        return f"{head.strip(space)}\n{body.strip(space)}".strip(space).lower()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         kept, out = [], []
         for r in rows.sort_values(key).to_dict("records"):
+            head, body = (r[title] or "") if title else "", r[text] or ""
+            new = whole(head, body)
             best, at = 0.0, None
-            for k, t in kept:
-                m = SequenceMatcher(None, r[text].lower(), t.lower())
-                if m.real_quick_ratio() > best and m.quick_ratio() > best and (s := m.ratio()) > best:
-                    best, at = s, k
+            for i, (_, _, _, t) in enumerate(kept):
+                able = lambda x: x >= D.MERGE_FROM and x > best  # noqa: E731, B023  # less than that is no match
+                if not able(2.0 * min(len(new), len(t)) / (len(new) + len(t)) if new or t else 1.0):
+                    continue
+                m = SequenceMatcher(None, new, t)
+                if able(m.quick_ratio()) and able(s := m.ratio()):
+                    best, at = s, i
             decision = "discard" if best > D.DUPLICATE_ABOVE else "merge" if best >= D.MERGE_FROM else "store"
+            out.append({**{b: r[b] for b in block}, key: r[key], "decision": decision, "match": None if at is None else kept[at][0]})
             if decision == "store":
-                kept.append((r[key], r[text]))
-            out.append({**{b: r[b] for b in block}, key: r[key], "decision": decision, "match": at if decision != "store" else None})
+                kept.append((r[key], head, body, new))
+            elif decision == "merge":
+                k, h, old, _ = kept[at]
+                old, add = old.strip(space), body.strip(space)
+                old = f"{old}\n\n{add}".strip(space) if add and add not in old else old
+                kept[at] = (k, h or head, old, whole(h or head, old))
         return pd.DataFrame(out).astype({"match": "Int64"})
 
     kinds = dict(incoming.dtypes)
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in block), f"{key} {kinds[key]}", "decision string", "match long"])
-    return incoming.select(*block, key, text).groupBy(*block).applyInPandas(run, schema)
+    return incoming.select(*block, key, text, *([title] if title else [])).groupBy(*block).applyInPandas(run, schema)
 
 
 def entity_attributes(df: DataFrame, key: str) -> DataFrame:

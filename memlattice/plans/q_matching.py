@@ -31,8 +31,7 @@ def dedup_decision(spark, sf):
 @query(None)
 def dedup_sequential(spark, sf):
     """A user's memories of a kind in turn, every one against those stored before it."""
-    m = V.memories(spark, sf).select("id", *BLOCK, F.left("title", F.lit(60)).alias("t"))
-    return M.sequential_dedup(m, BLOCK, "id", "t")
+    return M.sequential_dedup(V.memories(spark, sf), BLOCK, "id", "content", "title")
 
 
 @query(None)

@@ -182,6 +182,17 @@ def test_sequential_dedup(spark):
     assert {r.id: (r.decision, r.match) for r in M.sequential_dedup(df, ["u"], "id", "t").collect()} == {1: ("store", None), 2: ("discard", 1), 3: ("store", None)}
 
 
+def test_sequential_dedup_compares_and_merges_whole_texts(spark):
+    start, end = "the same beginning of sixty characters and more of them " * 2, "and the very same end of the text, word for word, " * 3
+    body = " ".join(f"w{i}" for i in range(40))
+    more = body + " and some of it is new here too"
+    rows = [(1, "u", "a title", start + "x" * 300), (2, "u", "a title", start + "y" * 300), (3, "v", "one", "first " + end), (4, "v", "one", "other " + end)]
+    rows += [(5, "w", "t", body), (6, "w", "t", more), (7, "w", "t", f"{body}\n\n{more}"), (8, "z", None, None), (9, "z", "", " ")]
+    df = spark.createDataFrame(rows, "id long, u string, title string, content string")
+    got = {r.id: (r.decision, r.match) for r in M.sequential_dedup(df, ["u"], "id", "content", "title").collect()}
+    assert got == {1: ("store", None), 2: ("store", None), 3: ("store", None), 4: ("discard", 3), 5: ("store", None), 6: ("merge", 5), 7: ("discard", 5), 8: ("store", None), 9: ("discard", 8)}
+
+
 def test_contradictions(spark):
     df = spark.createDataFrame([(1, "o", "Favourite language", "JavaScript"), (2, "o", "Favourite language", "Python"), (3, "p", "Favourite language", "Go")], "id long, o string, title string, content string")
     assert {(r.new_id, r.old_id) for r in M.contradictions(df.where("id = 2"), df, ["o"]).collect()} == {(2, 1)}

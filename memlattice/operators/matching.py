@@ -18,12 +18,17 @@ from ..functions import similarity as Sim
 from ..functions.text import choose, strip
 
 
-def best_match(incoming: DataFrame, existing: DataFrame, block: list[str], key: str, text: str, least: float) -> DataFrame:
+def best_match(incoming: DataFrame, existing: DataFrame, block: list[str], key: str, text: str, least: float, summary: str | None = None, earlier: bool = False) -> DataFrame:
     """``incoming`` with match and similarity: the existing row most similar to it, the smaller id of equals; null
-    where none is similar by ``least`` or more, and never a row with similarity 0."""
-    theirs = existing.select(*block, F.col(key).alias("match"), F.col(text).alias("_theirs"))
-    pairs = incoming.join(theirs, block).where(F.col(key) != F.col("match")).where(Sim.could_reach(F.col(text), F.col("_theirs"), least))
-    pairs = pairs.select(key, "match", Sim.ratio_from(least)(F.col(text), F.col("_theirs")).alias("similarity")).where((F.col("similarity") >= least) & (F.col("similarity") > 0))
+    where none is similar by ``least`` or more, and never a row with similarity 0. With ``summary``, a column of
+    ``existing``, the greater of the similarities to its text and to its text and summary counts. ``earlier``: only
+    rows with a smaller key are candidates."""
+    theirs = existing.select(*block, F.col(key).alias("match"), F.col(text).alias("_theirs"), *([F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in (text, summary)]).alias("_longer")] if summary else []))
+    sides = ["_theirs", "_longer"] if summary else ["_theirs"]
+    pairs = incoming.join(theirs, block).where(F.col("match") < F.col(key) if earlier else F.col(key) != F.col("match"))
+    able = [F.coalesce(Sim.could_reach(F.col(text), F.col(c), least), F.lit(False)) for c in sides]
+    found = [Sim.ratio_from(least)(F.col(text), F.col(c)) for c in sides]
+    pairs = pairs.where(able[0] | able[1] if summary else able[0]).select(key, "match", (F.greatest(*found) if summary else found[0]).alias("similarity")).where((F.col("similarity") >= least) & (F.col("similarity") > 0))
     w = Window.partitionBy(key).orderBy(F.desc("similarity"), "match")
     top = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return incoming.join(top, key, "left")

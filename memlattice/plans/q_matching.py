@@ -20,11 +20,10 @@ BLOCK = ["organization_id", "user_id", "memory_type"]
 
 @query(None)
 def dedup_decision(spark, sf):
-    """Every other memory of a tenant, user and kind is incoming, the rest are there: discard, merge or store, by the
-    most similar of the block."""
+    """Every memory of a tenant, user and kind is incoming, those with a smaller id are there: discard, merge or store,
+    by the most similar of the block."""
     m = V.memories(spark, sf).select("id", *BLOCK, text.comparison_text(F.col("title"), F.col("content")).alias("t"))
-    late = F.floor(F.col("id") / 50) % 2 == 1
-    out = M.best_match(m.where(late), m.where(~late), BLOCK, "id", "t", 0.85)
+    out = M.best_match(m, m, BLOCK, "id", "t", 0.85, earlier=True)
     return out.select("id", "match", F.round("similarity", 6).alias("similarity"), M.dedup_decision(F.col("similarity")).alias("decision"))
 
 
@@ -36,9 +35,12 @@ def dedup_sequential(spark, sf):
 
 @query(None)
 def entity_resolution(spark, sf):
-    """Parts as mentions against parts as entities of the same owner and kind: linked above 0.8, else created."""
-    p = V.load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), (F.col("p_size") % 10).alias("owner"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    out = M.best_match(p.where("id % 3 = 0"), p.where("id % 3 > 0"), ["kind", "owner"], "id", "name", 0.5)
+    """Every part as a mention against the parts before it as entities of the same owner and kind, by their names or
+    names and summaries: linked above 0.8, else created."""
+    p = V.load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), (F.col("p_size") % 10).alias("owner"), "p_name", "p_type")
+    mentions = p.select("id", "kind", "owner", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    entities = p.select("id", "kind", "owner", F.col("p_name").alias("name"), F.col("p_type").alias("summary"))
+    out = M.best_match(mentions, entities, ["kind", "owner"], "id", "name", 0.5, summary="summary", earlier=True)
     linked = F.coalesce(F.col("similarity") > 0.8, F.lit(False))
     return out.select("id", "match", F.round("similarity", 6).alias("similarity"), F.when(linked, "link").otherwise("create").alias("decision"))
 

@@ -17,6 +17,7 @@ from memlattice.operators import matching as M
 from memlattice.operators import retrieval as R
 from memlattice.operators import scans as S
 from memlattice.operators import usage as U
+from memlattice.plans.registry import QUERIES
 from memlattice.sources import jsonl
 from memlattice.sources.views import at
 
@@ -177,6 +178,25 @@ def test_best_match_prefers_the_smaller_id(spark):
     assert got == {1: (8, 1.0), 2: (None, None)}
 
 
+def test_best_match_takes_the_better_of_name_and_summary(spark):
+    a = spark.createDataFrame([(1, "x", "red lamp of the hall"), (2, "x", "lamp")], "id long, k string, t string")
+    b = spark.createDataFrame([(7, "x", "red lamp", "of the hall"), (8, "x", "lamp", "a much longer summary of it"), (9, "x", "lamp", None)], "id long, k string, t string, s string")
+    got = {r.id: (r.match, r.similarity) for r in M.best_match(a, b, ["k"], "id", "t", 0.5, summary="s").collect()}
+    assert got == {1: (7, 1.0), 2: (8, 1.0)}
+
+
+def test_every_row_is_incoming(spark, tmp_path):
+    """Copies in what were the same halves or thirds find the first of them; each row has a decision."""
+    docs = [(i, "some text of a memory that is repeated", "en", "web", 38) for i in (0, 550, 1100, 1650, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: (r.match, r.decision) for r in QUERIES["dedup_decision"](spark, str(tmp_path)).collect()}
+    assert got == {0: (None, "store"), 1: (None, "store"), 550: (0, "discard"), 1100: (0, "discard"), 1650: (0, "discard")}
+    parts = [(i, "hot bolt", "b", "LARGE", 1) for i in (1, 2, 3, 6)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id: (r.match, r.similarity, r.decision) for r in QUERIES["entity_resolution"](spark, str(tmp_path)).collect()}
+    assert got == {1: (None, None, "create"), 2: (1, 1.0, "link"), 3: (1, 1.0, "link"), 6: (1, 1.0, "link")}
+
+
 def test_sequential_dedup(spark):
     df = spark.createDataFrame([(1, "u", "same text here"), (2, "u", "same text here"), (3, "v", "same text here")], "id long, u string, t string")
     assert {r.id: (r.decision, r.match) for r in M.sequential_dedup(df, ["u"], "id", "t").collect()} == {1: ("store", None), 2: ("discard", 1), 3: ("store", None)}

@@ -36,12 +36,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of SimHash near-duplicates, the document with the smallest id (once, if it is repeated), and
-    all rows without an id, as no group can be named after them."""
-    found = simhash.near_duplicates(docs)
-    names = Scratch(spark, "kept").write(found.where("id = component").select("id").distinct(), "ids")
-    kept = docs.join(names, docs.doc_id == names.id, "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(docs.doc_id.isNull()))
+    """Keeps, of each group of SimHash near-duplicates, the document with the smallest id (once, if it is repeated), then
+    the smallest hash of its text; one without an id only where none of the group has one. Groups are made over texts,
+    so rows that share an id may be in several."""
+    scratch, of = Scratch(spark, "kept"), F.xxhash64("text")
+    texts = docs.select(of.alias("h"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
+    groups = simhash.near_duplicates(texts, "h", "body").select(F.col("id").alias("h"), "component").distinct()
+    low = texts.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    least = low.join(groups, "h").groupBy("component").agg(F.min(F.struct("first.none", "first.id", "h")).alias("first"))
+    names = scratch.write(least.select("first.id", "first.h"), "names")
+    # The document travels as one value, so that none of its columns can clash with a name used here.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("key"), of.alias("hash"))
+    kept = whole.join(names, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left_semi")
+    return kept.dropDuplicates(["key", "hash"]).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

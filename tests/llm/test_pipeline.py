@@ -59,3 +59,11 @@ def test_odd_documents_pass_all_stages(spark, tmp_path):
         if k == 2:
             before = docs.count()
     assert before >= 3 and docs.where("doc_id IS NULL").count() == 1 and docs.where("doc_id = 3").count() == 1
+
+
+def test_one_of_each_group_stays_where_ids_repeat_or_lack(spark):
+    text = lambda k: " ".join(f"{'abcdefgh'[k]}{i * (k + 3) % 97}" for i in range(60))
+    rows = [(1, text(0)), (1, text(1)), (1, text(1)), (2, text(1)), (None, text(2)), (None, text(2)), (None, text(0)), (None, text(3))]
+    docs = spark.createDataFrame([(i, t, "d") for i, t in rows], "doc_id long, text string, doc string")
+    got = sorted(((r.doc_id or 0, r.text) for r in P.keep_one_of_each(spark, docs, SF).collect()))
+    assert got == sorted([(1, text(0)), (1, text(1)), (0, text(2)), (0, text(3))])

@@ -39,6 +39,10 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Drops all of it: for state from which no result is read any more."""
+        self.drop("")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -111,13 +115,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, scratch: Scratch, max_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, y, fold, weight) of labelled documents to learn from: about ``rows`` of each class at most; weight is
     how many labelled rows of its class each stands for.
 
-    Rows whose crc32 of the id modulo 4 is 2 are held out. A document of more than ``max_bytes`` is not learned from
-    (it is still scored). The chosen labels are at most 4 * rows + 2 small rows, so they are broadcast, and the
-    documents are scanned once without a shuffle.
+    Rows whose crc32 of the id modulo 4 is 2 are held out. Documents of any length are learned from. The chosen labels
+    are at most 4 * rows + 2 small rows, so they are broadcast, and the documents are scanned once without a shuffle.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
     known = known.withColumn("fold", crc_mod(F.col("id"), 4).cast("int")).where("fold <> 2")
@@ -127,5 +130,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     chosen = known.withColumn("weight", F.lit(1.0)).limit(0)
     for p in parts:
         chosen = chosen.unionByName(p)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return scratch.write(src.join(F.broadcast(chosen), "id"), f"{label}-sample")

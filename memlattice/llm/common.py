@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,15 +65,16 @@ def hash_sample(df: DataFrame, keys: list[Column], rows: int, total: int) -> Dat
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * rows)
 
 
-def gapless_rank(df: DataFrame, key: str, out: str, tie: list[Column], scratch: Scratch, name: str, salts: int = 256) -> DataFrame:
+def gapless_rank(df: DataFrame, key: str, out: str, tie: list[Column], scratch: Scratch, name: str, most: int, rows: int = 200_000) -> DataFrame:
     """A rank from 0 without gaps within each value of ``key``, however many rows the value has.
 
-    Rows are dealt to (key, salt) groups, ranked there, and shifted by the sizes of the groups before. The key must
-    have a bounded number of values (shards, lengths): the sizes, ``salts`` per value, are the only thing joined.
+    Rows are dealt to (key, salt) groups, ranked there, and shifted by the sizes of the groups before. ``most``: how
+    many rows a value has, at most; there are as many salts as keep a group near ``rows``, or 16. The key must have a
+    bounded number of values (shards, lengths): the sizes of the groups are the only thing joined.
     """
     from pyspark.sql import Window as W
 
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(max(16, -(-most // rows)))).cast("int"))
     sizes = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(key).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     starts = scratch.write(sizes.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), name)
@@ -81,6 +83,24 @@ def gapless_rank(df: DataFrame, key: str, out: str, tie: list[Column], scratch:
     return joined.withColumn(out, (F.col("_start") + F.col("_r") - 1).cast("long")).drop("_salt", "_start", "_r")
 
 
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all that ``near``, a symmetric matrix of links, joins: a tree for each component."""
+    left, out = near.any(axis=1), []
+    for i in np.flatnonzero(left).tolist():
+        if not left[i]:
+            continue
+        left[i] = False
+        front = np.array([i])
+        while len(front):
+            seen = near[front]
+            new = np.flatnonzero(seen.any(axis=0) & left)
+            parents = front[seen[:, new].argmax(axis=0)] if len(new) else new
+            out += zip(parents.tolist(), new.tolist())
+            left[new] = False
+            front = new
+    return out
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b: long); comp is the smallest node that can be reached.
 
@@ -89,7 +109,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     are combined map-side; the join that hands them back is a plain one that adaptive execution can split).
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = scratch.write(e, f"{name}0")
+    e = scratch.write(e, f"{name}/0")
 
     def mark(x: DataFrame):
         return tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).first())
@@ -99,12 +119,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.write(large, f"{name}{i}l")
+        large = scratch.write(large, f"{name}/{i}l")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = scratch.write(small.where("u <> v").distinct(), f"{name}{i + 1}")
-        scratch.drop(f"{name}{i}")
-        scratch.drop(f"{name}{i}l")
+        e = scratch.write(small.where("u <> v").distinct(), f"{name}/{i + 1}")
+        scratch.drop(f"{name}/{i}")
+        scratch.drop(f"{name}/{i}l")
         now, i = mark(e), i + 1
         if now == seen:
             break

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Query, Scratch, connected_components, table
+from .common import Query, Scratch, connected_components, spanning, table
 
 #: Members of a bucket that one cell compares are at most two groups of about this many.
 CELL = 512
@@ -79,20 +79,8 @@ def masks(b: int, distance: int) -> list[int]:
 def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that join all of ``values`` (distinct) that Hamming links at ``distance`` or less join; a tree each."""
     near = np.bitwise_count(values[:, None] ^ values[None, :]) <= distance
-    left, out = np.ones(len(values), bool), []
-    for i in range(len(values)):
-        if not left[i]:
-            continue
-        left[i] = False
-        front = np.array([i])
-        while len(front):
-            seen = near[front]
-            new = np.flatnonzero(seen.any(axis=0) & left)
-            parents = front[seen[:, new].argmax(axis=0)] if len(new) else new
-            out += zip(parents.tolist(), new.tolist())
-            left[new] = False
-            front = new
-    return out
+    np.fill_diagonal(near, False)
+    return spanning(near)
 
 
 def link(fps: DataFrame, scratch: Scratch, distance: int = 4) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Best-fit packing of tokenized documents into fixed windows, improved by swaps between underfull bins.
+"""Packing of tokenized documents into fixed windows by swap-based local search between underfull bins.
 
 Pieces of one length are interchangeable, so the search sees only how many pieces of each length there are (at most
-``capacity`` numbers, whatever the size of the corpus) and handles all bins of equal content at once. Documents then
-take the places of their lengths by rank.
+``capacity`` numbers, whatever the size of the corpus) and handles all bins of equal content at once. It starts from a
+first fit of the lengths in the order of a hash and exchanges pieces until as many bins are empty as can be: moves,
+one-for-one and two-for-one swaps, each of which raises the sum of squared fills. Documents then take the places of
+their lengths by rank.
 
 Edge cases: a null or empty text has no tokens but its end mark, a piece of length 1. A text longer than the window is
 cut into full pieces after a first one that takes the rest. Repeated rows and rows without an id are packed like any
@@ -16,6 +18,7 @@ import re
 import sys
 import zlib
 from array import array
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -41,12 +44,11 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
     A byte-level BPE file whose merges are in order of their ids is the same function as the same vocabulary as ranks,
     which tiktoken encodes four times faster; texts with characters on which the two libraries' Unicode tables could
-    differ, and all other files, are left to tokenizers itself.
+    differ, or with the spelling of an added token, and all other files, are left to tokenizers itself.
     """
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
 
     def slow(text: str) -> list[int]:
         return own.encode(text, add_special_tokens=False).ids
@@ -65,7 +67,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     stand = byte_level()
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={bytes(stand[c] for c in k): v for k, v in vocab.items()}, special_tokens={}).encode_ordinary
-    unusual = re.compile("[^\x09-\x0d\x20-\x7e\xa1-\xac\xae-ɏ‘-”]")
+    unusual = re.compile("|".join(["[^\x09-\x0d\x20-\x7e\xa1-\xac\xae-ɏ‘-”]", *map(re.escape, sorted(special))]))
     return lambda text: slow(text) if unusual.search(text) else fast(text)
 
 
@@ -112,6 +114,28 @@ def put(b: Bin, length: int, n: int = 1) -> Bin:
     return tuple(sorted(((x, k) for x, k in c.items() if k), reverse=True))
 
 
+def first_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
+    """First fit over the lengths in the order of a hash: how many bins there are of each content. A length takes all
+    bins of a content at once, so there are no more than a few contents for each length."""
+    full: Counter[Bin] = Counter()
+    open_: list[tuple[int, Bin, int]] = []  # what is left free, content, how many
+    for length in sorted(counts, key=lambda n: (zlib.crc32(n.to_bytes(8, "little")), n)):
+        left, after = counts[length], []
+        for free, b, n in [*open_, (capacity, (), left)]:
+            each = free // length
+            for k, bins in ((each, min(n, left // each)), (left % each if left < n * each else 0, 1)) if each and left else ():
+                if k and bins:
+                    after.append((free - k * length, put(b, length, k), bins))
+                    left, n = left - k * bins, n - bins
+            if n and b:
+                after.append((free, b, n))
+        open_ = [x for x in after if x[0]]
+        full.update({b: n for free, b, n in after if not free})
+    for _, b, n in open_:
+        full[b] += n
+    return full
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
     """Best-fit decreasing over lengths: how many bins there are of each content."""
     open_: dict[int, Counter[Bin]] = {}  # by what is left free
@@ -137,60 +161,128 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
     return sum((c for c in open_.values()), Counter())
 
 
-def exchange(giver: Bin, taker: Bin, free: int) -> tuple[list[int], list[int]] | None:
-    """Lengths that go from giver to taker, and back: a move, a one-for-one or a two-for-one swap; the one that fills
-    the taker most. ``free``: what the taker has free."""
-    gives, takes = [n for n, _ in giver], [n for n, _ in taker]
-    best, gain = None, 0
-    for a in gives:
-        if gain < a <= free:
-            best, gain = ([a], []), a
-        for b in takes:
-            if gain < a - b <= free:
-                best, gain = ([a], [b]), a - b
-    pairs = [(a, b) for i, a in enumerate(gives) for b in gives[i:] if a != b or dict(giver)[a] > 1]
-    for a, b in pairs:
-        for c in takes:
-            if gain < a + b - c <= free:
-                best, gain = ([a, b], [c]), a + b - c
-    return best
-
-
-def improve(bins: Counter[Bin], capacity: int, tries: int = 20_000) -> Counter[Bin]:
-    """Local search over underfull bins. The emptiest give and the fullest take, so the sum of squared fills rises with
-    each exchange until a giver is empty and its bin goes; ``tries`` pairs of contents are looked at, at most."""
-    bins = +Counter(bins)
-    total, number = sum(fill(b) * n for b, n in bins.items()), sum(bins.values())
-    while number > -(-total // capacity):
-        under = sorted((b for b in bins if fill(b) < capacity), key=lambda b: (fill(b), b))
-        step = None
-        for giver in under:
-            for taker in reversed(under):
-                if fill(taker) < fill(giver) or (taker == giver and bins[giver] < 2) or tries <= 0:
-                    break
-                tries -= 1
-                if found := exchange(giver, taker, capacity - fill(taker)):
-                    step = giver, taker, *found
+def fewest(counts: dict[int, int], capacity: int) -> int:
+    """A bound below on the number of bins: by the tokens, and by the pieces of which no two share a bin."""
+    return max(-(-sum(n * k for n, k in counts.items()) // capacity), sum(k for n, k in counts.items() if 2 * n > capacity))
+
+
+def two_of(b: Bin) -> list[tuple[int, int]]:
+    """The pairs of lengths that a bin can give at once."""
+    return [(x, y) for i, (x, k) in enumerate(b) for y, _ in b[i:] if x != y or k > 1]
+
+
+class Search:
+    """The local search's bins: how many there are of each content, the underfull ones in order of their fill, and the
+    pieces in underfull contents by their reach: a piece and what its bin has free, together the longest that can take
+    the piece's place."""
+
+    def __init__(self, bins: Counter[Bin], capacity: int):
+        self.capacity, self.bins = capacity, Counter()
+        self.order: list[tuple[int, Bin]] = []
+        self.reach: list[dict[tuple[int, Bin], int]] = [{} for _ in range(capacity + 1)]  # -> its bin's fill
+        for b, n in bins.items():
+            self.add(b, n)
+
+    def add(self, b: Bin, n: int) -> None:
+        """Adds ``n`` bins of this content, or takes away -n."""
+        if not b or not n:
+            return
+        had, size = self.bins[b], fill(b)
+        self.bins[b] = had + n
+        if not had and size < self.capacity:
+            insort(self.order, (size, b))
+            for x, _ in b:
+                self.reach[x + self.capacity - size][x, b] = size
+        if not self.bins[b]:
+            del self.bins[b]
+            if size < self.capacity:
+                del self.order[bisect_left(self.order, (size, b))]
+                for x, _ in b:
+                    del self.reach[x + self.capacity - size][x, b]
+
+    def partner(self, giver: Bin) -> tuple[Bin, list[int], list[int]] | None:
+        """(taker, what it gets, what it gives back): a move, a one-for-one or a two-for-one exchange with a bin at
+        least as full as the giver, if there is any; one that leaves the taker as little free as can be."""
+        own, alone = fill(giver), self.bins[giver] < 2
+        gives = [*((a,) for a, _ in giver), *two_of(giver)]
+        for a, _ in giver:
+            k = bisect_left(self.order, (self.capacity - a + 1,)) - 1
+            while k >= 0 and self.order[k][0] >= own:
+                if self.order[k][1] != giver or not alone:
+                    return self.order[k][1], [a], []
+                k -= 1
+        for slack in range(self.capacity):
+            for there in gives:
+                size = sum(there)
+                if size + slack > self.capacity:
+                    continue
+                best, gain = None, 0
+                for (back, taker), full in self.reach[size + slack].items():
+                    if gain < size - back and full >= own and (taker != giver or not alone):
+                        best, gain = (taker, list(there), [back]), size - back
+                if best:
+                    return best
+        return None
+
+
+def improve(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
+    """Local search over underfull bins. The emptiest give and fuller ones take, so the sum of squared fills rises with
+    each exchange until a giver is empty and its bin goes. Givers are the emptiest contents, twice as many as there are
+    bins too many, and eight. It ends when there are no more bins than there must be, or no giver has an exchange."""
+    search, counts = Search(bins, capacity), Counter()
+    for b, n in search.bins.items():
+        for length, k in b:
+            counts[length] += k * n
+    number, least = sum(search.bins.values()), fewest(counts, capacity)
+    stuck: set[Bin] = set()  # givers without an exchange; tried again when no other has one
+    since = 0
+    while number > least:
+        for _, giver in search.order[: 2 * (number - least) + 8]:
+            if giver not in stuck:
+                if found := search.partner(giver):
                     break
-            if step or tries <= 0:
+                stuck.add(giver)
+        else:
+            if not since:
                 break
-        if not step:
-            break
-        giver, taker, there, back = step
-        n = bins[giver] // 2 if giver == taker else min(bins[giver], bins[taker])
+            stuck, since = set(), 0
+            continue
+        taker, there, back = found
+        n = search.bins[giver] // 2 if giver == taker else min(search.bins[giver], search.bins[taker])
         give, take = giver, taker
         for x in there:
             give, take = put(give, x, -1), put(take, x)
         for x in back:
             give, take = put(give, x), put(take, x, -1)
-        bins.subtract({giver: n})
-        bins.subtract({taker: n})
-        bins.update({take: n})
-        if give:
-            bins.update({give: n})
-        else:
-            number -= n
-        bins = +bins
+        search.add(giver, -n)
+        search.add(taker, -n)
+        search.add(take, n)
+        search.add(give, n)
+        number, since = number - (0 if give else n), since + 1
+    return search.bins
+
+
+def packed(counts: dict[int, int], capacity: int) -> Counter[Bin]:
+    """The search's bins from a first fit. Where it ends with more than there must be, the underfull bins are emptied
+    along with four times as many full ones (chosen by a hash of what they hold), filled again by best-fit decreasing
+    and searched on; then along with four times as many again, until all have been."""
+    bins, least, share = improve(first_fit(counts, capacity), capacity), fewest(counts, capacity), 4
+    while sum(bins.values()) > least:
+        pool = Counter({b: n for b, n in bins.items() if fill(b) < capacity})
+        room, whole = share * sum(pool.values()), True
+        for b in sorted((b for b in bins if fill(b) == capacity), key=lambda b: (zlib.crc32(repr(b).encode()), b)):
+            pool[b] = min(bins[b], max(room, 0))
+            room, whole = room - pool[b], whole and pool[b] == bins[b]
+        pieces: Counter[int] = Counter()
+        for b, n in pool.items():
+            for length, k in b:
+                pieces[length] += k * n
+        again = improve(best_fit(+pieces, capacity), capacity)
+        if sum(again.values()) <= sum(pool.values()):
+            bins = bins - pool + again
+        if whole:
+            break
+        share *= 4
     return bins
 
 
@@ -215,9 +307,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None
     scratch = scratch or Scratch(spark, "packing")
     pieces = scratch.write(pieces, "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}
-    plan = places(improve(best_fit(counts, capacity), capacity))
+    plan = places(packed(counts, capacity))
     shared = spark.sparkContext.broadcast(plan)
-    ranked = gapless_rank(pieces, "length", "rank", [F.col("doc_id"), F.col("piece")], scratch, "starts")
+    ranked = gapless_rank(pieces, "length", "rank", [F.col("doc_id"), F.col("piece")], scratch, "starts", max(counts.values(), default=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value

@@ -164,8 +164,7 @@ def best_path(word: str, spec: Spec, usable: dict[str, int], longest: int) -> li
 
 class Codec:
     """Encodes and decodes by a rebuilt tokenizer. Where words can be told apart without loss, each distinct word is
-    given to the tokenizer once, in multithreaded batches, and remembered (``room`` of them at most); it is then also
-    held against what SentencePiece gives for it, and spelled out from its ids again."""
+    given to the tokenizer once, in multithreaded batches, and remembered (``room`` of them at most)."""
 
     def __init__(self, raw: bytes, room: int = 600_000):
         import sentencepiece
@@ -178,7 +177,6 @@ class Codec:
         if self.spec.escape and self.spec.prefix and self.bare.pre_tokenizer is not None and not any(k == USER for _, _, k in self.spec.pieces):
             self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
-        self.spelling = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, _, k in self.spec.pieces]
         self.known: dict[str, bytes] = {}
 
     def normalize(self, text: str) -> str:
@@ -201,47 +199,40 @@ class Codec:
                     out[k] = array("I", best_path(w, self.spec, usable, max(map(len, usable)))).tobytes()
         return out
 
-    def learn(self, words: list[str]) -> tuple[dict[str, bytes], set[str], set[str]]:
-        """(ids of the words, those for which SentencePiece gives others, those that their ids don't spell). Words with
-        a flaw are not remembered, so that they are told each time."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
         ids = dict(zip(words, self.word_ids(words)))
-        theirs = self.own.encode([w.removeprefix(MARK).replace(MARK, " ") for w in words], num_threads=1)
-        for k, w in enumerate(words):
-            if not w.strip(MARK):  # blanks at the end of a text: nothing is marked without something before it
-                theirs[k] = self.own.encode("a" + " " * len(w))[len(self.own.encode("a")) :]
-        unequal = {w for (w, x), y in zip(ids.items(), theirs) if x != array("I", y).tobytes()}
-        spelling = self.spelling
-        lossy = {w for w, y in zip(words, theirs) if w not in unequal and b"".join([spelling[i] for i in y]) != w.encode()}
-        lossy |= {w for w in unequal if b"".join([spelling[i] for i in array("I", ids[w])]) != w.encode()}
         if len(self.known) + len(words) > self.room:
             self.known.clear()
         self.known.update(ids)
-        for w in unequal | lossy:
-            del self.known[w]
-        return ids, unequal, lossy
+        return ids
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """For each text: its ids as native 32-bit numbers, whether SentencePiece gives the same, and whether they
-        decode to the normalised text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as native 32-bit numbers."""
         if self.split is None:
-            out = []
-            for t, e, y in zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False), self.own.encode(texts, num_threads=1)):
-                raw = array("I", e.ids)
-                out.append((raw.tobytes(), raw == array("I", y), b"".join([self.spelling[i] for i in e.ids]) == self.normalize(t).encode()))
-            return out
+            return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self.split(self.normalize(t)) for t in texts]
         get = self.known.get
         parts = [list(map(get, ws)) for ws in split]
         new = {w for ws, found in zip(split, parts) for w, x in zip(ws, found) if x is None}
-        fresh, unequal, lossy = self.learn(sorted(new)) if new else ({}, set(), set())
-        return [
-            (b"".join([fresh[w] if x is None else x for w, x in zip(ws, found)]), not unequal or unequal.isdisjoint(ws), not lossy or lossy.isdisjoint(ws))
-            for ws, found in zip(split, parts)
-        ]
+        fresh = self.learn(sorted(new)) if new else {}
+        return [b"".join([fresh[w] if x is None else x for w, x in zip(ws, found)]) for ws, found in zip(split, parts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
+    def spelled(self, text: str) -> str:
+        """What the ids of a text should decode to: the normalised text with blanks for marks."""
+        plain = self.normalize(text).replace(MARK, " ")
+        return plain.removeprefix(" ") if self.spec.prefix else plain
+
+    def verified(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """For each text: its ids, whether SentencePiece gives the same for the whole text, and whether they decode to
+        the normalised text (where every character has a piece or falls back to bytes)."""
+        raws = self.encode(texts)
+        ids = [array("I", raw) for raw in raws]
+        theirs, back = self.own.encode(texts, num_threads=1), self.decode([x.tolist() for x in ids])
+        return [(raw, x == array("I", y), z == self.spelled(t)) for t, raw, x, y, z in zip(texts, raws, ids, theirs, back)]
+
 
 def loaded(path: str | None) -> Codec:
     """The codec of the model file at ``path``, kept for the life of the worker process."""
@@ -270,7 +261,7 @@ def encode(docs: DataFrame, path: str | None = None, threads: int = 2, id_col: s
         codec = loaded(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            ids = [array("I", raw) for part in batches_of(texts) for raw, _, _ in codec.encode(part)]
+            ids = [array("I", raw) for part in batches_of(texts) for raw in codec.encode(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else list(x) for t, x in zip(texts, ids)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -291,8 +282,8 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 
 def digest(docs: DataFrame, path: str | None = None, threads: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, parity, round_trip) for each row: encoded, held against SentencePiece itself and
-    against its decoding, in one pass, so that ids need not be written."""
+    """(doc_id, n_tokens, ids_crc32, parity, round_trip) for each row: encoded, held against SentencePiece's ids for the
+    whole text, decoded again in batches and held against the text, in one pass, so that ids need not be written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -301,7 +292,7 @@ def digest(docs: DataFrame, path: str | None = None, threads: int = 2, id_col: s
             texts = b.column(1).to_pylist()
             out = []
             for part in batches_of(texts):
-                out += [(len(raw) // 4, zlib.crc32(raw), same, trip) for raw, same, trip in codec.encode(part)]
+                out += [(len(raw) // 4, zlib.crc32(raw), same, trip) for raw, same, trip in codec.verified(part)]
             cols = [[None if t is None else o[k] for t, o in zip(texts, out)] for k in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_())))], names=["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
 

@@ -30,10 +30,11 @@ from .common import Query, Scratch, crc_mod, labelled_sample, table
 
 #: Words and bytes of a window, at most; labelled documents a class; bytes of windows a class that the driver trains on,
 #: about; ordinary windows a fold that thresholds are taken from.
-WINDOW, WINDOW_BYTES, ROWS, TRAIN_BYTES, HELD = 16, 1024, 3000, 6 << 20, 6000
+WINDOW, WINDOW_BYTES, ROWS, TRAIN_BYTES, HELD = 16, 1024, 3000, 4 << 20, 4000
 #: Bytes of the ordinary dictionary, of the first toxic one, of the toxic one from narrowed windows; rounds of narrowing;
 #: share of ordinary windows that may pass a round's threshold.
 ORDINARY, FIRST, NARROW, ROUNDS, PASS = 256 << 10, 96 << 10, 8 << 10, 3, 0.02
+GRAM = 6
 LEVELS = (1, 2, 3, 4, 5, 6)
 FEATURES = 2 * len(LEVELS) + 2
 FOLDS = (0, 1, 3)
@@ -70,12 +71,28 @@ def compressor(dictionary: bytes):
 
 
 class Pair:
-    """Gains of windows by an ordinary dictionary and a toxic one."""
+    """Gains of windows by an ordinary dictionary and a toxic one.
+
+    Only windows that hold ``GRAM`` bytes of the toxic dictionary which the ordinary one lacks are compressed: others
+    have nothing to gain, but for chance.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
+        import ahocorasick
+
         self.alone, self.both = compressor(ordinary).compress, compressor(ordinary + toxic).compress
+        grams = lambda d: {d[i : i + GRAM] for i in range(len(d) - GRAM + 1)}
+        self.find, new = None, grams(toxic) - grams(ordinary)
+        if new:
+            found = ahocorasick.Automaton()
+            for g in new:
+                found.add_word(g.decode("latin-1"), True)
+            found.make_automaton()
+            self.find = found.iter
 
     def gain(self, w: bytes) -> int:
+        if self.find is None or next(self.find(w.decode("latin-1")), None) is None:
+            return 0
         return len(self.alone(w)) - len(self.both(w))
 
     def narrowed(self, w: bytes) -> bytes | None:
@@ -123,18 +140,13 @@ def dictionaries(toxic: dict[int, list[bytes]], plain: dict[int, list[bytes]]) -
     """Both dictionaries, from windows by fold, and those of each fold's complement."""
     but = lambda parts, f: [w for g in FOLDS if g != f for w in parts[g]]
     ordinary = {f: trained(but(plain, f), ORDINARY, 24) for f in (*FOLDS, None)}
-    held = {f: plain[f][:HELD] for f in FOLDS}
-    alone: dict[int, dict[bytes, int]] = {f: {} for f in FOLDS}
     parts, size, segment = toxic, FIRST, 24
     for _ in range(ROUNDS):
         narrow = {}
         for f in FOLDS:
             pair = Pair(ordinary[f], trained(but(parts, f), size, segment))
-            if not alone[f]:
-                alone[f] = {w: len(pair.alone(w)) for w in (*toxic[f], *held[f])}
-            gain = lambda w: alone[f][w] - len(pair.both(w))  # noqa: B023, E731
-            least = np.quantile([gain(w) for w in held[f]], 1 - PASS) if held[f] else 0
-            cut = [pair.narrowed(w) for w in toxic[f] if gain(w) > least]
+            least = np.quantile(list(map(pair.gain, plain[f][:HELD])) or [0], 1 - PASS)
+            cut = [pair.narrowed(w) for w in toxic[f] if pair.gain(w) > least]
             narrow[f] = [w for w in cut if w]
         parts, size, segment = narrow, NARROW, 16
     last = {f: trained(but(parts, f), NARROW, 16) for f in (*FOLDS, None)}

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often and within whatever lambdas it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def strip(x: Column) -> Column:
     """Without ASCII white space at either end."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def choose(key: Column, values: Mapping, default=None) -> Column:

@@ -11,14 +11,14 @@ from ..functions import domains as D
 from ..functions import text
 
 
-def allocate(total: int, weights: Mapping[str, float] | None = None) -> dict[str, int]:
-    """Whole tokens for each category in proportion; the first categories get one more each until all are dealt."""
-    weights = dict(weights or D.BUDGET)
-    whole = sum(weights.values()) or 1.0
-    out = {c: int(total * w / whole) for c, w in weights.items()}
-    for c in list(out)[: total - sum(out.values())]:
-        out[c] += 1
-    return out
+def shares(total: Column | int, weights: Mapping[str, float] | None = None) -> dict[str, Column]:
+    """Each category's part of ``total`` tokens: the whole tokens of its proportion, and of those that are then left
+    one for each of the first categories."""
+    weights = weights or D.BUDGET
+    total = F.lit(total).cast("long") if isinstance(total, int) else total
+    parts = [F.floor(total * F.lit(float(w)) / F.lit(float(sum(weights.values())))) for w in weights.values()]
+    left = total - sum(parts, F.lit(0))
+    return {c: (part + (left > k).cast("long")).alias(c) for k, (c, part) in enumerate(zip(weights, parts))}
 
 
 def category(kind: Column) -> Column:
@@ -63,10 +63,11 @@ def pack_greedy(df: DataFrame, per: str, total: int, weights: Mapping[str, float
     First each category takes, most relevant first, what fits into its share, skipping what does not; then what is
     unused goes to the rest of all categories in the same way. Both are folds over a request's own items.
     """
-    shares = allocate(total, weights)
     item = F.struct((-F.col("relevance")).alias("o"), F.col("id").cast("long").alias("id"), F.col("tokens").cast("long").alias("tokens"))
     by = df.groupBy(per, "category").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    share = F.coalesce(text.choose(F.col("category"), shares), F.lit(0)).cast("long")
+    share = F.lit(0).cast("long")
+    for c, part in shares(total, weights).items():
+        share = F.when(F.col("category") == c, part).otherwise(share)
     first = by.withColumn("got", _greedy(F.col("items"), share))
     first = first.withColumn("rest", F.filter("items", lambda x: ~F.array_contains(F.col("got.ids"), x["id"])))
     whole = first.groupBy(per).agg(F.flatten(F.collect_list("got.ids")).alias("a"), F.sum("got.used").alias("used"), F.sort_array(F.flatten(F.collect_list("rest"))).alias("rest"))

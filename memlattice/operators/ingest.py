@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 
 def payload_errors(body: Column, prefix: Column | None = None, required: Sequence[str] = tuple(D.REQUIRED_FIELDS), most: int = D.MAX_PAYLOAD_BYTES) -> Column:
     """Array of errors of a JSON payload: too large, no JSON object, required fields that are missing or null."""
-    v = F.try_parse_json(body)
     at = lambda name: F.concat(prefix, F.lit("." + name)) if prefix is not None else F.lit(name)
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
+    whole = prefix if prefix is not None else F.lit("body")
     there = lambda x: x.isNotNull() & ~F.is_variant_null(x)
-    missing = F.array(*[F.when(~there(F.try_variant_get(v, f"$.{f}", "variant")), F.concat(at(f), F.lit(": required"))) for f in required])
-    return (
-        F.when(F.octet_length(body) > most, F.array(F.lit("body: too large")))
-        .when(v.isNull(), F.array(F.lit("body: not JSON")))
-        .when(~is_object, F.array(F.concat(prefix if prefix is not None else F.lit("body"), F.lit(": not an object"))))
-        .otherwise(F.array_compact(missing))
-    )
+
+    def of(v: Column) -> Column:
+        missing = F.array(*[F.when(~there(F.try_variant_get(v, f"$.{f}", "variant")), F.concat(at(f), F.lit(": required"))) for f in required])
+        return F.when(v.isNull(), F.array(F.concat(whole, F.lit(": not JSON")))).when(~F.schema_of_variant(v).startswith("OBJECT"), F.array(F.concat(whole, F.lit(": not an object")))).otherwise(F.array_compact(missing))
+
+    return F.when(F.octet_length(body) > most, F.array(F.concat(whole, F.lit(": too large")))).otherwise(let(F.try_parse_json(body), of))
 
 
 def batch_errors(body: Column) -> Column:
@@ -51,12 +50,14 @@ def parsed_memories(df: DataFrame, response: str) -> DataFrame:
     return out.where(F.schema_of_variant("item").startswith("OBJECT"))
 
 
-def normalized(item: Column) -> dict[str, Column]:
-    """A memory with its defaults: kind and source, stripped title and content, a title from the content."""
+def normalized(df: DataFrame, item: str = "item") -> DataFrame:
+    """``df`` with a memory's fields in place of the variant ``item``: kind and source with their defaults, stripped
+    title and content, a title from the content where there is none."""
+    rest = [c for c in df.columns if c != item]
     get = lambda f: F.try_variant_get(item, f"$.{f}", "string")
-    content, title = strip(F.coalesce(get("content"), F.lit(""))), strip(F.coalesce(get("title"), F.lit("")))
-    title = F.when((title == "") & (content != ""), strip(F.left(content, F.lit(80)))).otherwise(title)
-    return {"memory_type": F.coalesce(get("memory_type"), F.lit("custom")), "source_type": F.coalesce(get("source_type"), F.lit("agent_inference")), "title": title, "content": content}
+    text = {f: strip(F.coalesce(get(f), F.lit(""))).alias(f) for f in ("title", "content")}
+    out = df.select(*rest, F.coalesce(get("memory_type"), F.lit("custom")).alias("memory_type"), F.coalesce(get("source_type"), F.lit("agent_inference")).alias("source_type"), text["title"], text["content"])
+    return out.withColumn("title", F.when((F.col("title") == "") & (F.col("content") != ""), strip(F.left("content", F.lit(80)))).otherwise(F.col("title")))
 
 
 def valid_memory(kind: Column, source: Column, title: Column) -> Column:
@@ -93,46 +94,59 @@ def resolve_policy(name: str, own: Mapping[str, tuple] | None = None) -> tuple:
     return (own or {}).get(name) or D.POLICIES.get(name) or (D.MEMORY_TYPES, [], {})
 
 
-def check_schema(schema: Mapping) -> list[str]:
-    """What is wrong with a schema's definition: the fields at fault."""
+def check_schema(schema: Mapping) -> list[tuple[str, str]]:
+    """What is wrong with a schema's definition, as (rule, place); the rules are those of ``SCHEMA_RULES``, in order."""
+    return [(rule, place) for rule, places in SCHEMA_RULES for place in places(schema)]
+
+
+def schema_fields(schema: Mapping) -> list[tuple[str, Mapping]]:
+    """(place, field) of the fields that are objects."""
     fields = schema.get("fields")
-    if not isinstance(fields, list) or not fields:
-        return ["fields"]
-    seen, bad = set(), []
-    for i, f in enumerate(fields):
-        if not isinstance(f, dict):
-            bad.append(f"fields[{i}]")
-            continue
-        name = f.get("name")
-        if not isinstance(name, str) or not name:
-            bad.append(f"fields[{i}].name")
-            continue
-        if name in seen or f.get("type") not in D.FIELD_TYPES or (f.get("type") == "enum" and not f.get("values")):
-            bad.append(name)
-        seen.add(name)
-    required = schema.get("required", [])
-    return bad + (["required"] if not isinstance(required, list) else [n for n in required if n not in seen])
+    return [(f"fields[{i}]", f) for i, f in enumerate(fields if isinstance(fields, list) else []) if isinstance(f, Mapping)]
+
+
+def field_names(schema: Mapping) -> list[str]:
+    return [f["name"] for _, f in schema_fields(schema) if isinstance(f.get("name"), str) and f["name"]]
+
+
+#: (rule, schema -> where it is broken).
+SCHEMA_RULES: list[tuple[str, Callable[[Mapping], list[str]]]] = [
+    ("fields must be a list with an entry", lambda s: [] if isinstance(s.get("fields"), list) and s["fields"] else ["fields"]),
+    ("a field is an object with a name", lambda s: [f"fields[{i}]" for i, f in enumerate(s["fields"] if isinstance(s.get("fields"), list) else []) if not isinstance(f, Mapping) or not isinstance(f.get("name"), str) or not f["name"]]),
+    ("names are unique", lambda s: sorted(n for n, k in Counter(field_names(s)).items() if k > 1)),
+    ("a type is one of the known ones", lambda s: [place for place, f in schema_fields(s) if f.get("type") not in D.FIELD_TYPES]),
+    ("an enum lists its values", lambda s: [place for place, f in schema_fields(s) if f.get("type") == "enum" and not f.get("values")]),
+    ("what is required is a field", lambda s: sorted(set(r) - set(field_names(s))) if isinstance(r := s.get("required", []), list) else ["required"]),
+]
 
 
 def schema_errors(data: Column, schema: Mapping) -> Column:
     """Array of errors of a variant object against a schema. Unknown keys are ignored, nulls pass every kind, a boolean
-    is no number, dates are ISO dates or strings of such."""
-    errors = []
-    for name in schema.get("required", []):
-        v = F.try_variant_get(data, f"$.{name}", "variant")
-        errors.append(F.when(v.isNull() | F.is_variant_null(v), F.lit(f"{name} is required")))
-    for f in schema["fields"]:
-        v = F.try_variant_get(data, f"$.{f['name']}", "variant")
-        kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-        number = kind.startswith("BIGINT") | kind.startswith("DOUBLE") | kind.startswith("DECIMAL") | kind.startswith("FLOAT")
-        ok = {
-            "string": kind == "STRING",
-            "number": number,
-            "boolean": kind == "BOOLEAN",
-            "date": (kind == "STRING") & F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)) & text.try_cast("date").isNotNull(),
-            "enum": (kind == "STRING") & text.isin(*f.get("values", [])),
-            "array": kind.startswith("ARRAY"),
-            "object": kind.startswith("OBJECT"),
-        }[f["type"]]
-        errors.append(F.when(v.isNotNull() & ~F.is_variant_null(v) & ~F.coalesce(ok, F.lit(False)), F.lit(f"{f['name']} must be {f['type']}")))
-    return F.array_compact(F.array(*errors))
+    is no number, dates are ISO dates or strings of such. Each field is taken out of the object once."""
+    fields = {f["name"]: f for f in schema["fields"]}
+    names = list(dict.fromkeys([*schema.get("required", []), *fields]))
+    at = {n: f"f{i}" for i, n in enumerate(names)}
+
+    def check(values: Column, kinds: Column) -> Column:
+        null = lambda n: values[at[n]].isNull() | F.is_variant_null(values[at[n]])
+        errors = [F.when(null(n), F.lit(f"{n} is required")) for n in schema.get("required", [])]
+        for n, f in fields.items():
+            v, kind = values[at[n]], kinds[at[n]]
+            text = F.try_variant_get(v, "$", "string")
+            ok = {
+                "string": kind == "STRING",
+                "number": kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"),
+                "boolean": kind == "BOOLEAN",
+                "date": (kind == "STRING") & F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)) & text.try_cast("date").isNotNull(),
+                "enum": (kind == "STRING") & text.isin(*f.get("values", [])),
+                "array": kind.startswith("ARRAY"),
+                "object": kind.startswith("OBJECT"),
+            }[f["type"]]
+            errors.append(F.when(~null(n) & ~F.coalesce(ok, F.lit(False)), F.lit(f"{n} must be {f['type']}")))
+        return F.array_compact(F.array(*errors))
+
+    def of(v: Column) -> Column:
+        values = F.struct(*[F.try_variant_get(v, f"$.{n}", "variant").alias(at[n]) for n in names])
+        return let(values, lambda x: let(F.struct(*[F.schema_of_variant(x[a]).alias(a) for a in at.values()]), lambda k: check(x, k)))
+
+    return let(data, of)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains as D
 from ..functions import scoring
+from ..functions.text import strip
 
 
 def decay_candidates(df: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def reflected(df: DataFrame, seen: Column, now: Column) -> DataFrame:
 
 
 def merge_exact(df: DataFrame, content: str, *keys: str, order: str = "id") -> DataFrame:
-    """The first row of each lower-cased, trimmed content."""
-    w = Window.partitionBy(*keys, F.lower(F.trim(content))).orderBy(order)
+    """The first row of each content, lower-cased and without white space around it."""
+    w = Window.partitionBy(*keys, F.lower(strip(F.col(content)))).orderBy(order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -7,6 +7,7 @@ each row see what the rows before it left.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -18,16 +19,17 @@ from ..functions import similarity as Sim
 from ..functions.text import choose, strip
 
 
-def best_match(incoming: DataFrame, existing: DataFrame, block: list[str], key: str, text: str, least: float, summary: str | None = None, earlier: bool = False) -> DataFrame:
+def best_match(incoming: DataFrame, existing: DataFrame, block: list[str], key: str, text: str, least: float, summary: str | None = None, earlier: bool = False, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``incoming`` with match and similarity: the existing row most similar to it, the smaller id of equals; null
     where none is similar by ``least`` or more, and never a row with similarity 0. With ``summary``, a column of
     ``existing``, the greater of the similarities to its text and to its text and summary counts. ``earlier``: only
-    rows with a smaller key are candidates."""
+    rows with a smaller key are candidates. ``similarity``: an expression or UDF (incoming, candidate) -> 0 to 1 in place
+    of the built-in ratio; it is then computed for every pair of a block."""
     theirs = existing.select(*block, F.col(key).alias("match"), F.col(text).alias("_theirs"), *([F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in (text, summary)]).alias("_longer")] if summary else []))
     sides = ["_theirs", "_longer"] if summary else ["_theirs"]
     pairs = incoming.join(theirs, block).where(F.col("match") < F.col(key) if earlier else F.col(key) != F.col("match"))
-    able = [F.coalesce(Sim.could_reach(F.col(text), F.col(c), least), F.lit(False)) for c in sides]
-    found = [Sim.ratio_from(least)(F.col(text), F.col(c)) for c in sides]
+    able = [F.lit(True) if similarity else F.coalesce(Sim.could_reach(F.col(text), F.col(c), least), F.lit(False)) for c in sides]
+    found = [(similarity or Sim.ratio_from(least))(F.col(text), F.col(c)) for c in sides]
     pairs = pairs.where(able[0] | able[1] if summary else able[0]).select(key, "match", (F.greatest(*found) if summary else found[0]).alias("similarity")).where((F.col("similarity") >= least) & (F.col("similarity") > 0))
     w = Window.partitionBy(key).orderBy(F.desc("similarity"), "match")
     top = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -60,11 +62,15 @@ def entity_type(name: Column, kind: Column) -> Column:
     return F.when(low.rlike("|".join(D.TECHNOLOGY_WORDS)), "technology").when(low.rlike("|".join(D.COMPANY_WORDS)), "company").otherwise(choose(kind, D.ENTITY_OF_TYPE, "topic"))
 
 
-def contradictions(new: DataFrame, current: DataFrame, block: list[str]) -> DataFrame:
-    """(new_id, old_id): all current rows of a block with a similar title and another content."""
+def contradictions(new: DataFrame, current: DataFrame, block: list[str], detect: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
+    """(new_id, old_id): all current rows of a block with a similar title and another content; with ``detect``, those
+    for which it holds, given (title, content) of the new and the current row."""
     a = new.select(*block, F.col("id").alias("new_id"), F.col("title").alias("_a"), F.col("content").alias("_ac"))
     b = current.select(*block, F.col("id").alias("old_id"), F.col("title").alias("_b"), F.col("content").alias("_bc"))
-    pairs = a.join(b, block).where((F.col("new_id") != F.col("old_id")) & (strip(F.col("_ac")) != strip(F.col("_bc"))))
+    pairs = a.join(b, block).where(F.col("new_id") != F.col("old_id"))
+    if detect is not None:
+        return pairs.where(detect(F.col("_a"), F.col("_ac"), F.col("_b"), F.col("_bc"))).select("new_id", "old_id")
+    pairs = pairs.where((strip(F.col("_ac")) != strip(F.col("_bc"))))
     pairs = pairs.where(Sim.could_reach(F.col("_a"), F.col("_b"), D.CONTRADICTION_FROM))
     return pairs.where(Sim.ratio_from(D.CONTRADICTION_FROM)(F.col("_a"), F.col("_b")) >= D.CONTRADICTION_FROM).select("new_id", "old_id")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,9 +63,8 @@ def mmr_order(score: Column, similarity: Column, weight: float = 0.7) -> Column:
     return score * weight - similarity * (1 - weight)
 
 
-def rrf(df: DataFrame, scores: Sequence[str], key: str = "id", constant: int = 60) -> DataFrame:
-    """(key, rrf): reciprocal-rank fusion of several scores of a bounded result list."""
-    out = df
-    for s in scores:
-        out = out.withColumn(f"_{s}", F.row_number().over(Window.orderBy(F.desc(s), F.col(key))))
-    return out.select(key, sum((1.0 / (constant + F.col(f"_{s}")) for s in scores), F.lit(0.0)).alias("rrf"))
+def rrf(df: DataFrame, scores: Sequence[str], key: str = "id", constant: int = 60, most: int = 1000) -> DataFrame:
+    """(key, rrf): reciprocal-rank fusion of the result lists of several scores, each its ``most`` best rows (a list's
+    length is part of the method); a row that a list lacks gets nothing from it."""
+    lists = [df.orderBy(F.desc(s), key).limit(most).select(key, (1.0 / (constant + F.row_number().over(Window.orderBy(F.desc(s), F.col(key))))).alias("_part")) for s in scores]
+    return reduce(DataFrame.unionByName, lists).groupBy(key).agg(F.sum("_part").alias("rrf"))

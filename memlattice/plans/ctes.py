@@ -42,7 +42,7 @@ MEM = f"""mem AS (
   FROM documents)"""
 
 EMB = MEM + """, emb AS (
-  SELECT m.*, v.embedding FROM mem m LEFT JOIN embeddings v ON m.id % 500 = v.vec_id)"""
+  SELECT m.*, v.embedding FROM mem m LEFT JOIN embeddings v ON m.id = v.vec_id)"""
 
 VER = MEM + """, ver AS (
   SELECT id AS memory_id, organization_id, n AS version, title || '#' || n AS content, importance / n AS importance,
@@ -77,3 +77,18 @@ GOA = f"""goa AS (
     {listed(D.MEMORY_STATES)}[o_orderkey % 4 + 1] AS memory_state, o_orderkey % 17 = 0 AS is_pinned,
     o_orderkey % 13 = 0 AS is_archived, (o_orderkey % 100) / 100.0 AS importance, o_orderdate AS seen_at, o_custkey AS user_id
   FROM orders)"""
+
+
+def similarities(pairs: str) -> str:
+    """CTEs (recursive) that give ``sim`` (a, b, ratio): the Ratcliff-Obershelp ratio of each distinct pair (a, b) of
+    lower-cased texts of ``pairs``, under 200 characters. A step takes the longest common block, the first in a, then
+    in b, and goes on with what lies to its left and right; a block is kept as 1000 * length - place in a."""
+    best = """list_max(list_transform(list_filter(flatten(list_transform(range(1, least(len({a}), len({b})) + 1), lambda k: list_transform(range(1, len({a}) - k + 2), lambda i: [k, i]))),
+      lambda c: contains({b}, substr({a}, c[2], c[1]))), lambda c: c[1] * 1000 - c[2]))"""
+    return f"""txt AS (SELECT DISTINCT a, b FROM {pairs}),
+seg AS (SELECT a AS left_text, b AS right_text, a, b, {best.format(a="a", b="b")} AS best FROM txt
+  UNION ALL SELECT left_text, right_text, x.a, x.b, {best.format(a="x.a", b="x.b")} FROM (
+    SELECT left_text, right_text, unnest([{{'a': substr(a, 1, i - 1), 'b': substr(b, 1, j - 1)}}, {{'a': substr(a, i + k), 'b': substr(b, j + k)}}]) AS x FROM (
+      SELECT *, instr(b, substr(a, i, k)) AS j FROM (SELECT *, CAST(ceil(best / 1000.0) AS BIGINT) AS k, CAST(ceil(best / 1000.0) * 1000 - best AS BIGINT) AS i FROM seg WHERE best IS NOT NULL)))
+  WHERE x.a <> '' AND x.b <> ''),
+sim AS (SELECT left_text AS a, right_text AS b, 2.0 * sum(coalesce(ceil(best / 1000.0), 0)) / (len(left_text) + len(right_text)) AS ratio FROM seg GROUP BY left_text, right_text)"""

@@ -40,7 +40,7 @@ def context_pack_prefix(spark, sf):
     return C.pack_prefix(i, 4000, "user_id", F.desc("importance"), F.col("id")).select("user_id", "id", "used")
 
 
-SHARES = C.allocate(1000)
+SHARES = {c: round(1000 * w) for c, w in D.BUDGET.items()}
 GREEDY = f"""WITH RECURSIVE {MEM}, i AS (SELECT user_id, id, {CAT} AS category, {TOKENS} AS tokens, importance FROM mem WHERE {OK}),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id, category ORDER BY importance DESC, id) AS n, CASE category {" ".join(f"WHEN '{c}' THEN {v}" for c, v in SHARES.items())} END AS share FROM i),
 f AS (SELECT user_id, category, n, id, tokens, importance, tokens <= share AS took, CASE WHEN tokens <= share THEN tokens ELSE 0 END AS used FROM o WHERE n = 1
@@ -74,15 +74,16 @@ def context_token_usage(spark, sf):
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', CAST({v} AS BIGINT))" for c, v in zip(D.BUDGET, (351, 201, 150, 150, 100, 50))) + ") t(category, budget)")
 def budget_allocation(spark, sf):
     """1002 tokens: the remainder goes to the first categories, one each."""
-    return spark.createDataFrame(list(C.allocate(1002).items()), "category string, budget long")
+    parts = F.array(*[F.struct(F.lit(c).alias("category"), part.alias("budget")) for c, part in C.shares(1002).items()])
+    return spark.range(1).select(F.explode(parts).alias("p")).select("p.*")
 
 
-@query(f"""WITH {MEM}, l AS (SELECT user_id, string_agg('- [' || memory_type || '] ' || title || ': ' || left(content, 40) || ' (score: ' || printf('%.3f', importance) || ')', chr(10) ORDER BY importance DESC, id) AS body FROM mem WHERE {OK} AND {SEC} = 'relevant_memories' GROUP BY user_id)
+@query(f"""WITH {MEM}, l AS (SELECT user_id, string_agg('- [' || memory_type || '] ' || title || ': ' || content || ' (score: ' || printf('%.3f', importance) || ')', chr(10) ORDER BY importance DESC, id) AS body FROM mem WHERE {OK} AND {SEC} = 'relevant_memories' GROUP BY user_id)
 SELECT user_id, '## Relevant Memories' || chr(10) || body AS prompt FROM l""")
 def prompt_rendering(spark, sf):
     """The memories section of a system prompt."""
     m = C.valid(V.memories(spark, sf)).where(C.section(F.col("memory_type")) == "relevant_memories")
-    line = C.bullet(F.col("memory_type"), F.col("title"), F.left("content", F.lit(40)), F.col("importance"))
+    line = C.bullet(F.col("memory_type"), F.col("title"), F.col("content"), F.col("importance"))
     g = m.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("o"), "id", line.alias("line")))).alias("ls"))
     return g.select("user_id", F.concat(F.lit("## Relevant Memories\n"), F.array_join(F.col("ls.line"), "\n")).alias("prompt"))
 

@@ -8,15 +8,15 @@ from ..sources import views as V
 from .ctes import MEM, case, strip
 from .registry import query
 
-# Payloads of six sorts, made alike on both sides.
+# Payloads of six sorts, made alike on both sides; of the padded ones, those of every tenth conversation are too large.
 BODY = """body AS (SELECT conv_id AS id, turn, CASE (conv_id + turn) % 6
   WHEN 0 THEN '{"user_id": ' || conv_id || ', "organization_id": 1, "session_id": ' || conv_id || ', "messages": []}'
   WHEN 1 THEN '{"user_id": null, "organization_id": 1, "messages": []}'
   WHEN 2 THEN '{"user_id": 1, "organization_id"'
   WHEN 3 THEN '[1, 2]'
   WHEN 4 THEN '{}'
-  ELSE '{"user_id": 1, "organization_id": 2, "session_id": 3, "messages": [], "pad": "' || repeat('a', 1048500) || '"}' END AS body
-FROM conversations WHERE turn < 2)"""
+  ELSE '{"user_id": 1, "organization_id": 2, "session_id": 3, "messages": [], "pad": "' || repeat('a', CASE WHEN conv_id % 10 = 0 THEN 1048600 ELSE 60 END) || '"}' END AS body
+FROM conversations)"""
 MISSING = ", ".join(f"CASE WHEN json_extract(j, '$.{f}') IS NULL OR json_type(j, '$.{f}') = 'NULL' THEN '{f}: required' END" for f in D.REQUIRED_FIELDS)
 ERRORS = f"""{BODY}, p AS (SELECT id, turn, octet_length(encode(body)) AS n, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM body),
 e AS (SELECT id, turn, CASE WHEN n > 1048576 THEN 'body: too large' WHEN j IS NULL THEN 'body: not JSON' WHEN json_type(j) <> 'OBJECT' THEN 'body: not an object'
@@ -24,7 +24,7 @@ e AS (SELECT id, turn, CASE WHEN n > 1048576 THEN 'body: too large' WHEN j IS NU
 
 
 def bodies(spark, sf):
-    c = V.load(spark, sf, "conversations").where("turn < 2")
+    c = V.load(spark, sf, "conversations")
     i, k = F.col("conv_id").cast("string"), (F.col("conv_id") + F.col("turn")) % 6
     body = (
         F.when(k == 0, F.concat(F.lit('{"user_id": '), i, F.lit(', "organization_id": 1, "session_id": '), i, F.lit(', "messages": []}')))
@@ -32,7 +32,7 @@ def bodies(spark, sf):
         .when(k == 2, '{"user_id": 1, "organization_id"')
         .when(k == 3, "[1, 2]")
         .when(k == 4, "{}")
-        .otherwise(F.concat(F.lit('{"user_id": 1, "organization_id": 2, "session_id": 3, "messages": [], "pad": "'), F.repeat(F.lit("a"), 1048500), F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"user_id": 1, "organization_id": 2, "session_id": 3, "messages": [], "pad": "'), F.repeat(F.lit("a"), F.when(F.col("conv_id") % 10 == 0, 1048600).otherwise(60)), F.lit('"}')))
     )
     return c.select(F.col("conv_id").alias("id"), "turn", body.alias("body"))
 
@@ -48,16 +48,16 @@ def payload_accepted(spark, sf):
     return ok.select("id", "turn")
 
 
-@query(f"""WITH {ERRORS}, b AS (SELECT id, string_agg(CASE WHEN errors = 'body: not an object' THEN '[' || turn || ']: not an object' WHEN errors = '' THEN NULL
-  ELSE '[' || turn || '].' || replace(errors, '; ', '; [' || turn || '].') END, '; ' ORDER BY turn) AS errors FROM e WHERE id % 6 IN (0, 3, 4) AND (id + turn) % 6 IN (0, 1, 3, 4) GROUP BY id)
-SELECT id, coalesce(errors, '') AS errors FROM b""")
+@query(f"""WITH {ERRORS}, i AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn) - 1 AS k, errors FROM e),
+m AS (SELECT id, k, errors = 'body: not JSON' AS broken, CASE WHEN errors = '' THEN NULL WHEN starts_with(errors, 'body: ') THEN '[' || k || ']: ' || substr(errors, 7)
+  ELSE '[' || k || '].' || replace(errors, '; ', '; [' || k || '].') END AS errors FROM i)
+SELECT id, CASE WHEN bool_or(broken) THEN 'body: not an array' ELSE coalesce(string_agg(errors, '; ' ORDER BY k), '') END AS errors FROM m GROUP BY id""")
 def batch_validation(spark, sf):
-    """Conversations' payloads as batches: one bad item gives the place of each error and rejects the batch."""
-    b = bodies(spark, sf).where("id % 6 IN (0, 3, 4) AND (id + turn) % 6 IN (0, 1, 3, 4)")
-    g = b.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("turn", "body"))).alias("bs"))
-    # a batch of a single item that is its second turn still numbers it by place
+    """Every conversation's payloads as a batch: one bad item gives the place of each error and rejects the batch; with
+    an item that is no JSON the whole is none."""
+    g = bodies(spark, sf).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("turn", "body"))).alias("bs"))
     body = F.concat(F.lit("["), F.array_join(F.col("bs.body"), ","), F.lit("]"))
-    return g.where("bs[0].turn = 0").select("id", F.array_join(I.batch_errors(body), "; ").alias("errors"))
+    return g.select("id", F.array_join(I.batch_errors(body), "; ").alias("errors"))
 
 
 def policy(name: str) -> str:
@@ -115,14 +115,13 @@ def answers(spark, sf):
 @query(f"WITH {NORM} SELECT * FROM m")
 def llm_json_parse(spark, sf):
     """A model's fenced answer to rows with defaults; what is no object is skipped."""
-    items = I.parsed_memories(answers(spark, sf), "answer")
-    return items.select("id", "idx", *[c.alias(n) for n, c in I.normalized(F.col("item")).items()])
+    return I.normalized(I.parsed_memories(answers(spark, sf), "answer"))
 
 
 @query(f"WITH {NORM} SELECT id, idx, title FROM m WHERE memory_type IN ({', '.join(repr(k) for k in D.MEMORY_TYPES)}) AND source_type IN ({', '.join(repr(k) for k in D.SOURCE_TYPES)}) AND length(title) > 0")
 def normalize_memories(spark, sf):
     """Those that then are valid memories."""
-    items = I.parsed_memories(answers(spark, sf), "answer").select("id", "idx", *[c.alias(n) for n, c in I.normalized(F.col("item")).items()])
+    items = I.normalized(I.parsed_memories(answers(spark, sf), "answer"))
     return items.where(I.valid_memory(F.col("memory_type"), F.col("source_type"), F.col("title"))).select("id", "idx", "title")
 
 

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import scoring, text
 from ..operators import lifecycle as L
 from ..operators.scans import affected, apply_changes
 from ..sources import views as V
-from .ctes import GOA, MEM, age
+from .ctes import GOA, MEM, age, strip
 from .registry import query
 
 NOW = V.ORDERS_NOW
@@ -47,13 +47,13 @@ def dormant_goals(spark, sf):
     return L.reflected(g, F.col("seen_at"), V.at(NOW)).select("id", "new_state", F.round("new_importance", 6).alias("new_importance"))
 
 
-@query("SELECT min(doc_id) AS id, count(*) AS n_merged FROM documents GROUP BY lower(trim(text))")
+@query(f"SELECT min(doc_id) AS id, count(*) AS n_merged FROM documents GROUP BY lower({strip('text')})")
 def merge_exact_duplicates(spark, sf):
-    d = V.load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("text")).alias("k"))
+    d = V.load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower(text.strip(F.col("text"))).alias("k"))
     return d.groupBy("k").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_merged")).drop("k")
 
 
-@query(f"WITH {MEM} SELECT id, organization_id FROM mem QUALIFY row_number() OVER (PARTITION BY organization_id, lower(trim(content)) ORDER BY id) = 1")
+@query(f"WITH {MEM} SELECT id, organization_id FROM mem QUALIFY row_number() OVER (PARTITION BY organization_id, lower({strip('content')}) ORDER BY id) = 1")
 def merged_memories(spark, sf):
     return L.merge_exact(V.memories(spark, sf), "content", "organization_id").select("id", "organization_id")
 

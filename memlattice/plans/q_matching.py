@@ -6,7 +6,7 @@ from ..functions import text
 from ..functions.text import iso
 from ..operators import matching as M
 from ..sources import views as V
-from .ctes import GOA, LNK, MEM, strip, iso as siso
+from .ctes import GOA, LNK, MEM, similarities, strip, iso as siso
 from .registry import query
 
 
@@ -33,7 +33,14 @@ def dedup_sequential(spark, sf):
     return M.sequential_dedup(V.memories(spark, sf), BLOCK, "id", "content", "title")
 
 
-@query(None)
+PARTS = """prt AS (SELECT p_partkey AS id, p_brand AS kind, p_size % 10 AS owner, lower(p_name) AS name, lower(p_name || ' ' || p_type) AS whole FROM part),
+prs AS (SELECT m.id, e.id AS match, m.whole AS a, unnest([e.name, e.whole]) AS b FROM prt m JOIN prt e ON e.kind = m.kind AND e.owner = m.owner AND e.id < m.id),
+par AS (SELECT * FROM prs WHERE 2.0 * least(len(a), len(b)) >= 0.5 * (len(a) + len(b)))"""
+
+
+@query(f"""WITH RECURSIVE {PARTS}, {similarities("par")}, best AS (SELECT id, match, max(ratio) AS similarity FROM par JOIN sim USING (a, b) WHERE ratio >= 0.5 GROUP BY id, match),
+top AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match) = 1)
+SELECT id, match, round(similarity, 6) AS similarity, CASE WHEN similarity > 0.8 THEN 'link' ELSE 'create' END AS decision FROM prt LEFT JOIN top USING (id)""")
 def entity_resolution(spark, sf):
     """Every part as a mention against the parts before it as entities of the same owner and kind, by their names or
     names and summaries: linked above 0.8, else created."""
@@ -45,11 +52,47 @@ def entity_resolution(spark, sf):
     return out.select("id", "match", F.round("similarity", 6).alias("similarity"), F.when(linked, "link").otherwise("create").alias("decision"))
 
 
-@query(None)
+CURRENT = f"""{MEM}, con AS (SELECT m.id AS new_id, o.id AS old_id, lower(m.title) AS a, lower(o.title) AS b FROM mem m JOIN mem o ON o.organization_id = m.organization_id AND o.user_id = m.user_id AND o.memory_type = m.memory_type AND o.id <> m.id
+  WHERE m.valid_to IS NULL AND o.valid_to IS NULL AND {strip("m.content")} <> {strip("o.content")} AND 2.0 * least(len(m.title), len(o.title)) >= 0.8 * (len(m.title) + len(o.title))),
+{similarities("con")}, hit AS (SELECT new_id, old_id FROM con JOIN sim USING (a, b) WHERE ratio >= 0.8)"""
+
+
+def contradicted(spark, sf):
+    m = V.memories(spark, sf).where("valid_to IS NULL")
+    rows = m.select("id", *BLOCK, "title", "content")
+    return m, M.contradictions(rows, rows, BLOCK)
+
+
+@query(f"WITH RECURSIVE {CURRENT} SELECT new_id, old_id FROM hit")
 def truth_contradictions(spark, sf):
     """Pairs of current memories of one tenant, user and kind with like titles and other contents."""
-    m = V.memories(spark, sf).where("valid_to IS NULL").select("id", *BLOCK, "title", "content")
-    return M.contradictions(m, m, BLOCK)
+    return contradicted(spark, sf)[1]
+
+
+@query(f"""WITH RECURSIVE {CURRENT}, s AS (SELECT old_id, min(new_id) AS new_id FROM hit GROUP BY old_id)
+SELECT 'version' AS row_of, old_id AS id, new_id AS by_id, {siso("valid_from")} AS since FROM s JOIN mem ON id = old_id
+UNION ALL SELECT 'closed', old_id, NULL, '2025-06-01T00:00:00' FROM s UNION ALL SELECT 'audit', old_id, new_id, '2025-06-01T00:00:00' FROM s""")
+def truth_maintenance(spark, sf):
+    """What detected contradictions write: versions, closed memories and audit rows."""
+    m, pairs = contradicted(spark, sf)
+    v, closed, audit = M.supersede(m, pairs, V.at(V.DOCS_NOW))
+    rows = v.select(F.lit("version").alias("row_of"), F.col("memory_id").alias("id"), F.col("superseded_by").alias("by_id"), iso(F.col("valid_from")).alias("since"))
+    rows = rows.unionByName(closed.select(F.lit("closed").alias("row_of"), "id", F.lit(None).cast("long").alias("by_id"), iso(F.col("valid_to")).alias("since")))
+    return rows.unionByName(audit.select(F.lit("audit").alias("row_of"), F.col("target_id").alias("id"), "by_id", iso(F.col("created_at")).alias("since")))
+
+
+@query(f"""WITH {MEM}, par AS (SELECT a.id AS new_id, b.id AS old_id FROM mem a JOIN mem b ON a.id = b.id + 550 AND b.valid_to IS NULL), s AS (SELECT old_id, min(new_id) AS new_id FROM par GROUP BY old_id)
+SELECT 'closed' AS row_of, old_id AS id, CAST(NULL AS BIGINT) AS by_id FROM s UNION ALL SELECT 'audit', old_id, new_id FROM s""")
+def supersession_rows(spark, sf):
+    """The closed memories and audit rows of given pairs."""
+    _, closed, audit = M.supersede(*given(spark, sf), V.at(V.DOCS_NOW))
+    out = closed.where(F.col("valid_to") == V.at(V.DOCS_NOW)).select(F.lit("closed").alias("row_of"), "id", F.lit(None).cast("long").alias("by_id"))
+    return out.unionByName(audit.where("operation = 'supersede'").select(F.lit("audit").alias("row_of"), F.col("target_id").alias("id"), "by_id"))
+
+
+def given(spark, sf):
+    m = V.memories(spark, sf)
+    return m, m.select(F.col("id").alias("new_id")).join(m.where("valid_to IS NULL").select(F.col("id").alias("old_id")), F.col("new_id") == F.col("old_id") + 550)
 
 
 PAIRS = "par AS (SELECT a.id AS new_id, b.id AS old_id FROM mem a JOIN mem b ON a.id = b.id + 550 AND b.valid_to IS NULL)"
@@ -58,9 +101,7 @@ PAIRS = "par AS (SELECT a.id AS new_id, b.id AS old_id FROM mem a JOIN mem b ON
 @query(f"WITH {MEM}, {PAIRS} SELECT old_id AS memory_id, min(new_id) AS superseded_by, any_value({siso('m.valid_from')}) AS valid_from, '2025-06-01T00:00:00' AS valid_to FROM par JOIN mem m ON m.id = old_id GROUP BY old_id")
 def truth_supersession(spark, sf):
     """The versions written when given pairs supersede."""
-    m = V.memories(spark, sf)
-    pairs = m.select(F.col("id").alias("new_id")).join(m.where("valid_to IS NULL").select(F.col("id").alias("old_id")), F.col("new_id") == F.col("old_id") + 550)
-    v, _, _ = M.supersede(m, pairs, V.at(V.DOCS_NOW))
+    v, _, _ = M.supersede(*given(spark, sf), V.at(V.DOCS_NOW))
     return v.select("memory_id", "superseded_by", iso(F.col("valid_from")).alias("valid_from"), iso(F.col("valid_to")).alias("valid_to"))
 
 
@@ -99,11 +140,10 @@ def entity_attributes(spark, sf):
     return M.entity_attributes(m, "entity_id").select("entity_id", "attribute", F.array_join("contents", ",").alias("contents"))
 
 
-@query(f"""WITH RECURSIVE {MEM}, o AS (SELECT user_id, {strip("left(content, 60)")} AS c, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM mem),
+@query(f"""WITH RECURSIVE {MEM}, o AS (SELECT user_id, {strip("content")} AS c, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM mem),
 f AS (SELECT user_id, n, left(c, 500) AS s FROM o WHERE n = 1
   UNION ALL SELECT o.user_id, o.n, CASE WHEN f.s = '' THEN left(o.c, 500) WHEN o.c <> '' AND NOT contains(f.s, o.c) THEN left(f.s || chr(10) || o.c, 500) ELSE f.s END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
 SELECT user_id, s AS summary FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
 def entity_summary(spark, sf):
     """A fold in order of id: appended unless contained, cut to 500 characters at each step."""
-    m = V.memories(spark, sf).withColumn("content", F.left("content", F.lit(60)))
-    return M.entity_summary(m, "user_id")
+    return M.entity_summary(V.memories(spark, sf), "user_id")

@@ -77,16 +77,36 @@ def sensitive_filter(spark, sf):
     return docs(spark, sf).where(P.sensitive(F.col("text"))).select("id")
 
 
-@query(None)
+def marked(k: int) -> str:
+    """The k-th rule's text with the values of its matches between two marks that no text has."""
+    pattern, to = RULES[k]
+    return f"regexp_replace(t{k}, {quoted(pattern)}, {quoted(to.replace('[REDACTED]', chr(1) + chr(92) + '2' + chr(2)) if to != P.MARK else chr(1) + chr(92) + '1' + chr(2))}, 'g')"
+
+
+def places(source: str, kind: str, x: str) -> str:
+    """(id, kind, value, position) of what stands between marks in ``x``."""
+    return f"""SELECT id, '{kind}' AS kind, substr(parts[k], 1, instr(parts[k], chr(2)) - 1) AS value, length(replace(array_to_string(parts[1:k - 1], ''), chr(2), '')) AS position
+  FROM (SELECT id, parts, unnest(range(2, len(parts) + 1)) AS k FROM (SELECT id, string_split({x}, chr(1)) AS parts FROM {source}))"""
+
+
+STEPS = ", ".join(f"regexp_replace(t{k}, {quoted(p)}, {quoted(to)}, 'g') AS t{k + 1}" for k, (p, to) in enumerate(RULES))
+FOUND = "\n  UNION ALL ".join(places("p", kind, marked(k)) for k, (kind, _, _) in enumerate(P.PRIMARY))
+CARD_MARK = f"regexp_replace(t{len(RULES)}, {quoted('(' + P.CARD + ')')}, chr(1) || {quoted(chr(92) + '1')} || chr(2), 'g')"
+
+
+@query(rf"""WITH {DOCS}, p AS (SELECT id, text AS t0, {STEPS} FROM d), f AS ({FOUND}),
+c AS ({places('p', 'payment_card', CARD_MARK)}), n AS (SELECT *, regexp_replace(value, '[ -]', '', 'g') AS n FROM c)
+SELECT id, kind, length(value) AS length, CAST(position AS BIGINT) AS position FROM f UNION ALL SELECT id, kind, length(value), position FROM n WHERE {LUHN}""")
 def redaction_events(spark, sf):
     """Kind, length and place of each redaction: an Arrow UDF, as places shift with every rule."""
     e = docs(spark, sf).select("id", F.explode(P.events("text")).alias("e"))
     return e.select("id", "e.kind", F.col("e.length").cast("long").alias("length"), F.col("e.position").cast("long").alias("position"))
 
 
-@query("WITH m AS (SELECT conv_id, turn, role, text || ' token=abcdef0123456789abcd' AS text FROM conversations) SELECT conv_id, string_agg(role || ': ' || " + chain("text", [(p, P.MARK) for p in P.DATAPLANE]) + ", chr(10) ORDER BY turn) AS transcript FROM m GROUP BY conv_id")
+@query(f"""WITH m AS (SELECT conv_id AS id, turn, role, text || {LIST}[turn % 12 + 1] AS text FROM conversations), p AS (SELECT id * 100000 + turn AS id, id AS conv_id, turn, role, {chain('text', RULES)} AS text FROM m), {CARDS.replace('{src}', 'p')}
+SELECT conv_id, string_agg(role || ': ' || redacted, chr(10) ORDER BY turn) AS transcript FROM out JOIN p USING (id) GROUP BY conv_id""")
 def redact_messages(spark, sf):
-    """Each message of a conversation on its own, then joined in order."""
-    c = V.load(spark, sf, "conversations").withColumn("text", F.concat("text", F.lit(" token=abcdef0123456789abcd")))
+    """Each message of a conversation on its own by the primary pipeline, then joined in order."""
+    c = V.load(spark, sf, "conversations").withColumn("text", P.primary(F.concat("text", V.pick(SPLICED, F.col("turn") % 12))))
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("ms"))
-    return g.select("conv_id", F.array_join(F.transform("ms", lambda m: F.concat_ws(": ", m["role"], P.dataplane(m["text"]))), "\n").alias("transcript"))
+    return g.select("conv_id", F.array_join(F.transform("ms", lambda m: F.concat_ws(": ", m["role"], m["text"])), "\n").alias("transcript"))

@@ -55,10 +55,10 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories with the vector ``id % 500``; memories without one keep a null."""
+    """Memories with the vector of the same id; memories without one keep a null."""
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id"), "embedding")
     m = memories(spark, sf_dir)
-    return m.join(v, m.id % 500 == v.vec_id, "left").drop("vec_id")
+    return m.join(v, m.id == v.vec_id, "left").drop("vec_id")
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,14 +87,19 @@ def test_rrf(spark):
     assert got[1] == pytest.approx(1 / 61 + 1 / 62) == pytest.approx(got[2])
 
 
-def test_allocate():
-    assert C.allocate(100)["projects"] == 35
-    assert list(C.allocate(1002).values()) == [351, 201, 150, 150, 100, 50]
+def budget(spark, total):
+    return one(spark, *C.shares(total).values()).asDict()
 
 
+def test_shares(spark):
+    assert budget(spark, 100)["projects"] == 35
+    assert list(budget(spark, 1002).values()) == [351, 201, 150, 150, 100, 50]
+
+
+@few
 @given(st.integers(1, 5000))
-def test_allocate_deals_all(total):
-    assert sum(C.allocate(total).values()) == total
+def test_shares_deal_all(spark, total):
+    assert sum(budget(spark, total).values()) == total
 
 
 @few
@@ -102,7 +107,7 @@ def test_allocate_deals_all(total):
 def test_greedy_packing(spark, items):
     rows = [(7, i, c, t, r / 10) for i, (c, t, r) in enumerate(items)]
     df = spark.createDataFrame(rows, "req long, id long, category string, tokens long, relevance double")
-    shares, took, used = C.allocate(100), [], 0
+    shares, took, used = {"projects": 35, "goals": 20, "facts": 15, "episodic": 15, "preferences": 10, "relationships": 5}, [], 0
     order = sorted(rows, key=lambda r: (-r[4], r[1]))
     for c in shares:
         mine = 0
@@ -255,7 +260,9 @@ def test_schema(spark):
     schema = {"fields": [{"name": "company", "type": "string"}, {"name": "stage", "type": "enum", "values": ["lead", "won"]}], "required": ["company"]}
     got = one(spark, I.schema_errors(F.parse_json(F.lit('{"stage": "maybe"}')), schema).alias("x")).x
     assert got == ["company is required", "stage must be enum"] and I.check_schema(schema) == []
-    assert I.check_schema({"fields": []}) == ["fields"] and I.check_schema({"fields": [{"name": "a", "type": "enum"}], "required": ["b"]}) == ["a", "b"]
+    assert [p for _, p in I.check_schema({"fields": []})] == ["fields"]
+    bad = I.check_schema({"fields": [{"name": "a", "type": "enum"}, {"name": "a", "type": "date"}, 5, {"type": "string"}, {"name": "c", "type": "odd"}], "required": ["b"]})
+    assert [p for _, p in bad] == ["fields[2]", "fields[3]", "a", "fields[4]", "fields[0]", "b"] and len({r for r, _ in bad}) == 5
 
 
 def test_policies():

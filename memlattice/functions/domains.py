@@ -30,4 +30,6 @@ POLICIES = {
 RATE_TIERS = {"hobby": (10, 20), "solo_pro": (50, 100), "team": (250, 500), "scale": (1000, 2000)}
 STATUS_MOVES = {"active": ["inactive"], "inactive": ["active", "archived"], "archived": []}
 MAX_PAYLOAD_BYTES, REQUIRED_FIELDS = 1 << 20, ["user_id", "organization_id", "session_id", "messages"]
+METER_EVENTS = ["observation:created", "observation:batch", "memory:pin", "memory:unpin", "memory:archive", "memory:restore", "memory:delete"]
+MAX_BATCH = 100
 # End of fixed values.

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -33,3 +37,18 @@ def deterministic_embedding(text: Column, dims: int) -> Column:
     )
     at = F.sequence(F.lit(0), F.lit(dims - 1))
     return F.transform(at, lambda i: F.conv(F.substring(chain, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2 - 1)
+
+
+def embedding_text(title: Column, content: Column) -> Column:
+    """What is embedded of a memory: its title and content, a line each, without white space around them."""
+    return strip(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))))
+
+
+def of_dimension(v: Column, dims: int) -> Column:
+    """``v``; reading it fails where it has another number of components."""
+    return F.when(v.isNull() | (F.size(v) == dims), v).otherwise(F.raise_error(F.concat(F.lit(f"a vector of {dims} was expected, not of "), F.size(v).cast("string"))))
+
+
+def embedded(text: Column, dims: int, provider: Callable[[Column], Column] | None = None) -> Column:
+    """The vector of a text by ``provider``, an expression or Arrow UDF; by digests without one."""
+    return of_dimension(provider(text) if provider else deterministic_embedding(text, dims), dims)

@@ -79,6 +79,22 @@ def bullet(kind: Column, title: Column, content: Column, score: Column) -> Colum
     return F.concat(F.lit("- ["), kind, F.lit("] "), title, F.lit(": "), content, F.lit(" (score: "), F.format_string("%.3f", score), F.lit(")"))
 
 
+#: Headings of a prompt's sections, in order.
+HEADINGS = {"active_projects": "Active Projects", "preferences": "Preferences", "goals": "Goals", "recent_events": "Recent Events", "relevant_memories": "Relevant Memories"}
+
+
+def prompt(df: DataFrame, per: str) -> DataFrame:
+    """(per, prompt): each request's memories under their sections' headings, most important first; goals with their
+    state and importance, others with their kind, content and score. Sections without memories are left out."""
+    place = text.choose(section(F.col("memory_type")), {s: k for k, s in enumerate(HEADINGS)})
+    line = F.when(F.col("memory_type") == "goal", goal_line(F.col("title"), F.col("memory_state"), F.col("importance"))).otherwise(bullet(F.col("memory_type"), F.col("title"), F.col("content"), F.col("importance")))
+    rows = df.select(per, place.alias("place"), F.struct((-F.col("importance")).alias("o"), "id", line.alias("line")).alias("l"))
+    parts = rows.groupBy(per, "place").agg(F.array_join(F.sort_array(F.collect_list("l")).getField("line"), "\n").alias("lines"))
+    heading = text.choose(F.col("place"), dict(enumerate(HEADINGS.values())))
+    parts = parts.select(per, F.struct("place", F.concat(F.lit("## "), heading, F.lit("\n"), "lines").alias("body")).alias("p"))
+    return parts.groupBy(per).agg(F.array_join(F.sort_array(F.collect_list("p")).getField("body"), "\n\n").alias("prompt"))
+
+
 def goal_line(description: Column, status: Column, progress: Column) -> Column:
     return F.format_string("- %s [%s] (%.0f%%)", description, status, progress * 100)
 

@@ -39,6 +39,11 @@ def linked_memories(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(nodes.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("memory_id").distinct()
 
 
+def typed_edges(pairs: DataFrame, relationship: str) -> DataFrame:
+    """Edges of a kind to append, one for each pair (source, target) of different nodes, however often it is named."""
+    return pairs.where("source <> target").select("source", "target", F.lit(relationship).alias("relationship")).distinct()
+
+
 def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges with an end among ``nodes`` (id)."""
     ends = nodes.select("id")

@@ -25,11 +25,11 @@ def payload_errors(body: Column, prefix: Column | None = None, required: Sequenc
     return F.when(F.octet_length(body) > most, F.array(F.concat(whole, F.lit(": too large")))).otherwise(let(F.try_parse_json(body), of))
 
 
-def batch_errors(body: Column) -> Column:
-    """Array of errors of a JSON array of payloads; a batch is taken whole or not at all."""
+def batch_errors(body: Column, most: int = D.MAX_BATCH) -> Column:
+    """Array of errors of a JSON array of ``most`` payloads at most; a batch is taken whole or not at all."""
     items = F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")
     each = F.flatten(F.transform(items, lambda x, i: payload_errors(F.to_json(x), F.concat(F.lit("["), i.cast("string"), F.lit("]")))))
-    return F.when(items.isNull(), F.array(F.lit("body: not an array"))).when(F.size(items) == 0, F.array(F.lit("body: empty"))).otherwise(each)
+    return F.when(items.isNull(), F.array(F.lit("body: not an array"))).when(F.size(items) == 0, F.array(F.lit("body: empty"))).when(F.size(items) > most, F.array(F.lit(f"body: more than {most} items"))).otherwise(each)
 
 
 def split(df: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
@@ -38,6 +38,26 @@ def split(df: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where(F.size("errors") == 0).drop("errors"), marked.where(F.size("errors") > 0)
 
 
+def create_many(rows: DataFrame, errors: Column) -> DataFrame:
+    """``rows``, all of them or none: reading them fails if a single one has ``errors`` (an array). The check is a count
+    of its own, so no row is handed on before every row was looked at."""
+    bad = rows.where(F.size(errors) > 0).agg(F.count(F.lit(1))).scalar()
+    checked = F.when(bad > 0, F.raise_error(F.concat(bad.cast("string"), F.lit(" rows are not valid")))).otherwise(F.lit(True))
+    return rows.where(checked)
+
+
+def persisted(scored: DataFrame, now: Column) -> DataFrame:
+    """Scored memories (id, organization_id, user_id, memory_type, source_type, title, content, importance) as rows of
+    the memory table: new, active, valid from now on."""
+    return scored.withColumns({"memory_state": F.lit("active"), "is_pinned": F.lit(False), "is_archived": F.lit(False), "utility_score": F.lit(0.0), "created_at": now, "valid_from": now, "valid_to": F.lit(None).cast("timestamp_ntz")})
+
+
+def metered(changes: DataFrame, subject: str, op: str = "op") -> DataFrame:
+    """``changes`` with event_type, the kind that metering counts them under; other operations are not metered."""
+    kind = F.concat(F.lit(f"{subject}:"), F.col(op))
+    return changes.withColumn("event_type", kind).where(F.col("event_type").isin(*D.METER_EVENTS))
+
+
 def unfenced(response: Column) -> Column:
     """A model's answer without the code fence around it."""
     return strip(F.regexp_replace(strip(response), r"^```(json)?|```$", ""))

@@ -45,3 +45,10 @@ def legal_move(before: Column, after: Column) -> Column:
 
 def stale(status: Column, updated: Column, now: Column) -> Column:
     return (status == "active") & (updated <= F.timestamp_add("DAY", F.lit(-90), now))
+
+
+def created_sessions(requests: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:
+    """Rows (id, user_id, started_at, ended_at) to append for requests (id, user_id): open from now on; a session that
+    is there already is not created again."""
+    new = requests.select("id", "user_id").dropDuplicates(["id"]).join(sessions.select("id"), "id", "left_anti")
+    return new.select("id", "user_id", now.alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("ended_at"))

@@ -31,9 +31,15 @@ def check_tenant(df: DataFrame, organization: str, column: str = "organization_i
     return df.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.lit("tenant mismatch"))))
 
 
+def only_one(df: DataFrame, what: str = "row") -> DataFrame:
+    """The one row of ``df``, or none; reading it fails if there is a second. Two rows at most are looked at."""
+    few = df.limit(2)
+    return few.where(F.when(few.agg(F.count(F.lit(1))).scalar() > 1, F.raise_error(F.lit(f"more than one {what}"))).otherwise(F.lit(True)))
+
+
 def insert_new(base: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """The rows whose key ``base`` lacks, the first of each key: what an insert that ignores conflicts appends."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c) for c in rows.columns if c != key])
+    w = Window.partitionBy(key).orderBy(*[F.col(c) for c in rows.columns if c != key] or [F.lit(1)])
     first = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return first.join(base.select(key), key, "left_anti").select(*base.columns)
 

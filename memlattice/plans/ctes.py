@@ -57,7 +57,7 @@ SES = """ses AS (
 
 MET = """met AS (
   SELECT event_id AS id, user_id % 10 AS tenant_id, user_id AS actor_id, event_type, ts AS recorded_at, value AS units,
-    CAST(json_extract_string(props, '$.k') AS BIGINT) AS target_id FROM events)"""
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS target_id, octet_length(encode(props)) AS bytes FROM events)"""
 
 ENT = """ent AS (
   SELECT 'region:' || r_regionkey AS id, 'region' AS kind, r_name AS name, CAST(-1 AS BIGINT) AS user_id FROM region

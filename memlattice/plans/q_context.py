@@ -40,6 +40,13 @@ def context_pack_prefix(spark, sf):
     return C.pack_prefix(i, 4000, "user_id", F.desc("importance"), F.col("id")).select("user_id", "id", "used")
 
 
+@query(f"WITH {MEM} SELECT user_id, sum(octet_length(encode(content)) // 4) > 4000 AS truncated FROM mem WHERE {OK} GROUP BY user_id")
+def context_truncated(spark, sf):
+    """Whether the prefix budget left anything out."""
+    i = C.valid(V.memories(spark, sf)).groupBy("user_id").agg(F.sum(text.byte_tokens(F.col("content"))).alias("n"))
+    return i.select("user_id", (F.col("n") > 4000).alias("truncated"))
+
+
 SHARES = {c: round(1000 * w) for c, w in D.BUDGET.items()}
 GREEDY = f"""WITH RECURSIVE {MEM}, i AS (SELECT user_id, id, {CAT} AS category, {TOKENS} AS tokens, importance FROM mem WHERE {OK}),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id, category ORDER BY importance DESC, id) AS n, CASE category {" ".join(f"WHEN '{c}' THEN {v}" for c, v in SHARES.items())} END AS share FROM i),
@@ -88,6 +95,17 @@ def prompt_rendering(spark, sf):
     return g.select("user_id", F.concat(F.lit("## Relevant Memories\n"), F.array_join(F.col("ls.line"), "\n")).alias("prompt"))
 
 
+HEAD = " ".join(f"WHEN '{s}' THEN '{k}'" for k, s in enumerate(C.HEADINGS))
+
+
+@query(f"""WITH {MEM}, l AS (SELECT user_id, CASE {SEC} {HEAD} END AS place, string_agg(CASE WHEN memory_type = 'goal' THEN printf('- %s [%s] (%.0f%%)', title, memory_state, importance * 100)
+  ELSE '- [' || memory_type || '] ' || title || ': ' || content || ' (score: ' || printf('%.3f', importance) || ')' END, chr(10) ORDER BY importance DESC, id) AS body FROM mem WHERE {OK} GROUP BY ALL)
+SELECT user_id, string_agg('## ' || ['{"', '".join(C.HEADINGS.values())}'][CAST(place AS INTEGER) + 1] || chr(10) || body, chr(10) || chr(10) ORDER BY place) AS prompt FROM l GROUP BY user_id""")
+def prompt_sections(spark, sf):
+    """All sections of a system prompt."""
+    return C.prompt(C.valid(V.memories(spark, sf)), "user_id")
+
+
 @query(f"WITH {MEM} SELECT id, printf('- %s [%s] (%d%%)', title, memory_state, CAST(id % 101 AS INTEGER)) AS line FROM mem WHERE memory_type = 'goal'")
 def goal_lines(spark, sf):
     m = V.memories(spark, sf).where("memory_type = 'goal'")

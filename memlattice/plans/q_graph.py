@@ -87,3 +87,10 @@ def supersession_edges(spark, sf):
     """A self-edge for each entity of a superseded memory."""
     l = V.links(spark, sf).where("memory_id % 19 = 0").select("entity_id").distinct()
     return l.select(F.col("entity_id").alias("source"), F.col("entity_id").alias("target"), F.lit("superseded").alias("relationship"))
+
+
+@query(f"WITH {LNK} SELECT DISTINCT entity_id AS source, 'nation:' || c_nationkey AS target, 'mentioned_with' AS relationship FROM lnk JOIN customer ON entity_id = 'customer:' || c_custkey")
+def typed_edge_creation(spark, sf):
+    """New edges of one kind, from each linked customer to its nation."""
+    c = V.load(spark, sf, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("entity_id"), F.concat(F.lit("nation:"), "c_nationkey").alias("target"))
+    return G.typed_edges(V.links(spark, sf).join(c, "entity_id").select(F.col("entity_id").alias("source"), "target"), "mentioned_with")

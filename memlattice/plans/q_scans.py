@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import vector
 from ..functions.text import iso
+from ..operators import ingest as I
+from ..operators import lifecycle as L
 from ..operators import scans as S
 from ..sources import views as V
 from .ctes import ENT, MEM, MET, SES, VER, iso as siso
@@ -74,7 +77,8 @@ def current_truths(spark, sf):
 
 @query(f"WITH {ENT} SELECT id, kind, name FROM ent WHERE name = 'Customer#000000042'")
 def entity_by_name(spark, sf):
-    return V.entities(spark, sf).where("name = 'Customer#000000042'").select("id", "kind", "name")
+    """At most one row; a second one would be an error."""
+    return S.only_one(V.entities(spark, sf).where("name = 'Customer#000000042'").select("id", "kind", "name"), "entity of that name")
 
 
 AUDIT = f"id, actor_id, event_type, target_id, {siso('recorded_at')} AS recorded_at"
@@ -233,3 +237,37 @@ def scope_check(spark, sf):
     i = F.col("c_custkey")
     k = V.load(spark, sf, "customer").withColumn("scopes", F.array(V.pick(["read", "write", "readonly", "admin"], i % 4)))
     return k.select(i.alias("id"), S.has_scope(F.col("scopes"), "read").alias("may_read"), S.same_tenant(i % 6, i % 3).alias("own_tenant"))
+
+
+@query(f"WITH {MEM} SELECT id, memory_type, sha256(regexp_replace(title || chr(10) || content, '^\\s+|\\s+$', '', 'g')) AS digest FROM mem")
+def embedding_text(spark, sf):
+    """What would be embedded of each memory."""
+    m = V.memories(spark, sf)
+    return m.select("id", "memory_type", F.sha2(vector.embedding_text(F.col("title"), F.col("content")), 256).alias("digest"))
+
+
+@query(f"WITH {MEM} SELECT id + 100000 AS id, memory_type, 'active' AS memory_state, false AS is_pinned, importance, '2025-06-01T00:00:00' AS valid_from FROM mem WHERE length(title) > 0")
+def persist_memories(spark, sf):
+    """Scored memories as new rows of the memory table, all of them valid or none written."""
+    m = V.memories(spark, sf).where(F.length("title") > 0).select((F.col("id") + 100000).alias("id"), "organization_id", "user_id", "memory_type", "source_type", "title", "content", "importance")
+    valid = I.valid_memory(F.col("memory_type"), F.col("source_type"), F.col("title"))
+    rows = I.persisted(I.create_many(m, F.when(valid, F.array()).otherwise(F.array(F.lit("invalid")))), V.at(V.DOCS_NOW))
+    return rows.select("id", "memory_type", "memory_state", "is_pinned", "importance", iso(F.col("valid_from")).alias("valid_from"))
+
+
+@query(f"WITH {SES}, r AS (SELECT DISTINCT conv_id * 3 AS id FROM conversations) SELECT r.id, id % 50 AS user_id, '2025-06-01T00:00:00' AS started_at FROM r WHERE id NOT IN (SELECT id FROM ses)")
+def session_create(spark, sf):
+    """Sessions that requests open; those that are there already stay as they are."""
+    asked = V.load(spark, sf, "conversations").select((F.col("conv_id") * 3).alias("id"), (F.col("conv_id") * 3 % 50).alias("user_id"))
+    new = L.created_sessions(asked, V.sessions(spark, sf), V.at(V.DOCS_NOW))
+    return new.select("id", "user_id", iso(F.col("started_at")).alias("started_at"))
+
+
+@query(f"""WITH {MEM} SELECT 'memory:' || op AS event_type, count(*) AS n FROM (SELECT ['pin', 'unpin', 'archive', 'restore', 'delete', 'read', 'touch'][id % 7 + 1] AS op FROM mem) WHERE op NOT IN ('read', 'touch') GROUP BY op
+UNION ALL SELECT CASE WHEN n = 1 THEN 'observation:created' ELSE 'observation:batch' END, count(*) FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id) GROUP BY ALL""")
+def meter_event_kinds(spark, sf):
+    """What metering counts a log of operations under; reads are not metered."""
+    m = V.memories(spark, sf).select(V.pick(["pin", "unpin", "archive", "restore", "delete", "read", "touch"], F.col("id") % 7).alias("op"))
+    o = V.load(spark, sf, "conversations").groupBy("conv_id").count().select(F.when(F.col("count") == 1, "created").otherwise("batch").alias("op"))
+    both = I.metered(m, "memory").unionByName(I.metered(o, "observation"))
+    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..sources import views as V
 from ..streaming import metering as S
-from .q_usage import BUCKET
+from .q_usage import BUCKET, IDEMPOTENT
 from .registry import query
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -22,32 +22,51 @@ def stream(spark, sf):
 @query("SELECT user_id % 10 AS tenant_id, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_events FROM events GROUP BY ALL")
 def stream_rollup(spark, sf):
     """The daily rollup by a stream in complete mode, which loses nothing that is late."""
-    out = S.drain(S.daily_rollup(stream(spark, sf), "tenant_id", "event_type"), f"rollup_{uuid.uuid4().hex}", "complete")
+    out = S.drain(S.daily_rollup(stream(spark, sf), "tenant_id", "event_type"), "rollup", "complete")
     return out.select("tenant_id", "event_type", F.col("day").cast("string").alias("day"), "n_events")
 
 
-@query("SELECT user_id AS actor_id, count(DISTINCT event_type) AS n_types FROM events GROUP BY user_id")
+def state_store(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query(IDEMPOTENT)
 def stream_idempotent(spark, sf):
-    """Keys that a stream lets through once within the watermark's lifetime: one of each actor and type, as all events
-    arrive in one batch."""
-    once = S.drain(S.idempotent(stream(spark, sf), "actor_id", "event_type"), f"once_{uuid.uuid4().hex}")
-    return once.groupBy("actor_id").agg(F.count(F.lit(1)).alias("n_types"))
+    """Idempotency keys as keyed state over several batches, a week of events each; the rule of idempotent_ingest."""
+    state_store(spark)
+    root = f"{S.shared_dir(spark)}/weeks-{uuid.uuid4().hex}"
+    rows = V.load(spark, sf, "events")
+    bounds = [f"2024-01-{d:02} 00:00:00" for d in (8, 15, 22, 29)]
+    for k, (lo, hi) in enumerate(zip([None, *bounds], [*bounds, None])):  # written in turn, so they are read in turn
+        part = rows if lo is None else rows.where(F.col("ts") >= V.at(lo))
+        (part if hi is None else part.where(F.col("ts") < V.at(hi))).write.parquet(f"{root}/{k}")
+    s = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 8).option("latestFirst", False).parquet(f"{root}/*")
+    s = s.select("event_id", F.col("user_id").alias("actor_id"), "event_type", F.col("ts").cast("timestamp").alias("recorded_at"))
+    return S.drain(S.idempotent(s, "actor_id", "event_type"), "once").withColumnRenamed("event_id", "id")
 
 
 @query(BUCKET)
 def stream_token_bucket(spark, sf):
     """Rate limits as keyed state; the same rule as rate_limit_bucket."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    state_store(spark)
     quick = F.timestamp_seconds(F.floor((F.unix_seconds("recorded_at") - 1704067200) / 36000) + 1704067200)
     s = stream(spark, sf).withColumn("at", quick)
-    out = S.drain(S.token_bucket(s, "actor_id", "event_id", "at", 2, 4), f"bucket_{uuid.uuid4().hex}")
+    out = S.drain(S.token_bucket(s, "actor_id", "event_id", "at", 2, 4), "bucket")
     return out.select(F.col("event_id").alias("id"), "actor_id", "allowed")
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE event_id % 10 > 0 GROUP BY event_type")
+@query("""SELECT event_type, count(*) AS n FROM events WHERE event_id % 10 > 0 GROUP BY event_type
+UNION ALL SELECT 'dead letter', count(*) FROM events WHERE event_id % 10 = 0""")
 def dead_letters(spark, sf):
-    """A log of lines in which every tenth is broken: what parses is counted, the rest is set apart."""
+    """A stream of lines, sent twice over, in which every tenth is broken: what parses is appended once a key, the rest
+    goes to the dead letters."""
+    root = f"{S.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
     e = V.load(spark, sf, "events")
-    line = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("event_id", "event_type")))
-    parsed = e.select(F.from_json(line, "event_id long, event_type string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
-    return parsed.where("_corrupt IS NULL").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    line = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("event_id", F.col("user_id").alias("actor_id"), "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("recorded_at"))))
+    for k in range(2):
+        e.where("event_id % 10 > 0" if k else "true").select(line.alias("value")).write.text(f"{root}/in/{k}")
+    events = S.json_events(spark, f"{root}/in/*", files=16).withColumn("day", F.to_date("recorded_at"))
+    each = S.route(S.append_once(f"{root}/good", day="day"), S.append_batches(f"{root}/dead"))
+    events.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    good = spark.read.parquet(f"{root}/good").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return good.unionByName(spark.read.parquet(f"{root}/dead").agg(F.count(F.lit(1)).alias("n")).select(F.lit("dead letter").alias("event_type"), "n"))

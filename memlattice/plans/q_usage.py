@@ -74,10 +74,13 @@ def webhook_period_upsert(spark, sf):
     return U.upsert(p, closed.unionByName(opened), ["tenant_id", "period"])
 
 
-@query(f"""WITH RECURSIVE {MET}, k AS (SELECT id, actor_id, event_type, recorded_at FROM met),
+IDEMPOTENT = f"""WITH RECURSIVE {MET}, k AS (SELECT id, actor_id, event_type, recorded_at FROM met),
 walk AS (SELECT actor_id, event_type, min(recorded_at) AS t FROM k GROUP BY ALL
   UNION ALL SELECT actor_id, event_type, t FROM (SELECT w.actor_id, w.event_type, min(k.recorded_at) AS t FROM walk w JOIN k ON k.actor_id = w.actor_id AND k.event_type = w.event_type AND k.recorded_at >= w.t + INTERVAL 24 HOUR GROUP BY ALL))
-SELECT min(k.id) AS id, k.actor_id, k.event_type FROM k JOIN walk w ON k.actor_id = w.actor_id AND k.event_type = w.event_type AND k.recorded_at = w.t GROUP BY k.actor_id, k.event_type, k.recorded_at""")
+SELECT min(k.id) AS id, k.actor_id, k.event_type FROM k JOIN walk w ON k.actor_id = w.actor_id AND k.event_type = w.event_type AND k.recorded_at = w.t GROUP BY k.actor_id, k.event_type, k.recorded_at"""
+
+
+@query(IDEMPOTENT)
 def idempotent_ingest(spark, sf):
     """The events that a key of (actor, type) lets through when it lives for a day."""
     m = V.meter_events(spark, sf)
@@ -108,10 +111,10 @@ def rate_tiers(spark, sf):
     return c.groupBy("tier", U.tier_limits(F.col("tier")).alias("l")).agg(F.count(F.lit(1)).alias("n")).select("tier", "l.rate", "l.burst", "n")
 
 
-@query(f"WITH {MET} SELECT tenant_id, event_type AS classification, strftime(recorded_at, '%Y-%m-%d') AS day, round(sum(units), 4) AS units, count(*) AS requests, CAST(sum(target_id) AS BIGINT) AS tokens FROM met GROUP BY ALL")
+@query(f"WITH {MET} SELECT tenant_id, event_type AS classification, strftime(recorded_at, '%Y-%m-%d') AS day, round(sum(units), 4) AS units, count(*) AS requests, CAST(sum(target_id) AS BIGINT) AS tokens, CAST(sum(bytes) AS BIGINT) AS bytes, round(sum(units * 0.002), 4) AS cost FROM met GROUP BY ALL")
 def usage_daily_sums(spark, sf):
     m = V.meter_events(spark, sf)
-    return m.groupBy("tenant_id", F.col("event_type").alias("classification"), F.date_format("recorded_at", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("units"), 4).alias("units"), F.count(F.lit(1)).alias("requests"), F.sum("target_id").alias("tokens"))
+    return m.groupBy("tenant_id", F.col("event_type").alias("classification"), F.date_format("recorded_at", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("units"), 4).alias("units"), F.count(F.lit(1)).alias("requests"), F.sum("target_id").alias("tokens"), F.sum("bytes").alias("bytes"), F.round(F.sum(F.col("units") * 0.002), 4).alias("cost"))
 
 
 @query(f"WITH {MET} SELECT tenant_id, count(*) AS used, round(count(*) / 2500.0 * 100, 6) AS percent FROM met GROUP BY tenant_id")

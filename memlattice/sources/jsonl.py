@@ -23,6 +23,13 @@ def export(df: DataFrame, path: str, files: int | None = None) -> None:
     (df if files is None else df.coalesce(files)).write.mode("overwrite").json(path)
 
 
-def flush(queue: DataFrame, accepted: DataFrame, path: str, key: str = "id") -> None:
-    """Moves what was not accepted of a batch of a durable queue to the dead letters at ``path``."""
-    queue.join(accepted.select(key), key, "left_anti").write.mode("append").json(path)
+def flush(queue: DataFrame, accepted: DataFrame, path: str, key: str = "id", rows: int = 1000) -> None:
+    """Moves what was not accepted of a batch of a durable queue to the dead letters at ``path``, in files that are
+    rotated after ``rows`` rows."""
+    queue.join(accepted.select(key), key, "left_anti").write.mode("append").option("maxRecordsPerFile", rows).json(path)
+
+
+def replay(spark: SparkSession, path: str, schema: T.StructType, key: str = "id") -> DataFrame:
+    """The dead letters at ``path`` as a queue again: each key once, the latest file's row."""
+    rows = spark.read.schema(schema).json(path).withColumn("_from", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path")))
+    return rows.groupBy(key).agg(*[F.max_by(c, "_from").alias(c) for c in schema.fieldNames() if c != key]).select(*schema.fieldNames())

@@ -77,7 +77,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("tenant_id"), F.col("user_id").alias("actor_id"), "event_type", F.col("ts").alias("recorded_at"), F.col("value").alias("units"), k.alias("target_id"))
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("tenant_id"), F.col("user_id").alias("actor_id"), "event_type", F.col("ts").alias("recorded_at"), F.col("value").alias("units"), k.alias("target_id"), F.octet_length("props").cast("long").alias("bytes"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +35,35 @@ def arrival_time(events: DataFrame, ts: str = "recorded_at", arrived: str = "ing
     return events.withColumn(ts, F.coalesce(ts, arrived))
 
 
-def idempotent(events: DataFrame, *keys: str, ts: str = "recorded_at", hours: int = 24) -> DataFrame:
-    """The first event of each key within a day."""
-    return events.withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark(list(keys))
+def idempotent(events: DataFrame, *keys: str, tie: str = "event_id", ts: str = "recorded_at", hours: int = 24) -> DataFrame:
+    """(tie, keys): the first event of each key, and the first that comes its lifetime of ``hours`` or more after the
+    one let through before. The time of the last accepted event is the key's state, so a key lives on over batches and
+    is let through again when its time is over. Events of a batch are taken in order of time; batches should be, too."""
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    life = hours * 3_600_000_000
+
+    class First(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("last", "at long")
+
+        def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            last = self.state.get()[0] if self.state.exists() else None
+            batch = pd.concat(list(rows), ignore_index=True).set_axis([tie, *keys, "_at"], axis=1).sort_values(["_at", tie])
+            kept = []
+            for i, at in enumerate(batch["_at"]):
+                if last is None or at - last >= life:
+                    last = int(at)
+                    kept.append(i)
+            self.state.update((last,))
+            yield batch.iloc[kept][[tie, *keys]]
+
+        def close(self) -> None:
+            pass
+
+    kinds = dict(events.dtypes)
+    rows = events.select(tie, *keys, F.unix_micros(ts).alias("_at"))
+    return rows.groupBy(*keys).transformWithStateInPandas(First(), ", ".join(f"{c} {kinds[c]}" for c in (tie, *keys)), "append", "None")
 
 
 def route(good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -52,21 +80,48 @@ def route(good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int]
     return each
 
 
-def append_once(path: str, key: str = "event_id") -> Callable[[DataFrame, int], None]:
+def folder(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def append_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Appends a batch as its own folder, which a batch that runs again overwrites."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def append_once(path: str, key: str = "event_id", day: str | None = None) -> Callable[[DataFrame, int], None]:
     """Appends a batch to a table by keys that it lacks. A batch that runs again after a failure overwrites its own
-    folder, so it adds nothing twice."""
+    folder, so it adds nothing twice. With ``day``, a date column that belongs to the key, the table is laid out by it
+    and only the days of the batch are read. Any failure to read what is there fails the batch."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
+        fs, at = folder(spark, path)
+        old = batch.limit(0)
+        if fs.exists(at):
             old = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(path).where(F.col("batch") != number).drop("batch")
-        except Exception:  # noqa: BLE001  the first batch finds no table
-            old = batch.limit(0)
-        insert_new(old, batch, key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            if day:
+                old = old.join(batch.select(day).distinct(), day, "left_semi").select(*batch.columns)
+        out = insert_new(old, batch, key).write.mode("overwrite")
+        (out.partitionBy(day) if day else out).parquet(f"{path}/batch={number}")
 
     return write
 
 
+def retained(spark: SparkSession, path: str, most: int) -> list[int]:
+    """Keeps about the ``most`` latest rows of a table of batches: drops, oldest first, the batches without which that
+    many are left, and returns their numbers. As with an approximate limit on a log's length, a batch is kept whole."""
+    newer = Window.orderBy(F.desc("batch")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spark.read.parquet(path).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))  # one row a batch
+    old = [r.batch for r in sizes.withColumn("newer", F.sum("n").over(newer)).where(F.col("newer") >= most).collect()]
+    for number in old:
+        fs, at = folder(spark, f"{path}/batch={number}")
+        fs.delete(at, True)
+    return sorted(old)
+
+
 def token_bucket(requests: DataFrame, key: str, request: str, ts: str, rate: int, burst: int) -> DataFrame:
     """(key, request, allowed) of a stream of requests: a bucket of whole seconds for each key, kept as state. Requests
     of a batch are taken in order of time; refused ones leave the bucket as it is."""
@@ -99,13 +154,24 @@ def token_bucket(requests: DataFrame, key: str, request: str, ts: str, rate: int
     return rows.groupBy(key).transformWithStateInPandas(Bucket(), shape, "append", "None")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", **options: str) -> DataFrame:
-    """Runs a stream over what there is now and gives its result as a table; for tests and small reports."""
-    w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        w = w.option("checkpointLocation", f"{shared}/{name}")
-    for k, v in options.items():
-        w = w.option(k, v)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode, where it is unset, one of
+    our own, and on a cluster an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="memlattice-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is now and gives its result as a table of the shared folder: batches side by side
+    in append mode, the last one in complete mode."""
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write = append_batches(f"{root}/out") if mode == "append" else lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out")
+    w = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     w.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)

@@ -302,3 +302,50 @@ def test_jsonl(spark, tmp_path):
     assert ok.first().messages[0].content == "hi" and bad.count() == 1
     jsonl.export(ok, str(tmp_path / "out"), files=1)
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_create_many_takes_all_or_none(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "")], "id long, title string")
+    errors = F.when(F.length("title") > 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("title")))
+    assert I.create_many(rows.where("id = 1"), errors).count() == 1
+    with pytest.raises(Exception, match="1 rows are not valid"):
+        I.create_many(rows, errors).collect()
+
+
+def test_only_one(spark):
+    assert S.only_one(spark.range(1)).count() == 1 and S.only_one(spark.range(0)).count() == 0
+    with pytest.raises(Exception, match="more than one row"):
+        S.only_one(spark.range(3)).collect()
+
+
+def test_embedding_plug_point(spark):
+    got = one(spark, vector.embedded(F.lit("x"), 3, lambda t: F.array(F.lit(1.0), F.lit(2.0), F.length(t).cast("double"))).alias("v"), F.size(vector.embedded(F.lit("x"), 5)).alias("n"))
+    assert got.v == [1.0, 2.0, 1.0] and got.n == 5
+    with pytest.raises(Exception, match="a vector of 4 was expected, not of 1"):
+        one(spark, vector.embedded(F.lit("x"), 4, lambda t: F.array(F.lit(1.0))).alias("v"))
+
+
+def test_similarity_and_contradiction_plug_points(spark):
+    a = spark.createDataFrame([(1, "x", "abcd")], "id long, k string, t string")
+    b = spark.createDataFrame([(8, "x", "zzzz"), (9, "x", "abcd")], "id long, k string, t string")
+    assert M.best_match(a, b, ["k"], "id", "t", 0.5, similarity=lambda x, y: F.when(x == y, 0.6).otherwise(0.9)).first().match == 8
+    df = spark.createDataFrame([(1, "o", "A", "x"), (2, "o", "B", "x")], "id long, o string, title string, content string")
+    assert {(r.new_id, r.old_id) for r in M.contradictions(df, df, ["o"], lambda t, c, u, d: (c == d) & (t > u)).collect()} == {(2, 1)}
+
+
+def test_dead_letters_of_a_queue_come_back(spark, tmp_path):
+    queue = spark.createDataFrame([(i, f"t{i}") for i in range(25)], "id long, t string")
+    for _ in range(2):
+        jsonl.flush(queue, queue.where("id % 5 = 0"), str(tmp_path / "dead"), rows=4)
+    got = jsonl.replay(spark, str(tmp_path / "dead"), queue.schema)
+    assert {(r.id, r.t) for r in got.collect()} == {(i, f"t{i}") for i in range(25) if i % 5} and got.count() == 20
+
+
+def test_batches_have_a_limit(spark):
+    body = "[" + ", ".join(["{}"] * 101) + "]"
+    assert one(spark, I.batch_errors(F.lit(body)).alias("x")).x == ["body: more than 100 items"]
+
+
+def test_exact_duplicates_differ_by_white_space_only(spark):
+    df = spark.createDataFrame([(1, "\tSame text\n"), (2, " same TEXT "), (3, "other")], "id long, c string")
+    assert {r.id for r in L.merge_exact(df, "c").collect()} == {1, 3}

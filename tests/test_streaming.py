@@ -39,3 +39,35 @@ def test_dead_letters_and_replay(spark, tmp_path):
 def test_arrival_time(spark):
     df = spark.createDataFrame([(None, datetime(2024, 1, 1)), (datetime(2023, 1, 1), datetime(2024, 1, 1))], "recorded_at timestamp, ingested_at timestamp")
     assert [r.y for r in S.arrival_time(df).select(F.year("recorded_at").alias("y")).collect()] == [2024, 2023]
+
+
+def test_a_key_is_let_through_again_after_its_lifetime(spark, tmp_path):
+    """Over several batches: the same as the batch operator on all of them."""
+    from memlattice.operators.usage import first_within
+
+    hours = [[0, 5, 23], [24, 30, 47], [48, 49, 200]]
+    rows = [[(100 * k + i, "k", datetime(2024, 1, 1) + timedelta(hours=h)) for i, h in enumerate(hs)] for k, hs in enumerate(hours)]
+    shape = "event_id long, key string, recorded_at timestamp"
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, shape).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    s = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = {r.event_id for r in S.drain(S.idempotent(s, "key"), "t").collect()}
+    whole = spark.createDataFrame([r for part in rows for r in part], "event_id long, key string, recorded_at timestamp_ntz")
+    assert got == {r.event_id for r in first_within(whole, ["key"], "recorded_at", 24, "event_id").collect()} == {0, 100, 200, 202}
+
+
+def test_retention(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for n in range(5):
+        S.append_batches(path)(spark.range(10), n)
+    assert S.retained(spark, path, 25) == [0, 1] and spark.read.parquet(path).count() == 30
+
+
+def test_append_once_fails_when_the_table_cannot_be_read(spark, tmp_path):
+    import pytest
+
+    bad = tmp_path / "out" / "batch=0"
+    bad.mkdir(parents=True)
+    (bad / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        S.append_once(str(tmp_path / "out"))(spark.createDataFrame([(1,)], "event_id long"), 1)

@@ -25,9 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that cut lineage. They live in the shared folder, so a lost executor loses none of them."""
+    """Written tables that cut lineage. They live in the shared folder, so a lost executor loses none of them. Results
+    read some of them lazily; once a result is written itself, ``clear_since`` drops what was made for it."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
+        Scratch.made.append(self)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -44,6 +48,13 @@ class Scratch:
         """Drops all of it: for state from which no result is read any more."""
         self.drop("")
 
+    @classmethod
+    def clear_since(cls, mark: int) -> None:
+        """Clears what was made after ``len(Scratch.made)`` was ``mark``."""
+        for x in cls.made[mark:]:
+            x.clear()
+        del cls.made[mark:]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -95,7 +95,7 @@ def fit(x: np.ndarray, langs: list[str], k: int = CENTROIDS, reject: float = 0.0
 
 def train(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from about ``rows`` documents of each language (fewer where there are so many languages that they would
-    pass ALL_ROWS), chosen by a hash of id, none of which is held out. The driver gets a vector of each, no text."""
+    pass ALL_ROWS), chosen by a hash of id, none of which is held out. The driver gets a sparse vector of each, no text."""
     spark = docs.sparkSession
     known = docs.where((crc_mod(F.col(id_col), 5) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -109,11 +109,17 @@ def train(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = [counts(t.as_py()).astype("<u4").tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(vectors, pa.binary())], names=["id", "lang", "v"])
-
-    got = Scratch(spark, "langid").write(chosen.mapInArrow(run, "id long, lang string, v binary"), "vectors").orderBy("id", "lang", "v").toArrow()
-    x = np.frombuffer(b"".join(got.column("v").to_pylist()), "<u4").astype(np.float32).reshape(-1, COLUMNS)
+            x = [counts(t.as_py()) for t in b.column("text")]
+            at = [np.flatnonzero(v).astype("<u2") for v in x]
+            sparse = [i.tobytes() for i in at], [v[i].astype("<u4").tobytes() for v, i in zip(x, at)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *(pa.array(p, pa.binary()) for p in sparse)], names=["id", "lang", "at", "n"])
+
+    scratch = Scratch(spark, "langid")
+    got = scratch.write(chosen.mapInArrow(run, "id long, lang string, at binary, n binary"), "vectors").orderBy("id", "lang", "at", "n").toArrow()
+    scratch.clear()
+    x = np.zeros((len(got), COLUMNS), np.float32)
+    for row, at, n in zip(x, got.column("at").to_pylist(), got.column("n").to_pylist()):
+        row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
     return fit(x, got.column("lang").to_pylist())
 
 

@@ -141,9 +141,11 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray, name
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """A model from about ``rows`` labelled documents of each class, none of which is held out. The driver gets one
     short row of statistics for each, never a text."""
-    sample = labelled_sample(docs, labels, "quality", rows, Scratch(docs.sparkSession, "quality"))
+    scratch = Scratch(docs.sparkSession, "quality")
+    sample = labelled_sample(docs, labels, "quality", rows, scratch)
     stats = statistics(F.col("text"))
     got = sample.select("id", "y", "fold", "weight", *[c.alias(n) for n, c in stats.items()]).toPandas().sort_values(["id", "y"])
+    scratch.clear()
     x = got[list(stats)].to_numpy(float).reshape(-1, len(stats))
     return fit(x, got["y"].to_numpy(float), got["fold"].to_numpy(), got["weight"].to_numpy(float), list(stats))
 

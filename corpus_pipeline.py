@@ -68,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. Once a stage's result is written, its working tables and what it read are dropped."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
+        mark = len(Scratch.made)
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+        Scratch.clear_since(mark)
+        if k:
+            scratch.drop(f"stage{k - 1}")
     return docs

@@ -410,8 +410,8 @@ def test_moved_bytes_are_near_the_flow(seed):
     room = sharding.rooms(sizes, old, 40)
     flow = sharding.min_cost_flow([supply[i] for i in range(32)], room, lambda i, j: float(i != j))
     best, moved = sum(x for (i, j), x in flow.items() if i != j), sum(n for b, n in sizes.items() if new[b] != old[b])
-    assert set(new) == set(sizes) and best <= moved + 40 * 40 and moved <= 1.01 * best
-    assert max(load.values()) <= 1.002 * min(load.values())
+    assert set(new) == set(sizes) and best <= moved + 40 * 40 and moved <= 1.005 * best
+    assert max(load.values()) <= 1.03 * min(load.values())
 
 
 def test_shrinking_moves_the_shards_that_go():

@@ -75,7 +75,7 @@ def test_op3(spark):
 
 def test_op5(spark):
     """Of the rare class: bad documents are found, and what is called bad is."""
-    y, p = held_out(spark, "/root/testdata/sf0.01", "op5_quality", "quality", 0.7).T
+    y, p = held_out(spark, "/root/testdata/sf0.1", "op5_quality", "quality", 0.7).T
     assert y[p == 0].mean() <= 0.1 and p[y == 0].mean() <= 0.1 and p[y == 1].mean() >= 0.97
 
 
@@ -117,7 +117,7 @@ def test_op7(spark, docs):
     assert set(load) <= set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     share = sum(load.values()) / 40
     singles = max(len(t.encode()) + 16 for t in at)
-    assert max(load.values()) <= max(1.05 * share, singles) and min(load.values()) >= min(0.95 * share, share - singles / 39)
+    assert max(load.values()) <= max(1.05 * share, singles) and min(load.values()) >= 0.9 * share
     copies = {t: sum(docs[r.doc_id].text == t for r in rows) for t in at}
     assert all(len(s) == 1 for t, s in at.items() if copies[t] * (len(t.encode()) + 16) <= share)
 
@@ -131,7 +131,9 @@ def test_op7_moves_little_and_rewrites(spark, tmp_path):
     rows = plan.collect()
     supply = [sum(r.size for r in rows if r.old_shard == i) for i in range(32)]
     share = sum(supply) // 40
-    assert sum(r.size for r in rows if r.shard != r.old_shard) <= 1.03 * sum(max(0, n - share) for n in supply)
+    assert sum(r.size for r in rows if r.shard != r.old_shard) <= 1.005 * sum(max(0, n - share) for n in supply)
+    load = [sum(r.size for r in rows if r.shard == j) for j in range(40)]
+    assert max(load) <= 1.03 * min(load)
     same = {r.shard for r in sharding.rewrite_affected(spark, d, plan, str(tmp_path / "out")).collect()}
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.doc_id, r.shard, r.slot) for r in back.collect()} == {(r.doc_id, r.shard, r.slot) for r in rows if r.shard not in same}

@@ -125,7 +125,7 @@ def build(spec: Spec, cache: int = 10_000):
     tok.normalizer = normalizers.Sequence(steps)
     if not any(re.search(f"[^{space}]{space}", p) for p in usable):  # no piece goes over the start of a word
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{space}+[^{space}]*|[^{space}]+"), "isolated")
-    tok.decoder = decoders.Sequence([decoders.Replace(Regex(f"{HIDDEN}[0-9]+;"), ""), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.prefix else [])])
+    tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.prefix else [])])
     tok.add_tokens([AddedToken(p, normalized=False) for p, _, k in spec.pieces if k == USER])
     return tok
 
@@ -177,6 +177,7 @@ class Codec:
         if self.spec.escape and self.spec.prefix and self.bare.pre_tokenizer is not None and not any(k == USER for _, _, k in self.spec.pieces):
             self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
+        self.silent = {i for i, (_, _, k) in enumerate(self.spec.pieces) if k not in (NORMAL, USER, BYTE)}
         self.known: dict[str, bytes] = {}
 
     def normalize(self, text: str) -> str:
@@ -218,7 +219,8 @@ class Codec:
         return [b"".join([fresh[w] if x is None else x for w, x in zip(ws, found)]) for ws, found in zip(split, parts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tok.decode_batch(ids, skip_special_tokens=False)
+        """Texts from ids; pieces that no text gives, such as a text's begin and end, spell nothing."""
+        return self.tok.decode_batch([x if self.silent.isdisjoint(x) else [i for i in x if i not in self.silent] for x in ids], skip_special_tokens=False)
 
     def spelled(self, text: str) -> str:
         """What the ids of a text should decode to: the normalised text with blanks for marks."""

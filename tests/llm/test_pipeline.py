@@ -42,7 +42,7 @@ def test_pipeline_of_nothing(spark):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_odd_documents_pass_all_stages(spark, tmp_path):

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Lengths of the substrings that are counted, and into how many columns they are hashed.
+GRAMS, COLUMNS = (1, 2, 4, 8), 4096
+
 
 @F.pandas_udf(T.DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -35,3 +41,62 @@ def ratio_from(least: float):
         return pd.Series(out, dtype="float64")
 
     return found
+
+
+def grams(text: str, q: int, columns: int = COLUMNS) -> np.ndarray:
+    """How many substrings of ``q`` characters fall into each hash column."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(codes) - q + 1
+    if n <= 0:
+        return np.zeros(columns, np.int32)
+    h = np.zeros(n, np.uint64)
+    for k in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n] + np.uint64(1)
+    h ^= h >> np.uint64(31)
+    return np.bincount((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % columns, minlength=columns).astype(np.int32)
+
+
+def anchors(text: str) -> float:
+    """At how many places of the right text a block of equal characters can be found from. The matcher doesn't look for
+    blocks from characters that make up more than a hundredth of a text of 200 or more."""
+    if len(text) < 200:
+        return float("inf")
+    return sum(n for n in Counter(text).values() if n <= len(text) // 100 + 1)
+
+
+def near_pairs(left: Sequence[str], right: Sequence[str], least: float, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) of all pairs (left[i], right[j]) with a ratio of ``least`` or more; of ``wanted`` ones, where given.
+
+    A ratio says how many characters m match, in k blocks. Each block but those at the front of a stretch holds an
+    anchor of the right text, so k <= 2 * anchors + 1; and between two blocks a character does not match, so
+    k <= len(a) + len(b) - 2 * m + 1. A block of n characters has n - q + 1 substrings of q in common, so the texts have
+    m - k * (q - 1) or more. Hashing them into columns only adds to what they seem to have in common. Pairs that fail
+    this for some q can't reach ``least``; the others, hardly more than those that do, are matched.
+    """
+    a, b = [x.lower() for x in left], [x.lower() for x in right]
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    rare = np.array([anchors(x) for x in b])
+    total = la[:, None] + lb[None, :]
+    m = np.ceil(least * total / 2 - 1e-9)
+    k = np.minimum(2 * rare[None, :] + 1, total - 2 * m + 1)
+    able = 2 * np.minimum(la[:, None], lb[None, :]) >= least * total
+    if wanted is not None:
+        able &= wanted
+    for q in GRAMS:
+        need = m - k * (q - 1)
+        test = able & (need > 0)
+        rows, columns = np.flatnonzero(test.any(axis=1)), np.flatnonzero(test.any(axis=0))
+        ours, theirs = {i: grams(a[i], q) for i in rows}, {j: grams(b[j], q) for j in columns}
+        for i in rows:
+            js = np.flatnonzero(test[i])
+            for lo in range(0, len(js), 256):
+                part = js[lo : lo + 256]
+                common = np.minimum(ours[i], np.stack([theirs[j] for j in part])).sum(axis=1)
+                able[i, part] = common >= need[i, part]
+    matcher = SequenceMatcher(None)
+    for j in np.flatnonzero(able.any(axis=0)):
+        matcher.set_seq2(b[j])
+        for i in np.flatnonzero(able[:, j]):
+            matcher.set_seq1(a[i])
+            if (x := matcher.ratio()) >= least:
+                yield int(i), int(j), x

@@ -1,7 +1,7 @@
 """Similarity matches: duplicates, entities, contradictions.
 
-Matches are sought within a block (tenant, user, kind), after a lossless test on lengths, so that the similarity itself
-is computed for few pairs. ``batch`` functions hold each incoming row against the snapshot; ``sequential_dedup`` lets
+Matches are sought within a block (tenant, user, kind) by a lossless similarity join, so that the similarity itself is
+computed for few pairs. ``batch`` functions hold each incoming row against the snapshot; ``sequential_dedup`` lets
 each row see what the rows before it left.
 """
 
@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
-from ..functions import similarity as Sim
 from ..functions.text import choose, strip
+from . import simjoin
 
 
 def best_match(incoming: DataFrame, existing: DataFrame, block: list[str], key: str, text: str, least: float, summary: str | None = None, earlier: bool = False, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -25,17 +26,34 @@ def best_match(incoming: DataFrame, existing: DataFrame, block: list[str], key:
     ``existing``, the greater of the similarities to its text and to its text and summary counts. ``earlier``: only
     rows with a smaller key are candidates. ``similarity``: an expression or UDF (incoming, candidate) -> 0 to 1 in place
     of the built-in ratio; it is then computed for every pair of a block."""
-    theirs = existing.select(*block, F.col(key).alias("match"), F.col(text).alias("_theirs"), *([F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in (text, summary)]).alias("_longer")] if summary else []))
-    sides = ["_theirs", "_longer"] if summary else ["_theirs"]
-    pairs = incoming.join(theirs, block).where(F.col("match") < F.col(key) if earlier else F.col(key) != F.col("match"))
-    able = [F.lit(True) if similarity else F.coalesce(Sim.could_reach(F.col(text), F.col(c), least), F.lit(False)) for c in sides]
-    found = [(similarity or Sim.ratio_from(least))(F.col(text), F.col(c)) for c in sides]
-    pairs = pairs.where(able[0] | able[1] if summary else able[0]).select(key, "match", (F.greatest(*found) if summary else found[0]).alias("similarity")).where((F.col("similarity") >= least) & (F.col("similarity") > 0))
-    w = Window.partitionBy(key).orderBy(F.desc("similarity"), "match")
-    top = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    theirs = existing.select(*block, key, text, *([F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in (text, summary)]).alias("_longer")] if summary else []))
+    sides = [text, "_longer"] if summary else [text]
+    if similarity is None:
+        pairs = [matched(incoming, theirs.select(*block, key, F.col(c).alias(text)), block, key, text, least, earlier) for c in sides]
+    else:
+        both = incoming.select(*block, key, text).join(theirs.select(*block, F.col(key).alias("match"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(sides)]), block)
+        both = both.where(F.col("match") < F.col(key) if earlier else F.col(key) != F.col("match"))
+        pairs = [both.select(key, "match", similarity(F.col(text), F.col(f"_{i}")).alias("similarity")) for i in range(len(sides))]
+    found = reduce(DataFrame.unionByName, pairs).where((F.col("similarity") >= least) & (F.col("similarity") > 0))
+    top = found.groupBy(key).agg(F.min(F.struct((-F.col("similarity")).alias("far"), "match")).alias("_best"))
+    top = top.select(key, F.col("_best.match").alias("match"), (-F.col("_best.far")).alias("similarity"))
     return incoming.join(top, key, "left")
 
 
+def matched(incoming: DataFrame, existing: DataFrame, block: list[str], key: str, text: str, least: float, earlier: bool) -> DataFrame:
+    """(key, match, similarity): for each incoming row and each like text of another row, the smallest key with it."""
+    left, ours = simjoin.texts(incoming, block, key, text)
+    right, owners = simjoin.texts(existing, block, key, text)
+    pairs = simjoin.similar(left, right, block, least, earlier)
+    pairs = ours.withColumnRenamed("node", "left_node").join(pairs, "left_node")
+    if earlier:
+        pairs = pairs.where(F.col("right_node") < F.col("_key")).withColumn("match", F.col("right_node"))
+    else:  # a row is not its own match; the text may have another row
+        second = owners.where("_key > node").groupBy(F.col("node").alias("right_node")).agg(F.min("_key").alias("second"))
+        pairs = pairs.join(second, "right_node", "left").withColumn("match", F.when(F.col("right_node") == F.col("_key"), F.col("second")).otherwise(F.col("right_node")))
+    return pairs.where("match IS NOT NULL").select(F.col("_key").alias(key), "match", F.col("ratio").alias("similarity"))
+
+
 def dedup_decision(similarity: Column) -> Column:
     return F.when(similarity > D.DUPLICATE_ABOVE, "discard").when(similarity >= D.MERGE_FROM, "merge").otherwise("store")
 
@@ -64,15 +82,20 @@ def entity_type(name: Column, kind: Column) -> Column:
 
 def contradictions(new: DataFrame, current: DataFrame, block: list[str], detect: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
     """(new_id, old_id): all current rows of a block with a similar title and another content; with ``detect``, those
-    for which it holds, given (title, content) of the new and the current row."""
-    a = new.select(*block, F.col("id").alias("new_id"), F.col("title").alias("_a"), F.col("content").alias("_ac"))
-    b = current.select(*block, F.col("id").alias("old_id"), F.col("title").alias("_b"), F.col("content").alias("_bc"))
-    pairs = a.join(b, block).where(F.col("new_id") != F.col("old_id"))
+    for which it holds, given (title, content) of the new and the current row. Titles are matched once for each two
+    different ones, and contents are compared by their digests."""
     if detect is not None:
+        a = new.select(*block, F.col("id").alias("new_id"), F.col("title").alias("_a"), F.col("content").alias("_ac"))
+        b = current.select(*block, F.col("id").alias("old_id"), F.col("title").alias("_b"), F.col("content").alias("_bc"))
+        pairs = a.join(b, block).where(F.col("new_id") != F.col("old_id"))
         return pairs.where(detect(F.col("_a"), F.col("_ac"), F.col("_b"), F.col("_bc"))).select("new_id", "old_id")
-    pairs = pairs.where((strip(F.col("_ac")) != strip(F.col("_bc"))))
-    pairs = pairs.where(Sim.could_reach(F.col("_a"), F.col("_b"), D.CONTRADICTION_FROM))
-    return pairs.where(Sim.ratio_from(D.CONTRADICTION_FROM)(F.col("_a"), F.col("_b")) >= D.CONTRADICTION_FROM).select("new_id", "old_id")
+    (left, ours), (right, theirs) = (simjoin.texts(x, block, "id", "title") for x in (new, current))
+    pairs = simjoin.similar(left, right, block, D.CONTRADICTION_FROM)
+    digest = lambda x, of: x.select(F.col("id").alias(of), F.sha2(strip(F.col("content")), 256).alias(f"_{of}"))
+    pairs = pairs.join(ours.select(F.col("_key").alias("new_id"), F.col("node").alias("left_node")), "left_node")
+    pairs = pairs.join(theirs.select(F.col("_key").alias("old_id"), F.col("node").alias("right_node")), "right_node").where("new_id <> old_id")
+    pairs = pairs.join(digest(new, "new_id"), "new_id").join(digest(current, "old_id"), "old_id")
+    return pairs.where("_new_id <> _old_id").select("new_id", "old_id")
 
 
 def supersede(current: DataFrame, pairs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -14,11 +14,14 @@ Further columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ from .common import Query, Scratch, table
 UNIT = 1_000_000_000
 #: Entries (term, source) that a task counts before it pours them into its tries, and that its tries hold before they
 #: are handed on; bytes of a text that are cut into terms at a time.
-POUR, HOLD, STEP = 200_000, 600_000, 1 << 20
+POUR, HOLD, STEP = 300_000, 800_000, 1 << 20
 #: Cells of a table of terms and sources, and of sums of pairs, that a task holds.
 CELLS = 1 << 22
 #: Groups whose names and sums are broadcast at a time; languages are dealt into rounds of no more (or one language).
@@ -73,63 +76,62 @@ class Trie:
             left += [(term, kids[b]) for b in sorted(kids, reverse=True)]
 
 
-def terms(text: bytes) -> Counter[bytes]:
-    """How often the text has each term."""
-    out: Counter[bytes] = Counter()
+def terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in turn, a part of it at a time."""
     plain, at = text.translate(LETTERS), 0
     while len(plain) - at > STEP:
         end = plain.find(b" ", at + STEP)
         end = len(plain) if end < 0 else end
-        out.update(plain[at:end].split())
+        yield plain[at:end].split()
         at = end
-    out.update(plain[at:].split())
-    return out
+    yield plain[at:].split()
 
 
 DOCS = -1  #: in a leaf, the counter of documents
 
 
 class Counts:
-    """A task's tries. Counters go to plain dicts first and are poured into the tries in bulk."""
+    """A task's tries. Terms are counted in plain dicts first, which are poured into the tries in bulk."""
 
     def __init__(self):
         self.tries: dict[str, Trie] = defaultdict(Trie)
-        self.fresh: dict[tuple[str, int], dict[bytes, int]] = defaultdict(dict)
+        self.fresh: dict[str, dict[int, Counter[bytes]]] = defaultdict(lambda: defaultdict(Counter))
         self.new = self.held = 0
 
-    def add(self, lang: str, source: int, found: Counter[bytes]) -> None:
-        for key, some in ((source, found), (DOCS, dict.fromkeys(found, 1))):
-            own = self.fresh[lang, key]
-            before = len(own)
-            for t, n in some.items():
-                own[t] = own.get(t, 0) + n
-            self.new += len(own) - before
+    def add(self, lang: str, source: int, text: bytes) -> None:
+        fresh, seen = self.fresh[lang], None
+        own, docs = fresh[source], fresh[DOCS]
+        before = len(own) + len(docs)
+        for part in terms(text):
+            own.update(part)
+            seen = set(part) if seen is None else seen.union(part)
+        docs.update(seen)
+        self.new += len(own) + len(docs) - before
         if self.new > POUR:
             self.pour()
 
     def pour(self) -> None:
-        for (lang, key), own in self.fresh.items():
+        for lang, fresh in self.fresh.items():
             leaf = self.tries[lang].leaf
-            for t, n in own.items():
-                x = leaf(t)
-                self.held += key not in x
-                x[key] = x.get(key, 0) + n
+            leaves = {t: leaf(t) for t in fresh[DOCS]}  # every term of any source is among them
+            for key, own in fresh.items():
+                for t, n in own.items():
+                    x = leaves[t]
+                    if key in x:
+                        x[key] += n
+                    else:
+                        x[key] = n
+                        self.held += 1
         self.fresh.clear()
         self.new = 0
 
     def given(self) -> Iterator[pa.RecordBatch]:
-        """The tries' leaves; afterwards there are none. ``leaf``: pairs (source, count) of 64-bit numbers."""
+        """The tries' leaves; afterwards there are none."""
         self.pour()
         for lang, trie in sorted(self.tries.items()):
-            rows: list[tuple[bytes, int, bytes]] = []
-            for term, x in trie.walk():
-                docs = x.pop(DOCS)
-                rows.append((term, docs, np.array(list(x.items()), "<i8").tobytes()))
-                if len(rows) == 1 << 14:
-                    yield leaves(lang, rows)
-                    rows = []
-            if rows:
-                yield leaves(lang, rows)
+            walk = trie.walk()
+            while rows := list(islice(walk, 1 << 14)):
+                yield leaves(lang, [t for t, _ in rows], [x.pop(DOCS) for _, x in rows], [x for _, x in rows])
         self.tries.clear()
         self.held = 0
 
@@ -137,9 +139,14 @@ class Counts:
 KIND = "lang string, term binary, docs long, leaf binary"
 
 
-def leaves(lang: str, rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
-    term, docs, leaf = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), pa.array(leaf, pa.binary())], names=["lang", "term", "docs", "leaf"])
+def leaves(lang: str, term: list[bytes], docs: list[int], counts: list[dict[int, int]]) -> pa.RecordBatch:
+    """Leaves as rows; ``leaf``: pairs (source, count) of 64-bit numbers."""
+    flat = array("q")
+    for x in counts:
+        flat.extend(chain.from_iterable(x.items()))
+    ends = np.concatenate(([0], np.cumsum([16 * len(x) for x in counts]))).astype(np.int32)
+    leaf = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(term), pa.string()), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), leaf], names=["lang", "term", "docs", "leaf"])
 
 
 def counted(docs: DataFrame, at: dict[tuple[str, str], int]) -> DataFrame:
@@ -150,7 +157,7 @@ def counted(docs: DataFrame, at: dict[tuple[str, str], int]) -> DataFrame:
         counts, number = Counts(), shared.value
         for b in batches:
             for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text")):
-                counts.add(lang, number[lang, source], terms(text.as_py()))
+                counts.add(lang, number[lang, source], text.as_py())
                 if counts.held > HOLD:
                     yield from counts.given()
         yield from counts.given()
@@ -162,36 +169,42 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
     """(lang, term, docs, leaf): the leaves of each term added up, of terms that ``least`` documents hold or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, sums, out = None, 0, {}, []
-
-        def done() -> None:
-            if docs >= least:
-                out.append((key[1], docs, np.array(sorted(sums.items()), "<i8").tobytes()))
-
+        key, docs, sums = None, 0, {}
+        out: list[tuple[bytes, int, dict[int, int]]] = []
         for b in batches:
-            for lang, term, n, leaf in zip(*(b.column(c).to_pylist() for c in ("lang", "term", "docs", "leaf"))):
+            flat, at = numbers(b.column("leaf")), 0
+            ends = (np.cumsum(pc.binary_length(b.column("leaf")).to_numpy()) // 8).tolist()
+            for lang, term, n, end in zip(b.column("lang").to_pylist(), b.column("term").to_pylist(), b.column("docs").to_pylist(), ends):
                 if (lang, term) != key:
-                    done()
+                    if docs >= least:
+                        out.append((key[1], docs, sums))
                     if out and (lang != key[0] or len(out) >= 1 << 14):
-                        yield leaves(key[0], out)
-                        out.clear()
+                        yield leaves(key[0], *map(list, zip(*out)))
+                        out = []
                     key, docs, sums = (lang, term), 0, {}
                 docs += n
-                flat = np.frombuffer(leaf, "<i8").tolist()
-                for s, c in zip(flat[::2], flat[1::2]):
-                    sums[s] = sums.get(s, 0) + c
-        done()
+                for k in range(at, end, 2):
+                    s = flat[k]
+                    sums[s] = sums.get(s, 0) + flat[k + 1]
+                at = end
+        if docs >= least:
+            out.append((key[1], docs, sums))
         if out:
-            yield leaves(key[0], out)
+            yield leaves(key[0], *map(list, zip(*out)))
 
     return parts.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, KIND)
 
 
+def numbers(leaf: pa.Array) -> list[int]:
+    """The numbers of all leaves, one after the other."""
+    return np.frombuffer(b"".join(leaf.to_pylist()), np.int64).tolist()
+
+
 def cells(leaf: pa.Array, width: int) -> np.ndarray:
     """Counts of each row's term (down) by source (across)."""
     out = np.zeros((len(leaf), width), np.int64)
-    flat = np.frombuffer(b"".join(leaf.to_pylist()), "<i8").reshape(-1, 2)
-    rows = np.repeat(np.arange(len(leaf)), [len(x.as_buffer()) // 16 for x in leaf])
+    flat = np.frombuffer(b"".join(leaf.to_pylist()), np.int64).reshape(-1, 2)
+    rows = np.repeat(np.arange(len(leaf)), pc.binary_length(leaf).to_numpy() // 16)
     np.add.at(out, (rows, flat[:, 0]), flat[:, 1])
     return out
 
@@ -292,9 +305,11 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, text_col: str = "text
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[str, int], int] = defaultdict(int)
             for b in batches:
-                for lang, leaf in zip(b.column("lang").to_pylist(), b.column("leaf").to_pylist()):
-                    flat = np.frombuffer(leaf, "<i8").tolist()
-                    sums[lang, DOCS] += 1
+                langs = np.array(b.column("lang").to_pylist(), object)
+                for lang in dict.fromkeys(langs.tolist()):
+                    own = b.filter(pa.array(langs == lang)).column("leaf")
+                    flat = numbers(own)
+                    sums[lang, DOCS] += len(own)
                     for s, c in zip(flat[::2], flat[1::2]):
                         sums[lang, s] += c
             keys = list(sums)

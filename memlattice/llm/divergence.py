@@ -14,7 +14,7 @@ Further columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from array import array
+import gc
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -30,7 +30,7 @@ from .common import Query, Scratch, table
 UNIT = 1_000_000_000
 #: Entries (term, source) that a task counts before it pours them into its tries, and that its tries hold before they
 #: are handed on; bytes of a text that are cut into terms at a time.
-POUR, HOLD, STEP = 300_000, 800_000, 1 << 20
+POUR, HOLD, STEP = 600_000, 1_000_000, 1 << 20
 #: Cells of a table of terms and sources, and of sums of pairs, that a task holds.
 CELLS = 1 << 22
 #: Groups whose names and sums are broadcast at a time; languages are dealt into rounds of no more (or one language).
@@ -51,7 +51,9 @@ class Trie:
         while at < len(term):
             kid = node[1].get(term[at])
             if kid is None:
-                kid = node[1][term[at]] = [term[at:], {}, None]
+                new: dict[int, int] = {}
+                node[1][term[at]] = [term[at:], {}, new]
+                return new
             label = kid[0]
             if not term.startswith(label, at):
                 k = 1
@@ -73,7 +75,8 @@ class Trie:
             term = before + label
             if leaf is not None:
                 yield term, leaf
-            left += [(term, kids[b]) for b in sorted(kids, reverse=True)]
+            if kids:
+                left += [(term, kids[b]) for b in sorted(kids, reverse=True)]
 
 
 def terms(text: bytes) -> Iterator[list[bytes]]:
@@ -131,7 +134,10 @@ class Counts:
         for lang, trie in sorted(self.tries.items()):
             walk = trie.walk()
             while rows := list(islice(walk, 1 << 14)):
-                yield leaves(lang, [t for t, _ in rows], [x.pop(DOCS) for _, x in rows], [x for _, x in rows])
+                docs = np.array([x.pop(DOCS) for _, x in rows], np.int64)
+                pairs = np.fromiter(chain.from_iterable(chain.from_iterable(x.items()) for _, x in rows), np.int64).reshape(-1, 2)
+                sizes = np.array([len(x) for _, x in rows], np.int64)
+                yield packed(pa.array([lang] * len(rows), pa.string()), pa.array([t for t, _ in rows], pa.binary()), docs, pairs, sizes)
         self.tries.clear()
         self.held = 0
 
@@ -139,73 +145,86 @@ class Counts:
 KIND = "lang string, term binary, docs long, leaf binary"
 
 
-def leaves(lang: str, term: list[bytes], docs: list[int], counts: list[dict[int, int]]) -> pa.RecordBatch:
-    """Leaves as rows; ``leaf``: pairs (source, count) of 64-bit numbers."""
-    flat = array("q")
-    for x in counts:
-        flat.extend(chain.from_iterable(x.items()))
-    ends = np.concatenate(([0], np.cumsum([16 * len(x) for x in counts]))).astype(np.int32)
-    leaf = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(term), pa.string()), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), leaf], names=["lang", "term", "docs", "leaf"])
-
-
 def counted(docs: DataFrame, at: dict[tuple[str, str], int]) -> DataFrame:
     """(lang, term, docs, leaf): the leaves of every task's tries. ``docs``: (lang, source, text: binary)."""
     shared = docs.sparkSession.sparkContext.broadcast(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, number = Counts(), shared.value
-        for b in batches:
-            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text")):
-                counts.add(lang, number[lang, source], text.as_py())
-                if counts.held > HOLD:
-                    yield from counts.given()
-        yield from counts.given()
+        gc.disable()  # tries have no cycles, and many objects to look through for some
+        try:
+            for b in batches:
+                for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text")):
+                    counts.add(lang, number[lang, source], text.as_py())
+                    if counts.held > HOLD:
+                        yield from counts.given()
+            yield from counts.given()
+        finally:
+            gc.enable()
 
     return docs.mapInArrow(run, KIND)
 
 
+def packed(lang: pa.Array, term: pa.Array, docs: np.ndarray, pairs: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """Leaves as rows; ``pairs``: (source, count) of all of them, ``sizes`` of each."""
+    ends = np.concatenate(([0], np.cumsum(16 * sizes))).astype(np.int32)
+    leaf = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(pairs, np.int64))])
+    return pa.RecordBatch.from_arrays([lang, term, pa.array(docs, pa.int64()), leaf], names=["lang", "term", "docs", "leaf"])
+
+
+def pairs_of(leaf: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """((source, count) of all leaves one after the other, how many each has)."""
+    return np.frombuffer(b"".join(leaf.to_pylist()), np.int64).reshape(-1, 2), pc.binary_length(leaf).to_numpy() // 16
+
+
+def starts_of(rows: pa.Table) -> np.ndarray:
+    """Where each term begins in sorted leaves."""
+    same = [pc.equal(rows.column(c).slice(1), rows.column(c).slice(0, len(rows) - 1)).to_numpy() for c in ("lang", "term")]
+    return np.flatnonzero(np.concatenate(([True], ~(same[0] & same[1]))))
+
+
+def added_up(rows: pa.Table, least: int) -> pa.RecordBatch:
+    """The sum of each term's leaves, for terms that ``least`` documents hold or more."""
+    rows = rows.combine_chunks()
+    starts = starts_of(rows)
+    docs = np.add.reduceat(rows.column("docs").to_numpy(), starts)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+    kept = docs >= least
+    mine = rows.filter(pa.array(kept[group]))
+    pairs, sizes = pairs_of(mine.column("leaf"))
+    place = np.repeat((np.cumsum(kept) - 1)[group[kept[group]]], sizes)
+    order = np.lexsort((pairs[:, 0], place))
+    pairs, place = pairs[order], place[order]
+    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (pairs[1:, 0] != pairs[:-1, 0])))) if len(pairs) else np.zeros(0, np.int64)
+    sums = np.stack([pairs[first, 0], np.add.reduceat(pairs[:, 1], first) if len(first) else pairs[:, 1]], axis=1)
+    keys = rows.select(["lang", "term"]).take(pa.array(starts[kept])).combine_chunks().to_batches()
+    lang, term = (keys[0].column(c) if keys else pa.array([], k) for c, k in (("lang", pa.string()), ("term", pa.binary())))
+    return packed(lang, term, docs[kept], sums, np.bincount(place[first], minlength=int(kept.sum())))
+
+
 def merged(parts: DataFrame, least: int) -> DataFrame:
     """(lang, term, docs, leaf): the leaves of each term added up, of terms that ``least`` documents hold or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, sums = None, 0, {}
-        out: list[tuple[bytes, int, dict[int, int]]] = []
+        left = None  # the leaves of the last term so far, which may go on
         for b in batches:
-            flat, at = numbers(b.column("leaf")), 0
-            ends = (np.cumsum(pc.binary_length(b.column("leaf")).to_numpy()) // 8).tolist()
-            for lang, term, n, end in zip(b.column("lang").to_pylist(), b.column("term").to_pylist(), b.column("docs").to_pylist(), ends):
-                if (lang, term) != key:
-                    if docs >= least:
-                        out.append((key[1], docs, sums))
-                    if out and (lang != key[0] or len(out) >= 1 << 14):
-                        yield leaves(key[0], *map(list, zip(*out)))
-                        out = []
-                    key, docs, sums = (lang, term), 0, {}
-                docs += n
-                for k in range(at, end, 2):
-                    s = flat[k]
-                    sums[s] = sums.get(s, 0) + flat[k + 1]
-                at = end
-        if docs >= least:
-            out.append((key[1], docs, sums))
-        if out:
-            yield leaves(key[0], *map(list, zip(*out)))
+            rows = pa.Table.from_batches([b])
+            rows = rows if left is None else pa.concat_tables([left, rows])
+            last = int(starts_of(rows)[-1]) if len(rows) else 0
+            if last:
+                yield added_up(rows.slice(0, last), least)
+            left = rows.slice(last)
+        if left is not None and len(left):
+            yield added_up(left, least)
 
     return parts.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, KIND)
 
 
-def numbers(leaf: pa.Array) -> list[int]:
-    """The numbers of all leaves, one after the other."""
-    return np.frombuffer(b"".join(leaf.to_pylist()), np.int64).tolist()
-
-
 def cells(leaf: pa.Array, width: int) -> np.ndarray:
     """Counts of each row's term (down) by source (across)."""
     out = np.zeros((len(leaf), width), np.int64)
-    flat = np.frombuffer(b"".join(leaf.to_pylist()), np.int64).reshape(-1, 2)
-    rows = np.repeat(np.arange(len(leaf)), pc.binary_length(leaf).to_numpy() // 16)
-    np.add.at(out, (rows, flat[:, 0]), flat[:, 1])
+    pairs, sizes = pairs_of(leaf)
+    out[np.repeat(np.arange(len(leaf)), sizes), pairs[:, 0]] = pairs[:, 1]
     return out
 
 
@@ -308,10 +327,10 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, text_col: str = "text
                 langs = np.array(b.column("lang").to_pylist(), object)
                 for lang in dict.fromkeys(langs.tolist()):
                     own = b.filter(pa.array(langs == lang)).column("leaf")
-                    flat = numbers(own)
+                    pairs, _ = pairs_of(own)
                     sums[lang, DOCS] += len(own)
-                    for s, c in zip(flat[::2], flat[1::2]):
-                        sums[lang, s] += c
+                    for s in np.unique(pairs[:, 0]).tolist():
+                        sums[lang, s] += int(pairs[pairs[:, 0] == s, 1].sum())
             keys = list(sums)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.int64()), pa.array([sums[x] for x in keys], pa.int64())], names=["lang", "at", "n"])
 

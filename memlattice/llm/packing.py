@@ -1,10 +1,10 @@
 """Packing of tokenized documents into fixed windows by swap-based local search between underfull bins.
 
-Pieces of one length are interchangeable, so the search sees only how many pieces of each length there are (at most
-``capacity`` numbers, whatever the size of the corpus) and handles all bins of equal content at once. It starts from a
-first fit of the lengths in the order of a hash and exchanges pieces until as many bins are empty as can be: moves,
-one-for-one and two-for-one swaps, each of which raises the sum of squared fills. Documents then take the places of
-their lengths by rank.
+Pieces of one length are interchangeable, so a search sees only how many pieces of each length there are and handles
+all bins of equal content at once. It starts from a first fit of the lengths in the order of a hash and exchanges pieces
+until as many bins are empty as can be: moves and exchanges of one or two pieces for one or two, each of which raises
+the sum of squared fills. Groups of pieces are searched by tasks of their own, and their emptiest bins again together, so
+neither the driver nor a task sees more than a bounded number of pieces.
 
 Edge cases: a null or empty text has no tokens but its end mark, a piece of length 1. A text longer than the window is
 cut into full pieces after a first one that takes the rest. Repeated rows and rows without an id are packed like any
@@ -21,15 +21,19 @@ from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Query, Scratch, gapless_rank, table
+from .common import Query, Scratch, table
 
 Bin = tuple[tuple[int, int], ...]  #: (length, how many) of what a bin holds, longest first
+#: Pieces that a task searches over, about; underfull bins of a group that are searched again with those of others, and
+#: of how many groups at a time; orders that a search starts from, one after the other, until one ends at the bound.
+GROUP, OPEN, FAN, STARTS = 16_000, 512, 8, 2
 
 
 def byte_level() -> dict[str, int]:
@@ -114,12 +118,12 @@ def put(b: Bin, length: int, n: int = 1) -> Bin:
     return tuple(sorted(((x, k) for x, k in c.items() if k), reverse=True))
 
 
-def first_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
+def first_fit(counts: dict[int, int], capacity: int, seed: int = 0) -> Counter[Bin]:
     """First fit over the lengths in the order of a hash: how many bins there are of each content. A length takes all
     bins of a content at once, so there are no more than a few contents for each length."""
     full: Counter[Bin] = Counter()
     open_: list[tuple[int, Bin, int]] = []  # what is left free, content, how many
-    for length in sorted(counts, key=lambda n: (zlib.crc32(n.to_bytes(8, "little")), n)):
+    for length in sorted(counts, key=lambda n: (zlib.crc32(n.to_bytes(8, "little"), seed), n)):
         left, after = counts[length], []
         for free, b, n in [*open_, (capacity, (), left)]:
             each = free // length
@@ -136,31 +140,6 @@ def first_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
     return full
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
-    """Best-fit decreasing over lengths: how many bins there are of each content."""
-    open_: dict[int, Counter[Bin]] = {}  # by what is left free
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        for free in sorted(x for x in open_ if x >= length):
-            for b, n in list(open_[free].items()):
-                each = free // length  # a bin that got one is now the tightest, so it is filled first
-                for k, bins in ((each, min(n, left // each)), (left % each if left < n * each else 0, 1)):
-                    if k and bins:
-                        open_[free][b] -= bins
-                        open_.setdefault(free - k * length, Counter())[put(b, length, k)] += bins
-                        left -= k * bins
-                if not left:
-                    break
-            open_[free] = +open_[free]
-            if not left:
-                break
-        each = capacity // length
-        for k, bins in ((each, left // each), (left % each, 1)):
-            if k and bins:
-                open_.setdefault(capacity - k * length, Counter())[((length, k),)] += bins
-    return sum((c for c in open_.values()), Counter())
-
-
 def fewest(counts: dict[int, int], capacity: int) -> int:
     """A bound below on the number of bins: by the tokens, and by the pieces of which no two share a bin."""
     return max(-(-sum(n * k for n, k in counts.items()) // capacity), sum(k for n, k in counts.items() if 2 * n > capacity))
@@ -171,15 +150,20 @@ def two_of(b: Bin) -> list[tuple[int, int]]:
     return [(x, y) for i, (x, k) in enumerate(b) for y, _ in b[i:] if x != y or k > 1]
 
 
+def some_of(b: Bin) -> list[tuple[int, ...]]:
+    """What of a bin an exchange can take: one piece, or two."""
+    return [*((x,) for x, _ in b), *two_of(b)]
+
+
 class Search:
     """The local search's bins: how many there are of each content, the underfull ones in order of their fill, and the
-    pieces in underfull contents by their reach: a piece and what its bin has free, together the longest that can take
-    the piece's place."""
+    pieces in underfull contents, one or two of a bin, by their reach: their length and what their bin has free,
+    together the most that can take their place."""
 
     def __init__(self, bins: Counter[Bin], capacity: int):
         self.capacity, self.bins = capacity, Counter()
         self.order: list[tuple[int, Bin]] = []
-        self.reach: list[dict[tuple[int, Bin], int]] = [{} for _ in range(capacity + 1)]  # -> its bin's fill
+        self.reach: list[list[tuple[int, tuple[int, ...], Bin]]] = [[] for _ in range(capacity + 1)]  # by fill
         for b, n in bins.items():
             self.add(b, n)
 
@@ -191,20 +175,21 @@ class Search:
         self.bins[b] = had + n
         if not had and size < self.capacity:
             insort(self.order, (size, b))
-            for x, _ in b:
-                self.reach[x + self.capacity - size][x, b] = size
+            for x in some_of(b):
+                insort(self.reach[sum(x) + self.capacity - size], (size, x, b))
         if not self.bins[b]:
             del self.bins[b]
             if size < self.capacity:
                 del self.order[bisect_left(self.order, (size, b))]
-                for x, _ in b:
-                    del self.reach[x + self.capacity - size][x, b]
+                for x in some_of(b):
+                    own = self.reach[sum(x) + self.capacity - size]
+                    del own[bisect_left(own, (size, x, b))]
 
     def partner(self, giver: Bin) -> tuple[Bin, list[int], list[int]] | None:
-        """(taker, what it gets, what it gives back): a move, a one-for-one or a two-for-one exchange with a bin at
+        """(taker, what it gets, what it gives back): a move, or an exchange of one or two for one or two, with a bin at
         least as full as the giver, if there is any; one that leaves the taker as little free as can be."""
         own, alone = fill(giver), self.bins[giver] < 2
-        gives = [*((a,) for a, _ in giver), *two_of(giver)]
+        gives = some_of(giver)
         for a, _ in giver:
             k = bisect_left(self.order, (self.capacity - a + 1,)) - 1
             while k >= 0 and self.order[k][0] >= own:
@@ -216,26 +201,56 @@ class Search:
                 size = sum(there)
                 if size + slack > self.capacity:
                     continue
-                best, gain = None, 0
-                for (back, taker), full in self.reach[size + slack].items():
-                    if gain < size - back and full >= own and (taker != giver or not alone):
-                        best, gain = (taker, list(there), [back]), size - back
-                if best:
-                    return best
+                fit = self.reach[size + slack]  # the emptiest taker gains the most
+                for k in range(bisect_left(fit, (own,)), len(fit)):
+                    full, back, taker = fit[k]
+                    if self.capacity - full <= slack:
+                        break
+                    if taker != giver or not alone:
+                        return taker, list(there), list(back)
         return None
 
 
-def improve(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
-    """Local search over underfull bins. The emptiest give and fuller ones take, so the sum of squared fills rises with
-    each exchange until a giver is empty and its bin goes. Givers are the emptiest contents, twice as many as there are
-    bins too many, and eight. It ends when there are no more bins than there must be, or no giver has an exchange."""
-    search, counts = Search(bins, capacity), Counter()
+def broken(search: Search, sums: dict[int, list[tuple[Bin, int, int]]]) -> tuple[Bin, Bin, int, int, int] | None:
+    """(giver, taker, piece, two pieces): the longest piece of the emptiest bin that a full bin has two pieces for, of
+    the same sum. The fills stay as they are, but what the underfull bin holds is in smaller pieces, which more
+    exchanges have use for."""
+    for _, giver in search.order:
+        for x, _ in giver:
+            found = sums.get(x, [])
+            while found:
+                taker, y, z = found[-1]
+                if search.bins[taker]:
+                    return giver, taker, x, y, z
+                found.pop()
+    return None
+
+
+def improve(bins: Counter[Bin], capacity: int) -> tuple[Counter[Bin], int]:
+    """(bins, exchanges): local search over underfull bins. The emptiest give and fuller ones take, so the sum of squared
+    fills rises with each exchange until a giver is empty and its bin goes. Givers are the emptiest contents, twice as
+    many as there are bins too many, and eight. Where none has an exchange, one with a full bin, two pieces for one of
+    the same length, breaks up what the emptiest holds. It ends when there are no more bins than there must be, or there
+    is neither."""
+    search, counts, made = Search(bins, capacity), Counter(), 0
     for b, n in search.bins.items():
         for length, k in b:
             counts[length] += k * n
     number, least = sum(search.bins.values()), fewest(counts, capacity)
     stuck: set[Bin] = set()  # givers without an exchange; tried again when no other has one
-    since = 0
+    since, sums = 0, None
+
+    def exchange(giver: Bin, taker: Bin, there: list[int], back: list[int], n: int) -> int:
+        """Makes the exchange between ``n`` pairs of such bins; how many givers that empties."""
+        give, take = giver, taker
+        for x in there:
+            give, take = put(give, x, -1), put(take, x)
+        for x in back:
+            give, take = put(give, x), put(take, x, -1)
+        for b, k in ((giver, -n), (taker, -n), (take, n), (give, n)):
+            search.add(b, k)
+        return 0 if give else n
+
     while number > least:
         for _, giver in search.order[: 2 * (number - least) + 8]:
             if giver not in stuck:
@@ -243,86 +258,112 @@ def improve(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
                     break
                 stuck.add(giver)
         else:
-            if not since:
+            if since:
+                stuck, since = set(), 0
+                continue
+            if sums is None:
+                sums = {}
+                for b in sorted(b for b in search.bins if fill(b) == capacity):
+                    for y, z in two_of(b):
+                        sums.setdefault(y + z, []).append((b, y, z))
+            part = broken(search, sums)
+            if part is None:
                 break
-            stuck, since = set(), 0
+            giver, taker, x, y, z = part
+            exchange(giver, taker, [x], [y, z], 1)
+            stuck, made = set(), made + 1
             continue
         taker, there, back = found
         n = search.bins[giver] // 2 if giver == taker else min(search.bins[giver], search.bins[taker])
-        give, take = giver, taker
-        for x in there:
-            give, take = put(give, x, -1), put(take, x)
-        for x in back:
-            give, take = put(give, x), put(take, x, -1)
-        search.add(giver, -n)
-        search.add(taker, -n)
-        search.add(take, n)
-        search.add(give, n)
-        number, since = number - (0 if give else n), since + 1
-    return search.bins
+        number -= exchange(giver, taker, there, back, n)
+        since, made = since + 1, made + n
+    return search.bins, made
 
 
 def packed(counts: dict[int, int], capacity: int) -> Counter[Bin]:
-    """The search's bins from a first fit. Where it ends with more than there must be, the underfull bins are emptied
-    along with four times as many full ones (chosen by a hash of what they hold), filled again by best-fit decreasing
-    and searched on; then along with four times as many again, until all have been."""
-    bins, least, share = improve(first_fit(counts, capacity), capacity), fewest(counts, capacity), 4
-    while sum(bins.values()) > least:
-        pool = Counter({b: n for b, n in bins.items() if fill(b) < capacity})
-        room, whole = share * sum(pool.values()), True
-        for b in sorted((b for b in bins if fill(b) == capacity), key=lambda b: (zlib.crc32(repr(b).encode()), b)):
-            pool[b] = min(bins[b], max(room, 0))
-            room, whole = room - pool[b], whole and pool[b] == bins[b]
-        pieces: Counter[int] = Counter()
-        for b, n in pool.items():
-            for length, k in b:
-                pieces[length] += k * n
-        again = improve(best_fit(+pieces, capacity), capacity)
-        if sum(again.values()) <= sum(pool.values()):
-            bins = bins - pool + again
-        if whole:
+    """The fewest bins that the search ends with, from a first fit in one order or another."""
+    best, least = None, fewest(counts, capacity)
+    for seed in range(STARTS):
+        bins, _ = improve(first_fit(counts, capacity, seed), capacity)
+        if best is None or sum(bins.values()) < sum(best.values()):
+            best = bins
+        if sum(best.values()) <= least:
             break
-        share *= 4
-    return bins
+    return best
 
 
-def places(bins: Counter[Bin]) -> np.ndarray:
-    """Rows (length, first rank, first bin, offset, how many a bin) sorted by length and rank: the pieces of a length
-    with ranks from the first one on lie in these bins."""
-    used: Counter[int] = Counter()
-    rows, at = [], 0
+def held(number: np.ndarray, length: np.ndarray) -> Counter[Bin]:
+    """What the bins of these numbers hold."""
+    by: dict[int, Counter[int]] = {}
+    for n, x in zip(number.tolist(), length.tolist()):
+        by.setdefault(n, Counter())[x] += 1
+    return Counter(tuple(sorted(c.items(), reverse=True)) for c in by.values())
+
+
+def dealt(length: np.ndarray, bins: Counter[Bin]) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece; pieces of one length take their places in order."""
+    number, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    order = np.argsort(length, kind="stable")
+    sizes, first = np.unique(length[order], return_index=True)
+    next_ = dict(zip(sizes.tolist(), first.tolist()))
+    at = 0
     for b, n in sorted(bins.items()):
-        offset = 0
-        for length, k in b:
-            rows.append((length, used[length], at, offset, k))
-            used[length] += n * k
-            offset += length * k
-        at += n
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+        for _ in range(n):
+            lo = 0
+            for x, k in b:
+                mine = order[next_[x] : next_[x] + k]
+                number[mine], offset[mine] = at, lo + x * np.arange(k)
+                next_[x] += k
+                lo += x * k
+            at += 1
+    return number, offset
+
+
+KEPT = ["doc_id", "piece", "start", "length", "ids_crc32"]
+KIND = "doc_id long, piece int, start long, length long, ids_crc32 long, group long, sequence_id long, offset long, open boolean"
+
+
+def searched(rows: DataFrame, capacity: int, level: int) -> DataFrame:
+    """Each group's pieces in its bins: from the bins that they lie in, if they do, else from a first fit. ``open``:
+    whether the bin goes on to the next level, as do the OPEN emptiest of a group that are underfull."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = [(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")]
+        table = table.sort_by(order)
+        length, group = table.column("length").to_numpy(), table.column("group")[0].as_py()
+        if level:
+            bins, _ = improve(held(table.column("sequence_id").to_numpy(), length), capacity)
+        else:
+            bins = packed(Counter(length.tolist()), capacity)
+        number, offset = dealt(length, bins)
+        fills = np.bincount(number, length).astype(np.int64)
+        emptiest = np.argsort(fills, kind="stable")[:OPEN]
+        goes_on = np.isin(number, emptiest[fills[emptiest] < capacity])
+        ids = (level << 56) + (group << 24) + number
+        cols = [table.column(c) for c in KEPT] + [table.column("group"), pa.array(ids), pa.array(offset), pa.array(goes_on)]
+        return pa.Table.from_arrays(cols, names=[*KEPT, "group", "sequence_id", "offset", "open"])
+
+    return rows.groupBy("group").applyInArrow(run, KIND)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, scratch: Scratch | None = None) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Only the histogram of lengths and the bins' contents reach the driver."""
+    """``pieces`` with sequence_id and offset. Pieces are dealt into groups of about GROUP, each searched by a task of
+    its own; then the emptiest bins of FAN groups are searched together, and so on until one group is left."""
     spark = pieces.sparkSession
     scratch = scratch or Scratch(spark, "packing")
     pieces = scratch.write(pieces, "pieces")
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}
-    plan = places(packed(counts, capacity))
-    shared = spark.sparkContext.broadcast(plan)
-    ranked = gapless_rank(pieces, "length", "rank", [F.col("doc_id"), F.col("piece")], scratch, "starts", max(counts.values(), default=0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        keys = (p[:, 0] << 44) + p[:, 1]
-        for b in batches:
-            length, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in ("length", "rank"))
-            row = p[np.searchsorted(keys, (length << 44) + rank, side="right") - 1].reshape(-1, 5)
-            k = rank - row[:, 1]
-            cols = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(row[:, 2] + k // row[:, 4]), pa.array(row[:, 3] + k % row[:, 4] * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    cols = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return cols.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    groups, level = max(1, -(-pieces.count() // GROUP)), 0
+    rows = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    done = []
+    while True:
+        found = scratch.write(searched(rows, capacity, level), f"level{level}")
+        if groups == 1:
+            done.append(found)
+            break
+        done.append(found.where("NOT open"))
+        rows = found.where("open").drop("offset", "open").withColumn("group", F.floor(F.col("group") / FAN))
+        groups, level = -(-groups // FAN), level + 1
+    return reduce(DataFrame.unionByName, done).select(*KEPT, "sequence_id", "offset")
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -297,7 +297,7 @@ def test_packing_search(seed):
     r = Random(seed)
     lengths = Counter(r.randint(r.choice([1, 10, 20]), r.choice([30, 45, 64])) for _ in range(r.choice([20, 200])))
     first = packing.first_fit(lengths, 64)
-    better = packing.improve(first, 64)
+    better, made = packing.improve(first, 64)
     squares = lambda bins: sum(packing.fill(b) ** 2 * n for b, n in bins.items())
     for bins in (first, better):
         held = Counter()
@@ -314,14 +314,14 @@ def test_exchanges_empty_bins():
     r = Random(9)
     lengths = Counter(min(2048, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(3000))
     first, least = packing.first_fit(lengths, 2048), packing.fewest(lengths, 2048)
-    assert sum(first.values()) > sum(packing.improve(first, 2048).values()) and sum(packing.packed(lengths, 2048).values()) == least
+    assert sum(first.values()) > sum(packing.improve(first, 2048)[0].values()) and sum(packing.packed(lengths, 2048).values()) == least
 
 
 def test_search_ends_where_nothing_can_be_exchanged():
     lengths = Counter({n: 3 for n in range(1025, 1200)})
-    assert sum(packing.improve(packing.first_fit(lengths, 2048), 2048).values()) == 525
+    assert sum(packing.improve(packing.first_fit(lengths, 2048), 2048)[0].values()) == 525
     lengths = Counter({700: 10, 900: 7})
-    assert sum(packing.improve(packing.first_fit(lengths, 2048), 2048).values()) == 9
+    assert sum(packing.improve(packing.first_fit(lengths, 2048), 2048)[0].values()) == 9
 
 
 def test_exchange_kinds():
@@ -330,6 +330,37 @@ def test_exchange_kinds():
     assert partner(((30, 1),), ((33, 1), (20, 1)))[1:] == ([30], [20])
     assert partner(((12, 1), (11, 1)), ((40, 1), (20, 1)))[1:] == ([12, 11], [20])
     assert partner(((60, 1),), ((60, 1),)) is None
+    assert partner(((30, 1),), ((34, 1), (15, 1), (13, 1)))[1:] == ([30], [15, 13])
+
+
+def test_exchanges_alone_reach_the_bound():
+    """From the first fit, no other packing being looked at: every bin fewer comes from exchanges, which most bins went
+    through."""
+    r = Random(4)
+    lengths = Counter(r.choice([2048, min(2048, int(r.lognormvariate(5.5, 1.2)) + 1)]) for _ in range(4000))
+    first = packing.first_fit(lengths, 2048)
+    bins, made = packing.improve(first, 2048)
+    underfull = lambda bins: Counter({b: n for b, n in bins.items() if b != ((2048, 1),)})
+    assert sum(first.values()) > sum(bins.values()) == packing.fewest(lengths, 2048) and made >= 50
+    assert sum((underfull(bins) - underfull(first)).values()) >= 0.1 * sum(underfull(bins).values())
+
+
+def test_groups_are_searched_apart_and_their_emptiest_bins_together(spark, monkeypatch):
+    """Many small groups end with hardly more bins than one, each piece in one place."""
+    monkeypatch.setattr(packing, "GROUP", 300)
+    monkeypatch.setattr(packing, "FAN", 3)
+    r = Random(2)
+    lengths = [min(2048, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(4000)]
+    rows = spark.createDataFrame([(i % 7 or None, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(rows).collect()
+    assert sorted((r.ids_crc32, r.length) for r in got) == list(enumerate(lengths))
+    bins = {}
+    for x in got:
+        bins.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 2048
+    assert len(bins) <= packing.fewest(Counter(lengths), 2048) + 2
 
 
 def test_packing_edges(spark):

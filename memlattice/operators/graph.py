@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 
 def directed_both_ways(edges: DataFrame) -> DataFrame:
     """(here, there) for each edge from either end. A union of two equi-joinable halves: a join on 'source or target'
@@ -22,16 +24,19 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(id, depth) of every node at most ``depth`` undirected steps from ``seeds`` (id), at its least depth.
 
-    A level is the distinct neighbours of the one before. Levels are not reduced by what was visited (a node's least
-    depth is taken at the end), so a plan of d levels has d joins, whose repeated parts are one exchange.
+    A level is the neighbours of the level before that no earlier level has, so every node's edges are joined once. Each
+    level is written, and the walk ends with the first one that is empty.
     """
-    both = directed_both_ways(edges)
-    level = seeds.select("id").distinct()
-    out = level.withColumn("depth", F.lit(0))
+    scratch, both = Scratch(edges.sparkSession, "reach"), directed_both_ways(edges)
+    level = scratch.write(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "0")
+    out = level
     for d in range(1, depth + 1):
-        level = both.join(level, F.col("here") == F.col("id")).select(F.col("there").alias("id")).distinct()
-        out = out.unionByName(level.withColumn("depth", F.lit(d)))
-    return out.groupBy("id").agg(F.min("depth").alias("depth"))
+        new = both.join(level, F.col("here") == F.col("id")).select(F.col("there").alias("id")).distinct()
+        level = scratch.write(new.join(out, "id", "left_anti").withColumn("depth", F.lit(d)), str(d))
+        out = out.unionByName(level)
+        if level.isEmpty():
+            break
+    return out
 
 
 def linked_memories(links: DataFrame, nodes: DataFrame) -> DataFrame:

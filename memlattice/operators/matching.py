@@ -7,7 +7,7 @@ each row see what the rows before it left.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -108,36 +108,50 @@ def supersede(current: DataFrame, pairs: DataFrame, now: Column) -> tuple[DataFr
     return versions, closed, audit
 
 
+class Stored:
+    """A block's stored memories, in the order in which they were stored: [key, title, text, both as compared]."""
+
+    SPACE = " \t\n\r\f\v"
+
+    def __init__(self, rows: Iterable[tuple[int, str, str]] = ()):
+        self.rows = [[k, head, body, self.whole(head, body)] for k, head, body in rows]
+
+    @classmethod
+    def whole(cls, head: str, body: str) -> str:
+        return f"{head.strip(cls.SPACE)}\n{body.strip(cls.SPACE)}".strip(cls.SPACE).lower()
+
+    def take(self, key: int, head: str, body: str) -> tuple[str, int | None]:
+        """(decision, key of the match) for a new memory, which is stored or merged accordingly: a merge adds its text
+        to the stored one, and its title if that has none."""
+        new, best, at = self.whole(head, body), 0.0, None
+        for i, (_, _, _, old) in enumerate(self.rows):
+            able = lambda x: x >= D.MERGE_FROM and x > best  # noqa: E731, B023  less than that is no match
+            if not able(2.0 * min(len(new), len(old)) / (len(new) + len(old)) if new or old else 1.0):
+                continue
+            m = SequenceMatcher(None, new, old)
+            if able(m.quick_ratio()) and able(s := m.ratio()):
+                best, at = s, i
+        if at is None:
+            self.rows.append([key, head, body, new])
+            return "store", None
+        match, title, text, _ = self.rows[at]
+        if best > D.DUPLICATE_ABOVE:
+            return "discard", match
+        old, add = text.strip(self.SPACE), body.strip(self.SPACE)
+        old = f"{old}\n\n{add}".strip(self.SPACE) if add and add not in old else old
+        self.rows[at] = [match, title or head, old, self.whole(title or head, old)]
+        return "merge", match
+
+
 def sequential_dedup(incoming: DataFrame, block: list[str], key: str, text: str, title: str | None = None) -> DataFrame:
     """(block, key, decision, match): each row of a block, in order of its key, against those stored before it, by the
-    whole of title and text. A merge adds the row's text to the stored one, and its title if that has none."""
-    space = " \t\n\r\f\v"
-
-    def whole(head: str, body: str) -> str:
-        return f"{head.strip(space)}\n{body.strip(space)}".strip(space).lower()
+    whole of title and text. ``streaming.memories.sequential`` does it batch by batch, with what is stored as state."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
+        stored, out = Stored(), []
         for r in rows.sort_values(key).to_dict("records"):
-            head, body = (r[title] or "") if title else "", r[text] or ""
-            new = whole(head, body)
-            best, at = 0.0, None
-            for i, (_, _, _, t) in enumerate(kept):
-                able = lambda x: x >= D.MERGE_FROM and x > best  # noqa: E731, B023  # less than that is no match
-                if not able(2.0 * min(len(new), len(t)) / (len(new) + len(t)) if new or t else 1.0):
-                    continue
-                m = SequenceMatcher(None, new, t)
-                if able(m.quick_ratio()) and able(s := m.ratio()):
-                    best, at = s, i
-            decision = "discard" if best > D.DUPLICATE_ABOVE else "merge" if best >= D.MERGE_FROM else "store"
-            out.append({**{b: r[b] for b in block}, key: r[key], "decision": decision, "match": None if at is None else kept[at][0]})
-            if decision == "store":
-                kept.append((r[key], head, body, new))
-            elif decision == "merge":
-                k, h, old, _ = kept[at]
-                old, add = old.strip(space), body.strip(space)
-                old = f"{old}\n\n{add}".strip(space) if add and add not in old else old
-                kept[at] = (k, h or head, old, whole(h or head, old))
+            decision, match = stored.take(r[key], (r[title] or "") if title else "", r[text] or "")
+            out.append({**{b: r[b] for b in block}, key: r[key], "decision": decision, "match": match})
         return pd.DataFrame(out).astype({"match": "Int64"})
 
     kinds = dict(incoming.dtypes)

@@ -22,6 +22,12 @@ def graph_bfs_nodes(spark, sf):
     return G.reach(V.edges(spark, sf), seeds(spark), 2)
 
 
+@query("WITH " + WALK.replace("depth < 2", "depth < 5") + " SELECT id, depth FROM near")
+def graph_bfs_deep(spark, sf):
+    """As far as five steps: every node is taken up once, at its least depth."""
+    return G.reach(V.edges(spark, sf), seeds(spark), 5)
+
+
 @query(f"WITH {WALK}, {LNK} SELECT DISTINCT memory_id FROM lnk WHERE entity_id IN (SELECT id FROM near)")
 def graph_memory_ids(spark, sf):
     return G.linked_memories(V.links(spark, sf), G.reach(V.edges(spark, sf), seeds(spark), 2))

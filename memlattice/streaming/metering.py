@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.scans import insert_new
+from ..operators.scans import insert_new, upsert
+from ..sources.scratch import Scratch, folder
 
 EVENT = T.StructType([T.StructField(n, k) for n, k in (("event_id", T.LongType()), ("tenant_id", T.LongType()), ("actor_id", T.LongType()), ("event_type", T.StringType()), ("recorded_at", T.TimestampType()))])
 
@@ -23,8 +23,9 @@ def json_events(spark: SparkSession, path: str, schema: T.StructType = EVENT, fi
 
 
 def daily_rollup(events: DataFrame, *keys: str, ts: str = "recorded_at", watermark: str | None = None) -> DataFrame:
-    """Events a day and key. Without a watermark nothing is late and the state holds every day: use it in complete or
-    update mode; with one, days older than it are final and their late events are lost, as in a rollup of today only."""
+    """Events a day and key. Without a watermark nothing is late and the state holds every day; with one, days older
+    than it are final, their state goes and their late events are lost, as in a rollup of today only. In update mode,
+    with ``upserted`` as the sink, a batch writes the days that it touches."""
     df = events.withWatermark(ts, watermark) if watermark else events
     out = df.groupBy(F.window(ts, "1 day"), *keys).agg(F.count(F.lit(1)).alias("n_events"))
     return out.select(*keys, F.to_date("window.start").alias("day"), "n_events")
@@ -35,35 +36,57 @@ def arrival_time(events: DataFrame, ts: str = "recorded_at", arrived: str = "ing
     return events.withColumn(ts, F.coalesce(ts, arrived))
 
 
-def idempotent(events: DataFrame, *keys: str, tie: str = "event_id", ts: str = "recorded_at", hours: int = 24) -> DataFrame:
+def in_order(rows: Iterator[pd.DataFrame], first: int, then: int, least: int | None = None) -> list[np.ndarray]:
+    """Two columns of a key's rows, by their places, as arrays in the order of the first and then the second. Nothing
+    else of the rows is held, and nothing at all of those whose first is under ``least``."""
+    pairs = ((x.iloc[:, first].to_numpy(), x.iloc[:, then].to_numpy()) for x in rows)
+    parts = [(a, b) if least is None else (a[a >= least], b[a >= least]) for a, b in pairs]
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    order = np.lexsort((columns[1], columns[0]))
+    return [c[order] for c in columns]
+
+
+def idempotent(events: DataFrame, *keys: str, tie: str = "event_id", ts: str = "recorded_at", hours: int = 24, late: str = "0 seconds") -> DataFrame:
     """(tie, keys): the first event of each key, and the first that comes its lifetime of ``hours`` or more after the
-    one let through before. The time of the last accepted event is the key's state, so a key lives on over batches and
-    is let through again when its time is over. Events of a batch are taken in order of time; batches should be, too."""
+    one let through before. The time of the last accepted event is the key's state, so a key lives on over batches.
+
+    The state of a key goes when the watermark passes the end of its lifetime, from when any event would be let through
+    anyway. Events of a batch are taken in order of time; batches should be, too, but for ``late``: events later than
+    that are dropped."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    life = hours * 3_600_000_000
+    life, kinds = hours * 3_600_000_000, dict(events.dtypes)
 
     class First(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("last", "at long")
+            self.handle, self.state = handle, handle.getValueState("last", "at long")
 
         def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
             last = self.state.get()[0] if self.state.exists() else None
-            batch = pd.concat(list(rows), ignore_index=True).set_axis([tie, *keys, "_at"], axis=1).sort_values(["_at", tie])
-            kept = []
-            for i, at in enumerate(batch["_at"]):
-                if last is None or at - last >= life:
-                    last = int(at)
-                    kept.append(i)
-            self.state.update((last,))
-            yield batch.iloc[kept][[tie, *keys]]
+            at, ids = in_order(rows, 0, 1, None if last is None else last + life)
+            kept, i, before = [], 0, last
+            while i < len(at):
+                if last is None or at[i] - last >= life:
+                    last = int(at[i])
+                    kept.append(ids[i])
+                i = max(i + 1, int(np.searchsorted(at, last + life)))
+            if last != before:
+                self.state.update((last,))
+                for old in self.handle.listTimers():
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(-(-(last + life) // 1000))
+            if kept:
+                yield pd.DataFrame({tie: kept, **{name: pd.Series([v] * len(kept), dtype=object) for name, v in zip(keys, k)}})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.state.clear()
+            return iter([])
 
         def close(self) -> None:
             pass
 
-    kinds = dict(events.dtypes)
-    rows = events.select(tie, *keys, F.unix_micros(ts).alias("_at"))
-    return rows.groupBy(*keys).transformWithStateInPandas(First(), ", ".join(f"{c} {kinds[c]}" for c in (tie, *keys)), "append", "None")
+    rows = events.withWatermark(ts, late).select(F.unix_micros(ts).alias("_at"), tie, *keys, ts)
+    return rows.groupBy(*keys).transformWithStateInPandas(First(), ", ".join(f"{c} {kinds[c]}" for c in (tie, *keys)), "append", "EventTime")
 
 
 def route(good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -80,12 +103,6 @@ def route(good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int]
     return each
 
 
-def folder(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop for ``path``."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def append_batches(path: str) -> Callable[[DataFrame, int], None]:
     """Appends a batch as its own folder, which a batch that runs again overwrites."""
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -122,56 +139,92 @@ def retained(spark: SparkSession, path: str, most: int) -> list[int]:
     return sorted(old)
 
 
-def token_bucket(requests: DataFrame, key: str, request: str, ts: str, rate: int, burst: int) -> DataFrame:
-    """(key, request, allowed) of a stream of requests: a bucket of whole seconds for each key, kept as state. Requests
-    of a batch are taken in order of time; refused ones leave the bucket as it is."""
+def token_bucket(requests: DataFrame, key: str, request: str, ts: str, rate: int, burst: int, late: str = "0 seconds") -> DataFrame:
+    """(key, request, allowed) of a stream of requests: a bucket of whole seconds for each key, kept as state until the
+    watermark is so far on that the bucket is full again. Requests of a batch are taken in order of time; refused ones
+    leave the bucket as it is; those later than ``late`` are dropped."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    full = -(-burst // rate)
+
     class Bucket(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("bucket", "at long, tokens long")
+            self.handle, self.state = handle, handle.getValueState("bucket", "at long, tokens long")
 
         def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
             at, tokens = self.state.get() if self.state.exists() else (None, burst)
-            batch = pd.concat(list(rows), ignore_index=True)
-            batch = batch.set_axis([key, request, "second"], axis=1).sort_values(["second", request])
-            allowed = []
-            for s in batch["second"]:
+            seconds, ids = in_order(rows, 0, 1)
+            allowed, before = np.zeros(len(ids), bool), at
+            for i, s in enumerate(seconds.tolist()):
                 have = burst if at is None else min(burst, tokens + (s - at) * rate)
-                allowed.append(have >= 1)
                 if have >= 1:
-                    at, tokens = int(s), int(have - 1)
+                    at, tokens, allowed[i] = s, have - 1, True
             if at is not None:
                 self.state.update((at, tokens))
-            yield pd.DataFrame({key: batch[key], request: batch[request], "allowed": allowed})
+            if at != before:
+                for old in self.handle.listTimers():
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer((at + full) * 1000)
+            yield pd.DataFrame({key: pd.Series([k[0]] * len(ids), dtype=object), request: ids, "allowed": allowed})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.state.clear()
+            return iter([])
 
         def close(self) -> None:
             pass
 
     kinds = dict(requests.dtypes)
     shape = f"{key} {kinds[key]}, {request} {kinds[request]}, allowed boolean"
-    rows = requests.select(key, request, F.floor(F.unix_micros(ts) / 1_000_000).cast("long").alias("second"))
-    return rows.groupBy(key).transformWithStateInPandas(Bucket(), shape, "append", "None")
+    rows = requests.withWatermark(ts, late).select(F.floor(F.unix_micros(ts) / 1_000_000).cast("long").alias("_second"), request, key, ts)
+    return rows.groupBy(key).transformWithStateInPandas(Bucket(), shape, "append", "EventTime")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode, where it is unset, one of
-    our own, and on a cluster an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="memlattice-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+def upserted(path: str, keys: list[str], day: str = "day") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for an aggregate in update mode: the batch's totals take the place of those with the same
+    ``keys`` and ``day`` in a table laid out by day. Only the days of the batch are read and written, so a batch costs
+    what it touches, and one that runs again after a failure writes the same totals again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, scratch = batch.sparkSession, Scratch(batch.sparkSession, "upsert")
+        fs, at = folder(spark, path)
+        fresh = scratch.write(batch, "fresh")
+        if fs.exists(at):
+            old = spark.read.schema(batch.schema).parquet(path).join(fresh.select(day).distinct(), day, "left_semi")
+            fresh = scratch.write(upsert(old.select(*batch.columns), fresh, [*keys, day]), "merged")
+        fresh.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+        scratch.drop()
+
+    return write
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is now and gives its result as a table of the shared folder: batches side by side
     in append mode, the last one in complete mode."""
-    spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    root = Scratch(stream.sparkSession, name).root
     write = append_batches(f"{root}/out") if mode == "append" else lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out")
-    w = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    w.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
+    finish(stream, write, f"{root}/state", mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out").select(*stream.columns)
+
+
+def finish(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> list[dict]:
+    """Runs a stream over what there is now; ``state``: where it goes on from. Returns the progress of its batches."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return list(query.recentProgress)
+
+
+def fed(parts: list[DataFrame], root: str, run: Callable[[DataFrame], object], first: int = 0) -> None:
+    """Writes each part in turn below ``root``, from the number ``first`` on, and has ``run`` take the stream of all up
+    to there, so that each part is a batch, and a restart, of its own."""
+    for k, part in enumerate(parts, first):
+        part.write.parquet(f"{root}/in/{k}")
+        run(part.sparkSession.readStream.schema(part.schema).parquet(f"{root}/in/*"))
+
+
+def in_turn(parts: list[DataFrame], root: str, files: int = 8) -> DataFrame:
+    """A stream whose batches are the parts in turn, about: each is written as ``files`` files below ``root``, and a
+    batch takes so many."""
+    for k, part in enumerate(parts):
+        part.repartition(files).write.parquet(f"{root}/in/{k}")
+    return parts[0].sparkSession.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in/*")

@@ -71,3 +71,107 @@ def test_append_once_fails_when_the_table_cannot_be_read(spark, tmp_path):
     (bad / "part.parquet").write_text("no parquet")
     with pytest.raises(Exception, match="(?i)parquet"):
         S.append_once(str(tmp_path / "out"))(spark.createDataFrame([(1,)], "event_id long"), 1)
+
+
+def hourly(spark, tmp_path, parts):
+    """A stream of batches of (event_id, key, hour)."""
+    shape = "event_id long, key string, recorded_at timestamp"
+    frames = [spark.createDataFrame([(i, k, datetime(2024, 1, 1) + timedelta(hours=h)) for i, k, h in part], shape).coalesce(1) for part in parts]
+    return S.in_turn(frames, str(tmp_path), 1)
+
+
+def rows_of_state(progress):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+
+
+def test_state_of_keys_goes_after_their_lifetime(spark, tmp_path):
+    """Many keys of the first day are forgotten once a later day's watermark has passed them."""
+    parts = [[(k, f"k{k}", k % 5) for k in range(50)], [(100, "k0", 12), (101, "late", 13)], [(200, "other", 100)], [(300, "k0", 130)]]
+    out = []
+    progress = S.finish(S.idempotent(hourly(spark, tmp_path, parts), "key"), lambda b, n: out.extend(r.event_id for r in b.collect()), str(tmp_path / "state"))
+    assert sorted(out) == [*range(50), 101, 200, 300]
+    seen = rows_of_state(progress)
+    assert max(seen) >= 50 and seen[-1] <= 6  # values and timers of the keys that are left
+
+
+def test_full_buckets_are_forgotten(spark, tmp_path):
+    parts = [[(k, f"k{k}", 0) for k in range(40)], [(100, "x", 1)], [(101, "x", 2)]]
+    progress = S.finish(S.token_bucket(hourly(spark, tmp_path, parts), "key", "event_id", "recorded_at", 2, 4), S.append_batches(str(tmp_path / "out")), str(tmp_path / "state"))
+    assert max(rows_of_state(progress)) >= 40 and rows_of_state(progress)[-1] <= 6
+    assert spark.read.parquet(str(tmp_path / "out")).where("allowed").count() == 42
+
+
+def test_upsert_leaves_other_days_alone(spark, tmp_path):
+    """A batch writes the days that it touches; the other days' files stay as they are. A repeated batch changes nothing."""
+    shape, path = "tenant_id long, n_events long, day date", str(tmp_path / "out")
+    day = lambda d: datetime(2024, 1, d).date()
+    files = lambda: {f"{f.parent.name}/{f.name}": f.stat().st_mtime_ns for f in (tmp_path / "out").glob("day=*/*.parquet")}
+    each = S.upserted(path, ["tenant_id"])
+    each(spark.createDataFrame([(1, 5, day(1)), (2, 7, day(1)), (1, 1, day(2))], shape), 0)
+    first = files()
+    for _ in range(2):
+        each(spark.createDataFrame([(1, 6, day(1)), (1, 9, day(3))], shape), 1)
+    got = {(r.tenant_id, r.day.day): r.n_events for r in spark.read.parquet(path).collect()}
+    assert got == {(1, 1): 6, (2, 1): 7, (1, 2): 1, (1, 3): 9}
+    assert len(first.items() & files().items()) == 1
+
+
+def test_sequential_dedup_as_a_stream(spark):
+    """The stream's decisions over five batches are those of the batch form."""
+    q = entry.queries()
+    rows = lambda n: {r.id: (r.decision, r.match) for r in q[n](spark, SF).collect()}
+    assert rows("stream_dedup") == rows("dedup_sequential")
+
+
+def test_sequential_dedup_merges_over_batches(spark, tmp_path):
+    from memlattice.operators import matching as M
+    from memlattice.streaming.memories import sequential
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    said = ["I like green tea in the morning", "I like green tea in the mornings!", "i like green tea in the morning", None, "", "Another thing", "I like green tea in the mornings! Yes"]
+    rows = spark.createDataFrame([(k, k % 2 * 0, f"t{k % 2}" if k > 3 else None, t) for k, t in enumerate(said)], "id long, user long, title string, text string")
+    want = {r.id: (r.decision, r.match) for r in M.sequential_dedup(rows, ["user"], "id", "text", "title").collect()}
+    root = str(tmp_path)
+    S.fed([rows.where(F.floor(F.col("id") / 2) == k) for k in range(4)], root, lambda s: S.finish(sequential(s, ["user"], "id", "text", "title"), S.append_batches(f"{root}/out"), f"{root}/state"))
+    got = {r.id: (r.decision, r.match) for r in spark.read.parquet(f"{root}/out").collect()}
+    assert got == want and {d for d, _ in got.values()} == {"store", "merge", "discard"}
+
+
+def test_event_log(spark, tmp_path):
+    """Offsets, a bounded batch, a start at the end, retention, and a commit that is repeated."""
+    from memlattice.sources import eventlog as E
+
+    spark.dataSource.register(E.EventLog)
+    log, shape = str(tmp_path / "log"), "n long, word string"
+    frame = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("n"), F.lit("w").alias("word")).coalesce(1)
+
+    def sent(s, **options):
+        s.writeStream.format("eventlog").options(path=log, writer="w", **options).option("checkpointLocation", str(tmp_path / "sent")).trigger(availableNow=True).start().awaitTermination()
+
+    def read(name, **options):
+        s = spark.readStream.format("eventlog").schema(shape).options(path=log, **options).load()
+        S.finish(s, S.append_batches(str(tmp_path / name)), str(tmp_path / f"{name}-state"))
+        there = tmp_path / name
+        return sorted(r.n for r in spark.read.parquet(str(there)).collect()) if there.exists() else []
+
+    S.fed([frame(0, 10), frame(10, 20)], str(tmp_path / "in"), sent)
+    assert [(a, b) for a, b, _ in E.segments(log)] == [(0, 10), (10, 20)]
+    assert read("all") == list(range(20)) and read("new", start="latest") == []
+    S.fed([frame(20, 30)], str(tmp_path / "in"), lambda s: sent(s, maxLength=15), first=2)
+    assert read("all") == list(range(30)) and read("new", start="latest") == list(range(20, 30))
+    assert [(a, b) for a, b, _ in E.segments(log)] == [(10, 20), (20, 30)]  # whole segments, 15 events or more
+    assert spark.read.format("eventlog").schema(shape).option("path", log).load().count() == 20
+
+    reader = E.LogStreamReader(log, "earliest", 5)
+    assert reader.initialOffset() == {"offset": 10} and reader.latestOffset() == {"offset": 20}
+    reader.partitions({"offset": 10}, {"offset": 20})
+    assert reader.latestOffset() == {"offset": 30} and [(p.skip, p.most) for p in E.parts(log, 15, 25)] == [(5, 5), (0, 5)]
+
+    writer = E.LogWriter(log, "other", 0)
+    staged = lambda lo: writer.write(iter(frame(lo, lo + 3).toArrow().to_batches()))
+    first = staged(30)
+    writer.commit([first, None], 7)
+    writer.commit([staged(30)], 7)  # the batch runs again
+    assert [(a, b) for a, b, _ in E.segments(log)][-1] == (30, 33) and len(list((tmp_path / "log" / "staged").glob("*.parquet"))) == 0
+    writer.abort([staged(50)], 8)
+    assert len(E.segments(log)) == 3

@@ -26,13 +26,14 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes chunks of lines that occur earlier; a document whose text goes altogether stays, with an empty one."""
+    """Removes chunks of lines that occur earlier; a document whose text goes altogether stays, with an empty one. Where
+    there is a column n_chars, it follows the text."""
     count = "_removed"
     while count in docs.columns:
         count += "_"
     out = lines.clean(docs, count_col=count)
-    n = F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    n = lambda: F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[n().alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

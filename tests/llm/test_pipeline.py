@@ -67,3 +67,9 @@ def test_one_of_each_group_stays_where_ids_repeat_or_lack(spark):
     docs = spark.createDataFrame([(i, t, "d") for i, t in rows], "doc_id long, text string, doc string")
     got = sorted(((r.doc_id or 0, r.text) for r in P.keep_one_of_each(spark, docs, SF).collect()))
     assert got == sorted([(1, text(0)), (1, text(1)), (0, text(2)), (0, text(3))])
+
+
+def test_lines_go_without_a_count_of_characters(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got[1] == "a\nb\nc\nd" and got[2] == "" and got[3] is None

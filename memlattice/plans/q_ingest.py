@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
+from ..functions.text import choose
 from ..operators import ingest as I
+from ..operators import rules as Rules
 from ..sources import views as V
 from .ctes import MEM, case, strip
 from .registry import query
@@ -88,10 +90,39 @@ def policy_reject(spark, sf):
     return said(spark, sf).where(~accepts("crm-agent")).select("id", "memory_type")
 
 
+# Policies that tenants have of their own: one under the name of a built-in one, one under a new name.
+TENANT_POLICIES = [
+    ("en", "crm-agent", ["contact", "fact", "goal"], ["^the ", r"\\bere"], {"contact": 0.95, "goal": 0.2}),
+    ("de", "notes", ["fact", "skill", "event", "custom"], [r"\\d{3}"], {"event": 0.33}),
+    ("fr", "notes", ["fact"], [], {}),
+]
+NAMES = ["coding-agent", "crm-agent", "tutor-agent", "notes", "nobody"]
+
+
+def sql_policy(org, name, store, ignore, weights) -> str:
+    texts = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+    return f"({f"'{org}'" if org else 'NULL'}, '{name}', {texts(store)}, {texts(ignore)}, {texts(weights)}, [{', '.join(map(str, weights.values()))}]::DOUBLE[])"
+
+
+ALL_POLICIES = ", ".join(sql_policy(*p) for p in [*TENANT_POLICIES, *[(None, k, *v) for k, v in D.POLICIES.items()], (None, "", D.MEMORY_TYPES, [], {})])
+
+
+@query(f"""WITH {MEM}, pol(org, name, store, ignore, kinds, weights) AS (VALUES {ALL_POLICIES}),
+req AS (SELECT *, {NAMES}[id % 5 + 1] AS policy FROM mem),
+r AS (SELECT req.*, (SELECT max_by(struct_pack(store := store, ignore := ignore, kinds := kinds, weights := weights), CASE WHEN org IS NOT NULL THEN 2 WHEN name <> '' THEN 1 ELSE 0 END)
+  FROM pol WHERE name = policy AND (org = organization_id OR org IS NULL) OR name = '') AS p FROM req)
+SELECT id, policy, list_contains(p.store, memory_type) AND len(list_filter(p.ignore, lambda x: regexp_matches(content, '(?i)' || x))) = 0 AS accepted,
+  coalesce(p.weights[list_position(p.kinds, memory_type)], {case('memory_type', D.IMPORTANCE)}) AS weight FROM r""")
+def tenant_policies(spark, sf):
+    """Every memory by the policy that it asks for: its tenant's own, else the built-in one, else the default."""
+    own = spark.createDataFrame(TENANT_POLICIES, Rules.POLICY)
+    m = Rules.with_policy(V.memories(spark, sf).withColumn("policy", V.pick(NAMES, F.col("id") % 5)), own)
+    kind, rules = F.col("memory_type"), F.col("rules")
+    return m.select("id", "policy", Rules.accepts(rules, kind, F.col("content")).alias("accepted"), Rules.priority(rules, kind, choose(kind, D.IMPORTANCE)).alias("weight"))
+
+
 @query(f"WITH {MEM} SELECT id, memory_type, {case('memory_type', D.POLICIES['tutor-agent'][2], case('memory_type', D.IMPORTANCE))} AS weight FROM mem")
 def priority_weights(spark, sf):
-    from ..functions.text import choose
-
     return V.memories(spark, sf).select("id", "memory_type", I.priority(F.col("memory_type"), D.POLICIES["tutor-agent"][2], choose(F.col("memory_type"), D.IMPORTANCE)).alias("weight"))
 
 
@@ -149,10 +180,38 @@ CHECKS = ", ".join([
 @query(f"WITH {DATA}, p AS (SELECT id, CAST(data AS JSON) AS j FROM dat) SELECT id, array_to_string(list_filter([{CHECKS}], lambda x: x IS NOT NULL), '; ') AS errors FROM p")
 def schema_validation(spark, sf):
     """A tenant's schema against JSON payloads, as generated expressions over variants."""
+    return payloads(spark, sf).select("id", F.array_join(I.schema_errors(F.parse_json("data"), SCHEMA), "; ").alias("errors"))
+
+
+def payloads(spark, sf):
     i = F.col("event_id")
     p = lambda vs: V.pick(vs, i % len(vs))
     data = F.concat(F.lit('{"company": '), p(['"acme"', "5", "null", "true"]), F.lit(', "amount": '), p(["1", "2.5", '"x"', "true", "null"]), F.lit(', "won": '), p(["true", "1"]), F.lit(', "stage": '), p(['"lead"', '"maybe"', "null"]), F.lit(', "closed": '), p(['"2024-02-29"', '"2023-02-29"', '"soon"', "7"]), F.lit(', "tags": '), p(["[1]", "{}"]), F.lit(', "extra": '), p(["{}", "[]", "null"]), F.lit(', "other": 1}'))
-    return V.load(spark, sf, "events").select(i.alias("id"), F.array_join(I.schema_errors(F.parse_json(data), SCHEMA), "; ").alias("errors"))
+    return V.load(spark, sf, "events").select(i.alias("id"), data.alias("data"))
+
+
+# Schemas of three tenants over the same payloads; a tenant of no schema accepts all.
+SCHEMAS = [
+    ("0", "deal", [(f["name"], f["type"], f.get("values")) for f in SCHEMA["fields"]], SCHEMA["required"]),
+    ("1", "deal", [("amount", "string", None), ("won", "number", None), ("extra", "array", None)], ["extra", "absent"]),
+    ("2", "deal", [("stage", "enum", ["maybe"]), ("company", "number", None), ("tags", "object", None), ("closed", "string", None)], []),
+]
+SQL_SCHEMAS = ", ".join(f"('{org}', '{name}', '{typ}', {list(values or [])}::VARCHAR[], {k})" for org, _, fields, _ in SCHEMAS for k, (name, typ, values) in enumerate(fields))
+SQL_REQUIRED = ", ".join(f"('{org}', '{name}', {k})" for org, _, _, required in SCHEMAS for k, name in enumerate(required))
+
+
+@query(f"""WITH {DATA}, p AS (SELECT id, CAST(id % 4 AS VARCHAR) AS org, CAST(data AS JSON) AS j FROM dat), fld(org, name, typ, vals, k) AS (VALUES {SQL_SCHEMAS}), must(org, name, k) AS (VALUES {SQL_REQUIRED}),
+v AS (SELECT id, k, name, typ, vals, json_extract_string(j, '$.' || name) AS x, json_type(j, '$.' || name) AS t FROM p JOIN fld USING (org)),
+e AS (SELECT id, k + 100 AS k, name || ' must be ' || typ AS error FROM v WHERE coalesce(t, 'NULL') <> 'NULL' AND NOT CASE typ WHEN 'string' THEN t = 'VARCHAR' WHEN 'number' THEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE') WHEN 'boolean' THEN t = 'BOOLEAN'
+    WHEN 'date' THEN t = 'VARCHAR' AND TRY_CAST(x AS DATE) IS NOT NULL WHEN 'enum' THEN t = 'VARCHAR' AND list_contains(vals, x) WHEN 'array' THEN t = 'ARRAY' ELSE t = 'OBJECT' END
+  UNION ALL SELECT id, k, name || ' is required' FROM p JOIN must USING (org) WHERE coalesce(json_type(j, '$.' || name), 'NULL') = 'NULL')
+SELECT p.id, coalesce(string_agg(error, '; ' ORDER BY k), '') AS errors FROM p LEFT JOIN e ON e.id = p.id GROUP BY p.id""")
+def tenant_schemas(spark, sf):
+    """Payloads of four tenants, each against its tenant's schema from a table."""
+    rules = spark.createDataFrame(SCHEMAS, Rules.SCHEMA)
+    rows = payloads(spark, sf).withColumn("organization_id", (F.col("id") % 4).cast("string")).join(rules, "organization_id", "left")
+    errors = F.when(F.col("fields").isNotNull(), Rules.schema_errors(F.col("data"), F.col("fields"), F.col("required"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("id", F.array_join(errors, "; ").alias("errors"))
 
 
 @query(f"WITH {DATA}, p AS (SELECT id, CAST(data AS JSON) AS j FROM dat), e AS (SELECT id, len(list_filter([{CHECKS}], lambda x: x IS NOT NULL)) AS n FROM p) SELECT count(*) AS total, count(*) FILTER (WHERE n > 0) AS review, count(*) FILTER (WHERE n = 0) AS stored FROM e")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
@@ -52,6 +53,15 @@ def persisted(scored: DataFrame, now: Column) -> DataFrame:
     return scored.withColumns({"memory_state": F.lit("active"), "is_pinned": F.lit(False), "is_archived": F.lit(False), "utility_score": F.lit(0.0), "created_at": now, "valid_from": now, "valid_to": F.lit(None).cast("timestamp_ntz")})
 
 
+def with_edges(scored: DataFrame, edges: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(memory rows, edge rows) of scored memories with an array ``edges`` (source, target, relationship,
+    organization_id). Reading the edges fails if one belongs to another tenant than its memory."""
+    each = scored.select(F.col("id").alias("memory_id"), F.col("organization_id").alias("_tenant"), F.inline(edges))
+    ours = F.coalesce(F.col("organization_id") == F.col("_tenant"), F.lit(False))
+    each = each.withColumn("organization_id", F.when(ours, F.col("organization_id")).otherwise(F.raise_error(F.lit("tenant mismatch")).cast("string"))).drop("_tenant")
+    return persisted(scored.drop(edges), now), each
+
+
 def metered(changes: DataFrame, subject: str, op: str = "op") -> DataFrame:
     """``changes`` with event_type, the kind that metering counts them under; other operations are not metered."""
     kind = F.concat(F.lit(f"{subject}:"), F.col(op))
@@ -95,6 +105,30 @@ def extract(df: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None
     return out.withColumn("memory_type", kind)
 
 
+def register_extractor(spark: SparkSession, name: str, provider: Callable[[str], Iterable[tuple[str, str]]]) -> None:
+    """Makes a provider a table function: ``name(text)`` gives (idx, content, memory_type) for each memory that the
+    provider, text -> (content, kind) pairs, finds in a text. It is joined laterally and runs where the rows are."""
+
+    class Extract:
+        def eval(self, said: str):
+            for i, (content, kind) in enumerate(provider(said or "")):
+                yield i, content, kind
+
+    spark.udtf.register(name, F.udtf(Extract, returnType="idx int, content string, memory_type string"))
+
+
+def by_rules(said: str) -> Iterator[tuple[str, str]]:
+    """A provider that needs no model: each sentence with a telling word is of the kind that the word stands for."""
+    for m in re.finditer(r"[^.!?]+[.!?]*", said):
+        content = m[0].strip(" \t\n\r\f\v")
+        if content:
+            yield content, next((kind for pattern, kind in TELLING if re.search(pattern, content, re.I)), "fact")
+
+
+#: (pattern, kind) in the order in which they count.
+TELLING = [(r"\b(prefer|like|love)", "preference"), (r"\b(want|plan|goal)", "goal"), (r"\b(work|build)", "project")]
+
+
 def policy_accepts(kind: Column, content: Column, store: Sequence[str], ignore: Sequence[str]) -> Column:
     ok = kind.isin(*store)
     for pattern in ignore:

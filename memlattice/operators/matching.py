@@ -108,6 +108,21 @@ def supersede(current: DataFrame, pairs: DataFrame, now: Column) -> tuple[DataFr
     return versions, closed, audit
 
 
+def superseded(current: DataFrame, pairs: DataFrame, links: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(version rows, closed memories, audit rows, edges) of contradictions, ``pairs`` (new_id, old_id): a version, an
+    audit row with both contents and, for each entity of the new memory (``links``: memory_id, entity_id), an edge to
+    itself for each pair; a memory is closed once. Give pairs that were written: they are read four times."""
+    old = current.select(F.col("id").alias("old_id"), "content", "importance", "valid_from")
+    both = pairs.join(old, "old_id")
+    versions = both.select(F.col("old_id").alias("memory_id"), F.col("new_id").alias("superseded_by"), "content", "importance", "valid_from", now.alias("valid_to"))
+    closed = pairs.select(F.col("old_id").alias("id")).distinct().select("id", now.alias("valid_to"))
+    new = current.select(F.col("id").alias("new_id"), "organization_id", F.col("user_id").alias("actor_id"), F.col("content").alias("new_content"))
+    audit = both.join(new, "new_id").select("organization_id", "actor_id", F.lit("memory_superseded").alias("operation"), F.col("old_id").alias("target_id"), F.col("new_id").alias("by_id"), F.col("content").alias("old_content"), "new_content", now.alias("created_at"))
+    edges = pairs.join(links.select(F.col("memory_id").alias("new_id"), "entity_id").distinct(), "new_id")
+    edges = edges.select("old_id", "new_id", F.col("entity_id").alias("source"), F.col("entity_id").alias("target"), F.lit("superseded_by").alias("relationship"))
+    return versions, closed, audit, edges
+
+
 class Stored:
     """A block's stored memories, in the order in which they were stored: [key, title, text, both as compared]."""
 
@@ -166,6 +181,12 @@ def entity_attributes(df: DataFrame, key: str) -> DataFrame:
     return g.select(key, "attribute", F.array_distinct(F.col("ms.content")).alias("contents"))
 
 
+def structured_attributes(df: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, data): the maps ``data`` of a key's rows united in order of id, the last value of each field."""
+    fields = df.select(key, "id", F.explode(data).alias("_field", "_value")).groupBy(key, "_field").agg(F.max_by("_value", "id").alias("_value"))
+    return fields.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_field", "_value")))).alias(data))
+
+
 def entity_summary(df: DataFrame, key: str, most: int = 500) -> DataFrame:
     """(key, summary): contents in order of id, one a line unless contained already, cut at each step."""
     g = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", strip(F.col("content")).alias("content")))).alias("ms"))

@@ -78,11 +78,19 @@ def context_token_usage(spark, sf):
     return m.groupBy("user_id", C.category(F.col("memory_type")).alias("category")).agg(F.sum(text.word_tokens(F.col("content"))).alias("used"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', CAST({v} AS BIGINT))" for c, v in zip(D.BUDGET, (351, 201, 150, 150, 100, 50))) + ") t(category, budget)")
+SHARED = ", ".join(f"('{c}', {w}, {k})" for k, (c, w) in enumerate(D.BUDGET.items()))
+
+
+@query(f"""WITH t AS (SELECT conv_id AS id, sum(length(text)) // 4 AS total FROM conversations GROUP BY conv_id), w(category, weight, k) AS (VALUES {SHARED}),
+p AS (SELECT id, total, category, k, CAST(floor(total * weight::DOUBLE / {sum(D.BUDGET.values())}::DOUBLE) AS BIGINT) AS part FROM t, w),
+s AS (SELECT *, total - sum(part) OVER (PARTITION BY id) AS rest FROM p)
+SELECT id, category, CAST(part + CASE WHEN rest > k THEN 1 ELSE 0 END AS BIGINT) AS budget FROM s""")
 def budget_allocation(spark, sf):
-    """1002 tokens: the remainder goes to the first categories, one each."""
-    parts = F.array(*[F.struct(F.lit(c).alias("category"), part.alias("budget")) for c, part in C.shares(1002).items()])
-    return spark.range(1).select(F.explode(parts).alias("p")).select("p.*")
+    """A budget for each conversation, as many tokens as it has: of what the proportions leave, the first categories get
+    one each."""
+    c = V.load(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg((F.floor(F.sum(F.length("text")) / 4)).alias("total"))
+    parts = F.array(*[F.struct(F.lit(k).alias("category"), part.alias("budget")) for k, part in C.shares(F.col("total")).items()])
+    return c.select("id", F.inline(parts))
 
 
 @query(f"""WITH {MEM}, l AS (SELECT user_id, string_agg('- [' || memory_type || '] ' || title || ': ' || content || ' (score: ' || printf('%.3f', importance) || ')', chr(10) ORDER BY importance DESC, id) AS body FROM mem WHERE {OK} AND {SEC} = 'relevant_memories' GROUP BY user_id)
@@ -112,11 +120,11 @@ def goal_lines(spark, sf):
     return m.select("id", C.goal_line(F.col("title"), F.col("memory_state"), (F.col("id") % 101).cast("double") / 100).alias("line"))
 
 
-@query(f"""WITH {MEM}, g AS (SELECT user_id, count(*) AS n, string_agg(content, ' ' ORDER BY id) AS body, list(title ORDER BY id) AS titles FROM mem WHERE organization_id = 'en' GROUP BY user_id HAVING count(*) >= 12)
+@query(f"""WITH {MEM}, g AS (SELECT user_id, count(*) AS n, string_agg(content, ' ' ORDER BY id) AS body, list(title ORDER BY id) AS titles FROM mem GROUP BY user_id HAVING count(*) >= 20)
 SELECT user_id, left(body, greatest(1, CAST(floor(length(body) * CAST(0.4 AS DOUBLE)) AS INTEGER))) AS summary_text, array_to_string(titles[1:10], '|') AS key_facts, n AS source_memory_count FROM g""")
 def compression_summary(spark, sf):
-    """A user's memories in short (from twelve on here, as the test data has few a user)."""
-    c = C.compress(V.memories(spark, sf).where("organization_id = 'en'"), "user_id", least=12)
+    """A user's memories in short, from twenty on."""
+    c = C.compress(V.memories(spark, sf), "user_id")
     return c.select("user_id", "summary_text", F.array_join("key_facts", "|").alias("key_facts"), "source_memory_count")
 
 

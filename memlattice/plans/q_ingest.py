@@ -1,5 +1,6 @@
 """Validation, normalisation, policies and schemas."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
@@ -7,6 +8,7 @@ from ..functions.text import choose
 from ..operators import ingest as I
 from ..operators import rules as Rules
 from ..sources import views as V
+from ..sources.scratch import Scratch
 from .ctes import MEM, case, strip
 from .registry import query
 
@@ -216,9 +218,22 @@ def tenant_schemas(spark, sf):
 
 @query(f"WITH {DATA}, p AS (SELECT id, CAST(data AS JSON) AS j FROM dat), e AS (SELECT id, len(list_filter([{CHECKS}], lambda x: x IS NOT NULL)) AS n FROM p) SELECT count(*) AS total, count(*) FILTER (WHERE n > 0) AS review, count(*) FILTER (WHERE n = 0) AS stored FROM e")
 def task_outcomes(spark, sf):
-    """What became of a batch: how many rows, to review, stored."""
-    e = schema_validation(spark, sf)
-    return e.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("errors") != "").alias("review"), F.count_if(F.col("errors") == "").alias("stored"))
+    """What became of a batch: how many rows, to review, stored; observed while they are written."""
+    seen, scratch = Observation("outcomes"), Scratch(spark, "outcomes")
+    bad = F.col("errors") != ""
+    scratch.write(schema_validation(spark, sf).observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("review"), F.count_if(~bad).alias("stored")), "validated")
+    return spark.createDataFrame([tuple(seen.get[k] for k in ("total", "review", "stored"))], "total long, review long, stored long")
+
+
+SENTENCES = f"""s AS (SELECT conv_id, turn, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: {strip("x")}), lambda x: x <> '')) AS content FROM conversations)"""
+
+
+@query(f"""WITH {SENTENCES} SELECT conv_id, turn, content, CASE {" ".join(f"WHEN regexp_matches(content, '(?i){p}') THEN '{k}'" for p, k in I.TELLING)} ELSE 'fact' END AS memory_type FROM s""")
+def extraction(spark, sf):
+    """What the rules extract from each message, by a table function that is joined laterally."""
+    I.register_extractor(spark, "extracted", I.by_rules)
+    V.load(spark, sf, "conversations").createOrReplaceTempView("said")
+    return spark.sql("SELECT conv_id, turn, content, memory_type FROM said, LATERAL extracted(text)")
 
 
 @query("SELECT DISTINCT lower(replace(replace(split_part(e, '@', 1), '.', '-'), '_', '-')) AS slug FROM (SELECT replace(c_name, '#', '_') || '.' || c_mktsegment || '@Example.com' AS e FROM customer)")

@@ -6,6 +6,7 @@ from ..functions import text
 from ..functions.text import iso
 from ..operators import matching as M
 from ..sources import views as V
+from ..sources.scratch import Scratch
 from .ctes import GOA, LNK, MEM, similarities, strip, iso as siso
 from .registry import query
 
@@ -69,16 +70,22 @@ def truth_contradictions(spark, sf):
     return contradicted(spark, sf)[1]
 
 
-@query(f"""WITH RECURSIVE {CURRENT}, s AS (SELECT old_id, min(new_id) AS new_id FROM hit GROUP BY old_id)
-SELECT 'version' AS row_of, old_id AS id, new_id AS by_id, {siso("valid_from")} AS since FROM s JOIN mem ON id = old_id
-UNION ALL SELECT 'closed', old_id, NULL, '2025-06-01T00:00:00' FROM s UNION ALL SELECT 'audit', old_id, new_id, '2025-06-01T00:00:00' FROM s""")
+@query(f"""WITH RECURSIVE {CURRENT}, {LNK}, n AS (SELECT 'version' AS row_of, old_id AS id, new_id AS by_id, {siso("valid_from")} AS since, sha256(content) AS detail FROM hit JOIN mem ON id = old_id)
+SELECT * FROM n UNION ALL SELECT DISTINCT 'closed', old_id, CAST(NULL AS BIGINT), '2025-06-01T00:00:00', CAST(NULL AS VARCHAR) FROM hit
+UNION ALL SELECT 'audit', old_id, new_id, '2025-06-01T00:00:00', sha256(o.content) || '/' || sha256(w.content) FROM hit JOIN mem o ON o.id = old_id JOIN mem w ON w.id = new_id
+UNION ALL SELECT 'edge', old_id, new_id, '2025-06-01T00:00:00', entity_id FROM hit JOIN (SELECT DISTINCT * FROM lnk) ON memory_id = new_id""")
 def truth_maintenance(spark, sf):
-    """What detected contradictions write: versions, closed memories and audit rows."""
+    """What detected contradictions write: a version, an audit row with both contents and edges of the new memory's
+    entities for each, and the closed memories."""
     m, pairs = contradicted(spark, sf)
-    v, closed, audit = M.supersede(m, pairs, V.at(V.DOCS_NOW))
-    rows = v.select(F.lit("version").alias("row_of"), F.col("memory_id").alias("id"), F.col("superseded_by").alias("by_id"), iso(F.col("valid_from")).alias("since"))
-    rows = rows.unionByName(closed.select(F.lit("closed").alias("row_of"), "id", F.lit(None).cast("long").alias("by_id"), iso(F.col("valid_to")).alias("since")))
-    return rows.unionByName(audit.select(F.lit("audit").alias("row_of"), F.col("target_id").alias("id"), "by_id", iso(F.col("created_at")).alias("since")))
+    pairs = Scratch(spark, "contradictions").write(pairs, "pairs")
+    v, closed, audit, edges = M.superseded(m, pairs, V.links(spark, sf), V.at(V.DOCS_NOW))
+    one = lambda df, kind, id_, by, since, detail: df.select(F.lit(kind).alias("row_of"), F.col(id_).alias("id"), by.alias("by_id"), iso(since).alias("since"), detail.alias("detail"))
+    digest = lambda c: F.sha2(F.col(c), 256)
+    rows = one(v, "version", "memory_id", F.col("superseded_by"), F.col("valid_from"), digest("content"))
+    rows = rows.unionByName(one(closed, "closed", "id", F.lit(None).cast("long"), F.col("valid_to"), F.lit(None).cast("string")))
+    rows = rows.unionByName(one(audit, "audit", "target_id", F.col("by_id"), F.col("created_at"), F.concat(digest("old_content"), F.lit("/"), digest("new_content"))))
+    return rows.unionByName(one(edges, "edge", "old_id", F.col("new_id"), V.at(V.DOCS_NOW), F.col("source")))
 
 
 @query(f"""WITH {MEM}, par AS (SELECT a.id AS new_id, b.id AS old_id FROM mem a JOIN mem b ON a.id = b.id + 550 AND b.valid_to IS NULL), s AS (SELECT old_id, min(new_id) AS new_id FROM par GROUP BY old_id)
@@ -140,6 +147,24 @@ def entity_attributes(spark, sf):
     return M.entity_attributes(m, "entity_id").select("entity_id", "attribute", F.array_join("contents", ",").alias("contents"))
 
 
+@query(f"""WITH {MEM}, {LNK}, l AS (SELECT DISTINCT entity_id, m.* FROM lnk JOIN mem m ON id = memory_id),
+c AS (SELECT entity_id, {ATTR} AS attribute, content, min(id) AS first FROM l GROUP BY ALL),
+d AS (SELECT entity_id, id, unnest(['state', 'kind_' || id % 3, source_type]) AS k, unnest([memory_state, memory_type, 'seen']) AS v FROM l WHERE id % 4 > 0),
+f AS (SELECT entity_id, k, max_by(v, id) AS v FROM d GROUP BY ALL)
+SELECT entity_id, attribute, sha256(string_agg(content, chr(0) ORDER BY first)) AS value FROM c GROUP BY ALL
+UNION ALL SELECT entity_id, 'structured_data', string_agg(k || '=' || v, ',' ORDER BY k) FROM f GROUP BY entity_id""")
+def entity_state(spark, sf):
+    """The contents of an entity's memories by attribute, and their structured data folded in order, the last of each
+    field; every fourth memory has none."""
+    l, m = V.links(spark, sf).distinct(), V.memories(spark, sf)
+    data = F.create_map(F.lit("state"), "memory_state", F.concat(F.lit("kind_"), F.col("id") % 3), "memory_type", "source_type", F.lit("seen"))
+    m = l.join(m.withColumn("data", F.when(F.col("id") % 4 > 0, data)), F.col("memory_id") == F.col("id"))
+    kinds = M.entity_attributes(m, "entity_id").select("entity_id", "attribute", F.sha2(F.array_join("contents", "\0"), 256).alias("value"))
+    folded = M.structured_attributes(m, "entity_id", "data")
+    pairs = F.array_join(F.transform(F.map_entries("data"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return kinds.unionByName(folded.select("entity_id", F.lit("structured_data").alias("attribute"), pairs.alias("value")))
+
+
 @query(f"""WITH RECURSIVE {MEM}, o AS (SELECT user_id, {strip("content")} AS c, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM mem),
 f AS (SELECT user_id, n, left(c, 500) AS s FROM o WHERE n = 1
   UNION ALL SELECT o.user_id, o.n, CASE WHEN f.s = '' THEN left(o.c, 500) WHEN o.c <> '' AND NOT contains(f.s, o.c) THEN left(f.s || chr(10) || o.c, 500) ELSE f.s END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)

@@ -8,7 +8,7 @@ from ..operators import ingest as I
 from ..operators import lifecycle as L
 from ..operators import scans as S
 from ..sources import views as V
-from .ctes import ENT, MEM, MET, SES, VER, iso as siso
+from .ctes import LNK, ENT, MEM, MET, SES, VER, iso as siso
 from .registry import query
 
 BRIEF = ["id", "organization_id", "user_id", "memory_type", "memory_state", "title", "importance"]
@@ -255,6 +255,19 @@ def persist_memories(spark, sf):
     return rows.select("id", "memory_type", "memory_state", "is_pinned", "importance", iso(F.col("valid_from")).alias("valid_from"))
 
 
+@query(f"""WITH {MEM}, {LNK} SELECT 'memory' AS row_of, id + 100000 AS id, memory_type AS detail FROM mem WHERE length(title) > 0
+UNION ALL SELECT DISTINCT 'edge', id + 100000, entity_id || ' mentions ' || organization_id FROM mem JOIN lnk ON memory_id = id WHERE length(title) > 0""")
+def persist_with_edges(spark, sf):
+    """Scored memories and the edges that come with them, each to a table of its own."""
+    edge = F.struct(F.col("entity_id").alias("source"), F.col("organization_id").alias("target"), F.lit("mentions").alias("relationship"), "organization_id")
+    m = V.memories(spark, sf).where(F.length("title") > 0)
+    found = m.join(V.links(spark, sf).distinct(), F.col("id") == F.col("memory_id")).groupBy("id").agg(F.collect_list(edge).alias("edges"))
+    m = m.join(found, "id", "left").select((F.col("id") + 100000).alias("id"), "organization_id", "user_id", "memory_type", "source_type", "title", "content", "importance", "edges")
+    rows, edges = I.with_edges(m, "edges", V.at(V.DOCS_NOW))
+    out = rows.select(F.lit("memory").alias("row_of"), "id", F.col("memory_type").alias("detail"))
+    return out.unionByName(edges.select(F.lit("edge").alias("row_of"), F.col("memory_id").alias("id"), F.concat_ws(" ", "source", "relationship", "target").alias("detail")))
+
+
 @query(f"WITH {SES}, r AS (SELECT DISTINCT conv_id * 3 AS id FROM conversations) SELECT r.id, id % 50 AS user_id, '2025-06-01T00:00:00' AS started_at FROM r WHERE id NOT IN (SELECT id FROM ses)")
 def session_create(spark, sf):
     """Sessions that requests open; those that are there already stay as they are."""

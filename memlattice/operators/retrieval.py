@@ -28,14 +28,19 @@ def candidates(df: DataFrame, user: int | None = None, organization: str | None
     )
 
 
+def with_terms(df: DataFrame) -> DataFrame:
+    """``df`` with the ``terms`` of each memory, to be taken before it is joined with queries: once a memory, and its
+    text need not travel."""
+    return df.withColumn("terms", text.terms(F.concat_ws(" ", "title", "content", F.concat_ws(" ", "tags"))))
+
+
 def scored(df: DataFrame, query_terms: Column, query_vector: Column, linked: Column, now: Column) -> DataFrame:
     """``df`` with the five part scores and ``score``. ``linked``: whether the query's graph reaches the memory."""
-    document = text.terms(F.concat_ws(" ", "title", "content", F.concat_ws(" ", "tags")))
-    df = df.withColumns({
+    df = (df if "terms" in df.columns else with_terms(df)).withColumns({
         "semantic": vector.semantic(query_vector, F.col("embedding")),
         "graph": F.when(linked, F.lit(1.0)).otherwise(F.lit(0.0)),
         "recency": scoring.freshness(F.col("created_at"), now),
-        "keyword": text.keyword_overlap(query_terms, document),
+        "keyword": text.keyword_overlap(query_terms, F.col("terms")),
     })
     return df.withColumn("score", scoring.hybrid(F.col("semantic"), F.col("graph"), F.col("importance"), F.col("recency"), F.col("keyword"), F.col("memory_state")))
 

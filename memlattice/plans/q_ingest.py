@@ -1,6 +1,6 @@
 """Validation, normalisation, policies and schemas."""
 
-from pyspark.sql import Observation
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
@@ -12,14 +12,14 @@ from ..sources.scratch import Scratch
 from .ctes import MEM, case, strip
 from .registry import query
 
-# Payloads of six sorts, made alike on both sides; of the padded ones, those of every tenth conversation are too large.
+# Payloads of six sorts with the messages of the conversations, made alike on both sides; of the padded ones, those of every tenth conversation are too large.
 BODY = """body AS (SELECT conv_id AS id, turn, CASE (conv_id + turn) % 6
-  WHEN 0 THEN '{"user_id": ' || conv_id || ', "organization_id": 1, "session_id": ' || conv_id || ', "messages": []}'
+  WHEN 0 THEN '{"user_id": ' || conv_id || ', "organization_id": 1, "session_id": ' || conv_id || ', "messages": [' || to_json({'role': role, 'text': text}) || ']}'
   WHEN 1 THEN '{"user_id": null, "organization_id": 1, "messages": []}'
   WHEN 2 THEN '{"user_id": 1, "organization_id"'
   WHEN 3 THEN '[1, 2]'
   WHEN 4 THEN '{}'
-  ELSE '{"user_id": 1, "organization_id": 2, "session_id": 3, "messages": [], "pad": "' || repeat('a', CASE WHEN conv_id % 10 = 0 THEN 1048600 ELSE 60 END) || '"}' END AS body
+  ELSE '{"user_id": 1, "organization_id": 2, "session_id": 3, "messages": [' || to_json({'role': role, 'text': text}) || '], "pad": "' || repeat('a', CASE WHEN conv_id % 10 = 0 THEN 1048600 ELSE 60 END) || '"}' END AS body
 FROM conversations)"""
 MISSING = ", ".join(f"CASE WHEN json_extract(j, '$.{f}') IS NULL OR json_type(j, '$.{f}') = 'NULL' THEN '{f}: required' END" for f in D.REQUIRED_FIELDS)
 ERRORS = f"""{BODY}, p AS (SELECT id, turn, octet_length(encode(body)) AS n, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM body),
@@ -30,13 +30,14 @@ e AS (SELECT id, turn, CASE WHEN n > 1048576 THEN 'body: too large' WHEN j IS NU
 def bodies(spark, sf):
     c = V.load(spark, sf, "conversations")
     i, k = F.col("conv_id").cast("string"), (F.col("conv_id") + F.col("turn")) % 6
+    said_ = F.to_json(F.struct("role", "text"))
     body = (
-        F.when(k == 0, F.concat(F.lit('{"user_id": '), i, F.lit(', "organization_id": 1, "session_id": '), i, F.lit(', "messages": []}')))
+        F.when(k == 0, F.concat(F.lit('{"user_id": '), i, F.lit(', "organization_id": 1, "session_id": '), i, F.lit(', "messages": ['), said_, F.lit("]}")))
         .when(k == 1, '{"user_id": null, "organization_id": 1, "messages": []}')
         .when(k == 2, '{"user_id": 1, "organization_id"')
         .when(k == 3, "[1, 2]")
         .when(k == 4, "{}")
-        .otherwise(F.concat(F.lit('{"user_id": 1, "organization_id": 2, "session_id": 3, "messages": [], "pad": "'), F.repeat(F.lit("a"), F.when(F.col("conv_id") % 10 == 0, 1048600).otherwise(60)), F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"user_id": 1, "organization_id": 2, "session_id": 3, "messages": ['), said_, F.lit('], "pad": "'), F.repeat(F.lit("a"), F.when(F.col("conv_id") % 10 == 0, 1048600).otherwise(60)), F.lit('"}')))
     )
     return c.select(F.col("conv_id").alias("id"), "turn", body.alias("body"))
 
@@ -64,6 +65,17 @@ def batch_validation(spark, sf):
     return g.select("id", F.array_join(I.batch_errors(body), "; ").alias("errors"))
 
 
+@query(f"""WITH {ERRORS}, i AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn) - 1 AS k, errors FROM e)
+SELECT id, count(*) FILTER (WHERE errors = '') AS accepted, coalesce(string_agg('[' || k || '] ' || errors, '; ' ORDER BY k) FILTER (WHERE errors <> ''), '') AS skipped FROM i GROUP BY id""")
+def batch_partial(spark, sf):
+    """Every conversation's payloads as a batch that goes on past bad items: how many were taken, and why not the others."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy("turn")) - 1
+    rows = bodies(spark, sf).withColumn("k", place).withColumn("errors", F.array_join(I.payload_errors(F.col("body")), "; "))
+    bad = F.when(F.col("errors") != "", F.struct("k", F.concat(F.lit("["), F.col("k").cast("string"), F.lit("] "), "errors").alias("why")))
+    g = rows.groupBy("id").agg(F.count_if(F.col("errors") == "").alias("accepted"), F.sort_array(F.collect_list(bad)).alias("bad"))
+    return g.select("id", "accepted", F.array_join(F.col("bad.why"), "; ").alias("skipped"))
+
+
 def policy(name: str) -> str:
     store, ignore, _ = D.POLICIES[name]
     kinds = ", ".join(f"'{k}'" for k in store)

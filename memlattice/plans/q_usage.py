@@ -42,7 +42,12 @@ def usage_event_page(spark, sf):
 
 
 PERIODS = f"""{MET}, per AS (SELECT tenant_id, CAST(day(recorded_at) AS BIGINT) // 10 AS period, sum(units) AS used, count(*) AS requests, tenant_id % 4 <> 1 AS open FROM met GROUP BY ALL),
-org AS (SELECT unnest(range(0, 12)) AS tenant_id)"""
+org AS (SELECT CAST(n_nationkey AS BIGINT) AS tenant_id FROM nation)"""
+
+
+def tenants(spark, sf):
+    """Nations stand for the tenants, more than have events."""
+    return V.load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("tenant_id"))
 
 
 def periods(spark, sf):
@@ -57,7 +62,7 @@ def usage_period_latest(spark, sf):
     p = periods(spark, sf).where("open")
     last = p.groupBy("tenant_id").agg(*[F.max_by(c, "period").alias(c) for c in ("used", "requests")], F.max("period").alias("period"))
     z = lambda c, v: F.coalesce(c, F.lit(v))
-    return spark.range(12).withColumnRenamed("id", "tenant_id").join(last, "tenant_id", "left").select("tenant_id", z("period", 0).cast("long").alias("period"), F.round(z("used", 0.0), 4).alias("used"), z("requests", 0).cast("long").alias("requests"))
+    return tenants(spark, sf).join(last, "tenant_id", "left").select("tenant_id", z("period", 0).cast("long").alias("period"), F.round(z("used", 0.0), 4).alias("used"), z("requests", 0).cast("long").alias("requests"))
 
 
 @query(f"""WITH {PERIODS} SELECT CAST(tenant_id AS BIGINT) AS tenant_id, period, status FROM (
@@ -66,8 +71,8 @@ def usage_period_latest(spark, sf):
 def webhook_period_upsert(spark, sf):
     """A renewal closes the period in hand and opens a new one for the tenant its customer id stands for."""
     p = periods(spark, sf).select("tenant_id", F.col("period").cast("long").alias("period"), F.when(F.col("open"), "open").otherwise("closed").alias("status"))
-    hooks = spark.range(12).where("id % 3 = 0").select(F.concat(F.lit("cus_"), "id").alias("customer"))
-    orgs = spark.range(12).select(F.col("id").alias("tenant_id"), F.concat(F.lit("cus_"), "id").alias("customer"))
+    orgs = tenants(spark, sf).withColumn("customer", F.concat(F.lit("cus_"), "tenant_id"))
+    hooks = orgs.where("tenant_id % 3 = 0").select("customer")
     hit = orgs.join(hooks, "customer").select("tenant_id")
     closed = p.where("period = 2").join(hit, "tenant_id").select("tenant_id", "period", F.lit("closed").alias("status"))
     opened = hit.select("tenant_id", F.lit(9).cast("long").alias("period"), F.lit("open").alias("status"))

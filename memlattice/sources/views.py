@@ -54,10 +54,10 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories with the vector of the same id; memories without one keep a null."""
+def embedded(spark: SparkSession, sf_dir: str, m: DataFrame | None = None) -> DataFrame:
+    """Memories (or ``m``, some of them) with the vector of the same id; memories without one keep a null."""
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id"), "embedding")
-    m = memories(spark, sf_dir)
+    m = memories(spark, sf_dir) if m is None else m
     return m.join(v, m.id == v.vec_id, "left").drop("vec_id")
 
 

@@ -7,7 +7,9 @@ from ..functions.text import iso
 from ..operators import ingest as I
 from ..operators import lifecycle as L
 from ..operators import scans as S
+from ..sources import jsonl
 from ..sources import views as V
+from ..sources.scratch import Scratch
 from .ctes import LNK, ENT, MEM, MET, SES, VER, iso as siso
 from .registry import query
 
@@ -268,6 +270,28 @@ def persist_with_edges(spark, sf):
     return out.unionByName(edges.select(F.lit("edge").alias("row_of"), F.col("memory_id").alias("id"), F.concat_ws(" ", "source", "relationship", "target").alias("detail")))
 
 
+@query("""SELECT CAST(conv_id % 50 AS VARCHAR) AS user_id, CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n_messages, sha256(string_agg(role || chr(9) || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
+def observation_export(spark, sf):
+    """Conversations as observations, exported as JSON lines and read back."""
+    path, c = f"{Scratch(spark, 'export').root}/lines", V.load(spark, sf, "conversations")
+    said = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    o = c.groupBy("conv_id").agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    jsonl.export(o.select((F.col("conv_id") % 50).cast("string").alias("user_id"), F.lit("1").alias("organization_id"), F.col("conv_id").cast("string").alias("session_id"), "messages"), path)
+    back, _ = jsonl.read_observations(spark, path)
+    lines = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("\t"), m["content"])), "\n")
+    return back.select("user_id", "session_id", F.size("messages").cast("long").alias("n_messages"), F.sha2(lines, 256).alias("digest"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 6 = 1 THEN 'again' ELSE event_type END AS event_type FROM events WHERE event_id % 3 > 0""")
+def buffer_replay(spark, sf):
+    """What was not delivered goes to the dead letters, some of it twice; replayed, each event comes once, as it was last."""
+    path = f"{Scratch(spark, 'buffer').root}/dead"
+    e = V.load(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type")
+    jsonl.flush(e, e.where("id % 3 = 0"), path)
+    jsonl.flush(e.where("id % 6 = 1").withColumn("event_type", F.lit("again")), e.limit(0), path, size=1 << 16)
+    return jsonl.replay(spark, path, e.schema)
+
+
 @query(f"WITH {SES}, r AS (SELECT DISTINCT conv_id * 3 AS id FROM conversations) SELECT r.id, id % 50 AS user_id, '2025-06-01T00:00:00' AS started_at FROM r WHERE id NOT IN (SELECT id FROM ses)")
 def session_create(spark, sf):
     """Sessions that requests open; those that are there already stay as they are."""

@@ -23,10 +23,12 @@ def export(df: DataFrame, path: str, files: int | None = None) -> None:
     (df if files is None else df.coalesce(files)).write.mode("overwrite").json(path)
 
 
-def flush(queue: DataFrame, accepted: DataFrame, path: str, key: str = "id", rows: int = 1000) -> None:
+def flush(queue: DataFrame, accepted: DataFrame, path: str, key: str = "id", rows: int = 1000, size: int = 50 << 20) -> None:
     """Moves what was not accepted of a batch of a durable queue to the dead letters at ``path``, in files that are
-    rotated after ``rows`` rows."""
-    queue.join(accepted.select(key), key, "left_anti").write.mode("append").option("maxRecordsPerFile", rows).json(path)
+    rotated after ``rows`` rows, or fewer if as many as long as the longest could pass ``size`` bytes."""
+    left = queue.join(accepted.select(key), key, "left_anti")
+    longest = left.agg(F.max(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    left.write.mode("append").option("maxRecordsPerFile", max(1, min(rows, size // (longest + 1)))).json(path)
 
 
 def replay(spark: SparkSession, path: str, schema: T.StructType, key: str = "id") -> DataFrame:

@@ -341,6 +341,14 @@ def test_dead_letters_of_a_queue_come_back(spark, tmp_path):
     assert {(r.id, r.t) for r in got.collect()} == {(i, f"t{i}") for i in range(25) if i % 5} and got.count() == 20
 
 
+def test_dead_letters_rotate_by_bytes(spark, tmp_path):
+    queue = spark.createDataFrame([(i, "x" * 500) for i in range(40)], "id long, t string").coalesce(1)
+    jsonl.flush(queue, queue.limit(0), str(tmp_path / "dead"), size=2000)
+    files = list((tmp_path / "dead").glob("*.json"))
+    assert len(files) >= 14 and all(f.stat().st_size <= 2000 for f in files)
+    assert jsonl.replay(spark, str(tmp_path / "dead"), queue.schema).count() == 40
+
+
 def test_batches_have_a_limit(spark):
     body = "[" + ", ".join(["{}"] * 101) + "]"
     assert one(spark, I.batch_errors(F.lit(body)).alias("x")).x == ["body: more than 100 items"]

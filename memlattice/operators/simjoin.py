@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import similarity as Sim
+from ..functions.similarity import near_pairs
 
 #: Texts and bytes of a group, at most about.
 GROUP, BYTES = 64, 4 << 20
@@ -60,7 +60,7 @@ def similar(left: DataFrame, right: DataFrame, block: list[str], least: float, e
                 wanted = None
                 if earlier:
                     wanted = np.array([x["last"] for x in ours])[:, None] > np.array([x["node"] for x in theirs])[None, :]
-                found = list(Sim.near_pairs([x["text"] for x in ours], [x["text"] for x in theirs], least, wanted))
+                found = list(near_pairs([x["text"] for x in ours], [x["text"] for x in theirs], least, wanted))
                 cols = ([ours[i]["node"] for i, _, _ in found], [theirs[j]["node"] for _, j, _ in found], [r for _, _, r in found])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["left_node", "right_node", "ratio"])
 

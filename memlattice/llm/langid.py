@@ -105,7 +105,7 @@ def train(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: s
     share = F.lit(0)
     for lang, n in sorted((r[0], r[1]) for r in sizes):
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, each / n) * (1 << 30)))).otherwise(share)
-    chosen = known.where(part < share).limit(2 * each * max(1, len(sizes)))
+    chosen = known.where(part < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,7 +115,8 @@ def train(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *(pa.array(p, pa.binary()) for p in sparse)], names=["id", "lang", "at", "n"])
 
     scratch = Scratch(spark, "langid")
-    got = scratch.write(chosen.mapInArrow(run, "id long, lang string, at binary, n binary"), "vectors").orderBy("id", "lang", "at", "n").toArrow()
+    got = scratch.write(chosen.mapInArrow(run, "id long, lang string, at binary, n binary"), "vectors")
+    got = got.orderBy("id", "lang", "at", "n").limit(2 * each * max(1, len(sizes))).toArrow()  # a bound against repeated ids
     scratch.clear()
     x = np.zeros((len(got), COLUMNS), np.float32)
     for row, at, n in zip(x, got.column("at").to_pylist(), got.column("n").to_pylist()):

@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from .common import Query, Scratch, gapless_rank, table
 
 BLOCKS, PARTS = 8192, 256
+#: How far the moved bytes may pass the least.
+SPARE = 0.004
 Block = tuple[int, int, int]
 
 
@@ -122,7 +124,8 @@ def rooms(sizes: dict[Block, int], old: dict[Block, int], shards: int) -> list[i
 def plan_transfers(sizes: dict[Block, int], old: dict[Block, int], shards: int) -> dict[Block, int]:
     """Block -> new shard. The flow says how many bytes leave each old shard and how many reach each new one. Whole
     blocks of that size leave; they are dealt to the shards that gain, and evened out among themselves, which moves no
-    further byte. Only shards that then still differ by more than a fortieth of a share are evened out by other blocks."""
+    further byte; then blocks that left are exchanged with blocks that stayed, for as long as the moved bytes stay within
+    a SPARE part of the least that the loads ask for."""
     held: dict[int, list[Block]] = defaultdict(list)
     for b in sorted(sizes):
         held[old[b]].append(b)
@@ -138,8 +141,68 @@ def plan_transfers(sizes: dict[Block, int], old: dict[Block, int], shards: int)
         j = max(range(shards), key=lambda j: (gains[j], -j))
         new[b] = j
         gains[j] -= sizes[b]
-    share = sum(sizes.values()) // shards
-    return even_out(sizes, even_out(sizes, new, shards, max(1, share // 1000), leave), shards, max(1, share // 40))
+    near = max(1, sum(sizes.values()) // shards // 1000)
+    return exchanged(sizes, old, even_out(sizes, new, shards, near, leave), supply, shards, near)
+
+
+def exchanged(sizes: dict[Block, int], old: dict[Block, int], new: dict[Block, int], supply: list[int], shards: int, near: int) -> dict[Block, int]:
+    """Moves and exchanges between two shards, the fullest and the emptiest first, until all differ by ``near`` or none
+    helps. Each brings the sum of squared loads down. A block that goes home, or is exchanged with one that left the same
+    shard, costs few moved bytes or none; one is made only if all moved bytes then stay within a SPARE part of the least
+    that the loads ask for: what each old shard has too much."""
+    new, load, own = dict(new), [0] * shards, [set() for _ in range(shards)]
+    for b, s in new.items():
+        own[s].add(b)
+        load[s] += sizes[b]
+    asked = lambda s, n: max(0, supply[s] - n) if s < len(supply) else 0
+    gone = sum(supply[shards:])  # of shards that are no more
+    moved = sum(sizes[b] for b, s in new.items() if old[b] != s)
+    least = gone + sum(asked(s, n) for s, n in enumerate(load))
+    cost = lambda b, here, there: sizes[b] * ((old[b] != there) - (old[b] != here))
+
+    def best(hi: int, lo: int) -> tuple[int, Block, Block | None] | None:
+        gap, found, key = load[hi] - load[lo], None, load[hi] - load[lo]
+        kinds: dict[int, list[tuple[int, Block]]] = {-1: [], 0: [], 1: []}  # by what a byte costs that goes the other way
+        for b in own[lo]:
+            kinds[(old[b] != hi) - (old[b] != lo)].append((sizes[b], b))
+        for k in kinds.values():
+            k.sort()
+        for x in sorted(own[hi]):
+            options: list[Block | None] = [None]
+            for k in kinds.values():
+                at = bisect_left(k, (sizes[x] - gap // 2,))
+                options += [b for _, b in k[max(at - 1, 0) : at + 1]]
+            for y in options:
+                d = sizes[x] - (sizes[y] if y else 0)
+                if abs(gap - 2 * d) >= key:
+                    continue
+                then = moved + cost(x, hi, lo) + (cost(y, lo, hi) if y else 0)
+                need = least - asked(hi, load[hi]) - asked(lo, load[lo]) + asked(hi, load[hi] - d) + asked(lo, load[lo] + d)
+                if then <= need * (1 + SPARE):
+                    found, key = (d, x, y), abs(gap - 2 * d)
+        return found
+
+    while shards > 1:
+        order = sorted(range(shards), key=lambda s: (load[s], s))
+        hi, lo = order[-1], order[0]
+        if load[hi] - load[lo] <= near:
+            break
+        pairs = [(hi, s) for s in order[:-1]] + [(s, lo) for s in order[:0:-1]]
+        for a, c in pairs:
+            if load[a] - load[c] > near // 2 and (found := best(a, c)):
+                break
+        else:
+            break
+        d, x, y = found
+        for b, here, there in ((x, a, c), (y, c, a)):
+            if b is not None:
+                moved += cost(b, here, there)
+                own[here].discard(b)
+                own[there].add(b)
+                new[b] = there
+        least += asked(a, load[a] - d) + asked(c, load[c] + d) - asked(a, load[a]) - asked(c, load[c])
+        load[a], load[c] = load[a] - d, load[c] + d
+    return new
 
 
 def even_out(sizes: dict[Block, int], new: dict[Block, int], shards: int, near: int, only: set[Block] | None = None) -> dict[Block, int]:

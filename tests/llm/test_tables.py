@@ -133,12 +133,22 @@ def test_op7_moves_little_and_rewrites(spark, tmp_path):
     share = sum(supply) // 40
     assert sum(r.size for r in rows if r.shard != r.old_shard) <= 1.005 * sum(max(0, n - share) for n in supply)
     load = [sum(r.size for r in rows if r.shard == j) for j in range(40)]
-    assert max(load) <= 1.03 * min(load)
+    assert max(load) <= 1.008 * min(load)
     same = {r.shard for r in sharding.rewrite_affected(spark, d, plan, str(tmp_path / "out")).collect()}
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.doc_id, r.shard, r.slot) for r in back.collect()} == {(r.doc_id, r.shard, r.slot) for r in rows if r.shard not in same}
 
 
+def test_op7_is_even_and_moves_little(spark):
+    """At the large scale: shards are within a five-hundredth of each other and moved bytes near the flow's least."""
+    from memlattice.llm import sharding
+
+    rows = sharding.reshard(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).groupBy("old_shard", "shard").agg({"size": "sum"}).collect()
+    load, supply = [sum(r[2] for r in rows if r.shard == j) for j in range(40)], [sum(r[2] for r in rows if r.old_shard == i) for i in range(32)]
+    assert max(load) <= 1.002 * min(load)
+    assert sum(r[2] for r in rows if r.shard != r.old_shard) <= 1.005 * sum(max(0, n - load[i]) for i, n in enumerate(supply))
+
+
 def test_op8(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")

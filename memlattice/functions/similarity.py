@@ -12,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Lengths of the substrings that are counted, and into how many columns they are hashed.
-GRAMS, COLUMNS = (1, 2, 4, 8), 4096
+#: Lengths of the substrings that are counted, those that tell most first, and into how many columns they are hashed, at
+#: most and four times as many as a text has characters.
+GRAMS, COLUMNS = (8, 4, 2, 1), 4096
 
 
 @F.pandas_udf(T.DoubleType())
@@ -82,11 +83,12 @@ def near_pairs(left: Sequence[str], right: Sequence[str], least: float, wanted:
     able = 2 * np.minimum(la[:, None], lb[None, :]) >= least * total
     if wanted is not None:
         able &= wanted
+    columns_ = min(COLUMNS, 1 << (4 * int(max(la.max(initial=1), lb.max(initial=1)))).bit_length())
     for q in GRAMS:
         need = m - k * (q - 1)
         test = able & (need > 0)
         rows, columns = np.flatnonzero(test.any(axis=1)), np.flatnonzero(test.any(axis=0))
-        ours, theirs = {i: grams(a[i], q) for i in rows}, {j: grams(b[j], q) for j in columns}
+        ours, theirs = {i: grams(a[i], q, columns_) for i in rows}, {j: grams(b[j], q, columns_) for j in columns}
         for i in rows:
             js = np.flatnonzero(test[i])
             for lo in range(0, len(js), 256):

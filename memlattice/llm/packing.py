@@ -71,8 +71,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     stand = byte_level()
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={bytes(stand[c] for c in k): v for k, v in vocab.items()}, special_tokens={}).encode_ordinary
-    unusual = re.compile("|".join(["[^\x09-\x0d\x20-\x7e\xa1-\xac\xae-ɏ‘-”]", *map(re.escape, sorted(special))]))
-    return lambda text: slow(text) if unusual.search(text) else fast(text)
+    unusual = re.compile("[^\x09-\x0d\x20-\x7e\xa1-\xac\xae-ɏ‘-”]")  # spellings are looked for apart: faster than by choice
+    return lambda text: slow(text) if unusual.search(text) or any(t in text for t in special) else fast(text)
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,6 +164,8 @@ class Search:
         self.capacity, self.bins = capacity, Counter()
         self.order: list[tuple[int, Bin]] = []
         self.reach: list[list[tuple[int, tuple[int, ...], Bin]]] = [[] for _ in range(capacity + 1)]  # by fill
+        # The least and the largest fill at each reach; beyond the capacity there is none.
+        self.low, self.top = np.full(2 * capacity + 1, capacity), np.full(2 * capacity + 1, -1)
         for b, n in bins.items():
             self.add(b, n)
 
@@ -176,14 +178,34 @@ class Search:
         if not had and size < self.capacity:
             insort(self.order, (size, b))
             for x in some_of(b):
-                insort(self.reach[sum(x) + self.capacity - size], (size, x, b))
+                at = sum(x) + self.capacity - size
+                insort(self.reach[at], (size, x, b))
+                self.bounded(at)
         if not self.bins[b]:
             del self.bins[b]
             if size < self.capacity:
                 del self.order[bisect_left(self.order, (size, b))]
                 for x in some_of(b):
-                    own = self.reach[sum(x) + self.capacity - size]
+                    at = sum(x) + self.capacity - size
+                    own = self.reach[at]
                     del own[bisect_left(own, (size, x, b))]
+                    self.bounded(at)
+
+    def bounded(self, at: int) -> None:
+        own = self.reach[at]
+        self.low[at], self.top[at] = (own[0][0], own[-1][0]) if own else (self.capacity, -1)
+
+    def likely(self, sizes: np.ndarray, own: int) -> Iterator[tuple[int, int]]:
+        """(slack, which of the sizes): where the least and the largest fill at a reach leave room for a taker, in
+        order. Most slacks have none, so they are looked through in arrays."""
+        lo = 0
+        for hi in (64, 512, self.capacity):
+            slack = np.arange(lo, min(hi, self.capacity))
+            at = slack[:, None] + sizes
+            found = (self.top[at] >= own) & (self.low[at] < self.capacity - slack[:, None])
+            for k in np.flatnonzero(found).tolist():
+                yield lo + k // len(sizes), k % len(sizes)
+            lo = max(lo, min(hi, self.capacity))
 
     def partner(self, giver: Bin) -> tuple[Bin, list[int], list[int]] | None:
         """(taker, what it gets, what it gives back): a move, or an exchange of one or two for one or two, with a bin at
@@ -196,18 +218,15 @@ class Search:
                 if self.order[k][1] != giver or not alone:
                     return self.order[k][1], [a], []
                 k -= 1
-        for slack in range(self.capacity):
-            for there in gives:
-                size = sum(there)
-                if size + slack > self.capacity:
-                    continue
-                fit = self.reach[size + slack]  # the emptiest taker gains the most
-                for k in range(bisect_left(fit, (own,)), len(fit)):
-                    full, back, taker = fit[k]
-                    if self.capacity - full <= slack:
-                        break
-                    if taker != giver or not alone:
-                        return taker, list(there), list(back)
+        sizes = np.array([sum(there) for there in gives])
+        for slack, which in self.likely(sizes, own):
+            fit = self.reach[int(sizes[which]) + slack]  # the emptiest taker gains the most
+            for k in range(bisect_left(fit, (own,)), len(fit)):
+                full, back, taker = fit[k]
+                if self.capacity - full <= slack:
+                    break
+                if taker != giver or not alone:
+                    return taker, list(gives[which]), list(back)
         return None
 
 

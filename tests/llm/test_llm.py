@@ -333,6 +333,27 @@ def test_exchange_kinds():
     assert partner(((30, 1),), ((34, 1), (15, 1), (13, 1)))[1:] == ([30], [15, 13])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_takers_are_found_without_looking_at_every_slack(seed):
+    """The same exchange as by looking at each slack and each give in turn, at a small part of the places."""
+    r = Random(seed)
+    lengths = Counter(min(512, int(r.lognormvariate(4.5, 1)) + 1) for _ in range(400))
+    search, places, plain = packing.Search(packing.improve(packing.first_fit(lengths, 512), 512)[0] if seed % 2 else packing.first_fit(lengths, 512), 512), 0, 0
+    for own, giver in list(search.order):
+        gives, alone, want = packing.some_of(giver), search.bins[giver] < 2, None
+        room = [b for size, b in search.order if own <= size <= 512 - giver[-1][0] and (b != giver or not alone)]
+        at = 512, 0
+        for slack, k, there in ((s, k, g) for s in range(512) for k, g in enumerate(gives) if sum(g) + s <= 512):
+            plain += 1
+            fit = [x for x in search.reach[sum(there) + slack] if own <= x[0] < 512 - slack and (x[2] != giver or not alone)]
+            if fit:
+                want, at = (fit[0][2], list(there), list(fit[0][1])), (slack, k)
+                break
+        places += sum(x <= at for x in search.likely(np.array([sum(g) for g in gives]), own))
+        assert room or search.partner(giver) == want
+    assert places <= plain / (3 if seed % 2 else 1)
+
+
 def test_exchanges_alone_reach_the_bound():
     """From the first fit, no other packing being looked at: every bin fewer comes from exchanges, which most bins went
     through."""

@@ -15,7 +15,7 @@ import struct
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -162,6 +162,20 @@ def best_path(word: str, spec: Spec, usable: dict[str, int], longest: int) -> li
     return ids
 
 
+def once(data: np.ndarray, starts: np.ndarray, spell: Callable[[list[bytes]], list[bytes]], unit: type) -> tuple[np.ndarray, np.ndarray]:
+    """(what ``spell`` gives for each run of bytes from one start to the next, one after the other; where each begins,
+    and the end). Equal runs are asked for once."""
+    ends = np.append(starts, len(data)).astype(np.int64)
+    runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    _, places, kept = runs.dictionary.buffers()
+    raw, at = kept.to_pybytes() if kept else b"", np.frombuffer(places, np.int64)[: len(runs.dictionary) + 1].tolist()
+    which, found = runs.indices.to_numpy(), spell([raw[lo:hi] for lo, hi in zip(at, at[1:])])
+    flat, size = np.frombuffer(b"".join(found), unit), np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(unit).itemsize
+    before, each = np.cumsum(size) - size, size[which]
+    bounds = np.concatenate(([0], np.cumsum(each)))
+    return flat[np.repeat(before[which] - bounds[:-1], each) + np.arange(bounds[-1])], bounds
+
+
 class Codec:
     """Encodes and decodes by a rebuilt tokenizer. Where words can be told apart without loss, each distinct word is
     given to the tokenizer once, in multithreaded batches, and remembered (``room`` of them at most)."""
@@ -173,26 +187,37 @@ class Codec:
         self.spec, self.room = parse(raw), room
         self.tok, self.bare = build(self.spec), build(self.spec)
         self.own = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        self.split, self.plain = None, not self.spec.charsmap and not self.spec.squeeze and self.spec.prefix and self.spec.escape
+        self.plain = not self.spec.charsmap and not self.spec.squeeze and self.spec.prefix and self.spec.escape
+        self.split: int | None = None  # the byte at which words begin
         if self.spec.escape and self.spec.prefix and self.bare.pre_tokenizer is not None and not any(k == USER for _, _, k in self.spec.pieces):
-            self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+            self.split = ord(" ")
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
         self.silent = {i for i, (_, _, k) in enumerate(self.spec.pieces) if k not in (NORMAL, USER, BYTE)}
-        self.known: dict[str, bytes] = {}
-
-    def normalize(self, text: str) -> str:
+        self.spells = {i: b"" for i in self.silent}  # by id; names of bytes that are no byte pieces are the tokenizer's
+        for i, (p, _, k) in enumerate(self.spec.pieces):
+            if i not in self.silent and (k == BYTE) == bool(LOOKS_LIKE_BYTE.fullmatch(p)):
+                self.spells[i] = bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode()
+        self.begins = np.array([k == NORMAL and p.startswith(MARK) for p, _, k in self.spec.pieces])  # pieces at a word's start
+        self.known: dict[bytes, bytes] = {}
+
+    def blank(self, text: str) -> str:
+        """The normalised text with blanks for marks."""
         if self.plain:
-            return MARK + text.replace(" ", MARK) if text else ""
-        return self.tok.normalizer.normalize_str(text)
+            return " " + text.replace(MARK, " ") if text else ""
+        return self.tok.normalizer.normalize_str(text).replace(MARK, " ")
 
     def word_ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as native 32-bit numbers; 256 words are one item of the multithreaded batch."""
         items = [words[k : k + 256] for k in range(0, len(words), 256)]
         out: list[bytes] = []
-        for e in self.bare.encode_batch(items, is_pretokenized=True, add_special_tokens=False):
-            raw = array("I", e.ids).tobytes()
-            cuts = (np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)) * 4).tolist()
-            out += [raw[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(raw)])]
+        for item, e in zip(items, self.bare.encode_batch_fast(items, is_pretokenized=True, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(self.begins[ids])
+            if len(cuts) != len(item) or any(w.rfind(MARK) for w in item):  # not each has its one mark in its first piece
+                e = self.bare.encode_batch([item], is_pretokenized=True, add_special_tokens=False)[0]
+                ids, cuts = np.array(e.ids, np.uint32), np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1))
+            raw, at = ids.tobytes(), (4 * cuts).tolist()
+            out += [raw[lo:hi] for lo, hi in zip(at, [*at[1:], len(raw)])]
         if self.spec.kind == UNIGRAM and self.spec.byte_fallback:
             usable = {p: i for i, (p, _, k) in enumerate(self.spec.pieces) if k == NORMAL}
             for k, w in enumerate(words):
@@ -200,40 +225,64 @@ class Codec:
                     out[k] = array("I", best_path(w, self.spec, usable, max(map(len, usable)))).tobytes()
         return out
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        ids = dict(zip(words, self.word_ids(words)))
-        if len(self.known) + len(words) > self.room:
-            self.known.clear()
-        self.known.update(ids)
-        return ids
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, with blanks for marks, from memory where it has them."""
+        found = list(map(self.known.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if new:
+            fresh = dict(zip(new, self.word_ids([w.decode().replace(" ", MARK) for w in new])))
+            if len(self.known) + len(new) > self.room:
+                self.known.clear()
+            self.known.update(fresh)
+            found = [fresh[w] if x is None else x for w, x in zip(words, found)]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as native 32-bit numbers."""
         if self.split is None:
             return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self.split(self.normalize(t)) for t in texts]
-        get = self.known.get
-        parts = [list(map(get, ws)) for ws in split]
-        new = {w for ws, found in zip(split, parts) for w, x in zip(ws, found) if x is None}
-        fresh = self.learn(sorted(new)) if new else {}
-        return [b"".join([fresh[w] if x is None else x for w, x in zip(ws, found)]) for ws, found in zip(split, parts)]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts from ids; pieces that no text gives, such as a text's begin and end, spell nothing."""
-        return self.tok.decode_batch([x if self.silent.isdisjoint(x) else [i for i in x if i not in self.silent] for x in ids], skip_special_tokens=False)
+        plain = [self.blank(t).encode() for t in texts]
+        data = np.frombuffer(b"".join(plain), np.uint8)
+        bounds = np.cumsum([0, *map(len, plain)])
+        start = data == self.split  # a word begins with the first of its blanks, and with its text
+        start[1:] &= data[:-1] != self.split
+        start[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(start)
+        ids, at = once(data, starts, self.learn, np.uint32)
+        cuts = at[np.searchsorted(starts, bounds)].tolist()
+        return [ids[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])]
+
+    def decode(self, ids: list[Sequence[int]]) -> list[str]:
+        """Texts from ids; pieces that no text gives, such as a text's begin and end, spell nothing.
+
+        Pieces and byte pieces are joined as bytes. Where these are UTF-8, so is each run of byte pieces, and the
+        tokenizer's decoder gives the same; where they are not, or an id is none of the model's, it decodes."""
+        out: list[str | None] = []
+        for x in ids:
+            try:
+                text = b"".join(map(self.spells.__getitem__, x)).decode()
+                out.append(text.removeprefix(" ") if self.spec.prefix else text)
+            except (KeyError, UnicodeDecodeError):
+                out.append(None)
+        odd = [k for k, t in enumerate(out) if t is None]
+        for k, t in zip(odd, self.tok.decode_batch([[i for i in ids[k] if i not in self.silent] for k in odd], skip_special_tokens=False) if odd else []):
+            out[k] = t
+        return out
 
     def spelled(self, text: str) -> str:
         """What the ids of a text should decode to: the normalised text with blanks for marks."""
-        plain = self.normalize(text).replace(MARK, " ")
+        plain = self.blank(text)
         return plain.removeprefix(" ") if self.spec.prefix else plain
 
     def verified(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """For each text: its ids, whether SentencePiece gives the same for the whole text, and whether they decode to
         the normalised text (where every character has a piece or falls back to bytes)."""
         raws = self.encode(texts)
-        ids = [array("I", raw) for raw in raws]
-        theirs, back = self.own.encode(texts, num_threads=1), self.decode([x.tolist() for x in ids])
-        return [(raw, x == array("I", y), z == self.spelled(t)) for t, raw, x, y, z in zip(texts, raws, ids, theirs, back)]
+        back, out = self.decode([array("I", x) for x in raws]), []
+        for lo in range(0, len(texts), 256):
+            theirs = self.own.encode(texts[lo : lo + 256], num_threads=1)
+            out += [(raw, raw == array("I", y).tobytes(), z == self.spelled(t)) for t, raw, y, z in zip(texts[lo : lo + 256], raws[lo:], theirs, back[lo:])]
+        return out
 
 
 def loaded(path: str | None) -> Codec:
@@ -250,9 +299,17 @@ def loaded(path: str | None) -> Codec:
     return kept[path]
 
 
-def batches_of(texts: list[str | None], size: int = 256) -> Iterator[list[str]]:
-    for lo in range(0, len(texts), size):
-        yield [t or "" for t in texts[lo : lo + size]]
+def batches_of(texts: list[str | None], size: int = 1 << 22) -> Iterator[list[str]]:
+    """Texts of about ``size`` characters together, or one that is longer."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t or "")
+        n += len(part[-1]) + 64
+        if n > size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
 
 def encode(docs: DataFrame, path: str | None = None, threads: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -267,6 +267,33 @@ def test_unigram_parity():
         assert codec.decode([ids])[0] == codec.own.decode(ids).replace("▁", " ")
 
 
+@pytest.mark.parametrize("model", ["own", "unigram"])
+def test_texts_are_decoded_as_by_the_tokenizer(model):
+    """Any ids, broken bytes and pieces without a text among them; ids as texts give them without the tokenizer."""
+    codec = pieces.loaded(None) if model == "own" else pieces.Codec(unigram_model())
+    r, n = Random(3), len(codec.spec.pieces)
+    ids = [[r.choice([r.randrange(n), r.randrange(min(n, 280))]) for _ in range(r.randrange(12))] for _ in range(3000)]
+    want = codec.tok.decode_batch([[i for i in x if i not in codec.silent] for x in ids], skip_special_tokens=False)
+    assert codec.decode(ids) == want and any("\ufffd" in t for t in want)
+    whole, codec.tok = codec.tok, None
+    try:
+        raws = codec.encode(TEXTS)
+        assert codec.decode([np.frombuffer(x, np.uint32).tolist() for x in raws]) == [codec.spelled(t) for t in TEXTS]
+    finally:
+        codec.tok = whole
+
+
+def test_words_of_many_texts_are_those_of_each():
+    """Words are told apart over all texts at once: blanks at edges, runs of marks and empty texts between."""
+    r = Random(5)
+    texts = ["".join(r.choice(["the", "cat", " ", "  ", "▁", "é", "日", "\n", "<0x41>", "zq"]) for _ in range(r.randrange(9))) for _ in range(500)]
+    for codec in (pieces.loaded(None), pieces.Codec(unigram_model(), room=30)):
+        raws = codec.encode(texts)
+        assert [np.frombuffer(x, np.uint32).tolist() for x in raws] == codec.own.encode(texts)
+        assert raws == [codec.encode([t])[0] for t in texts]
+    assert [len(x) for x in pieces.batches_of(["a" * 10] * 10 + [None], 200)] == [3, 3, 3, 2]
+
+
 def test_memory_of_words_is_bounded():
     small = pieces.Codec(unigram_model(), room=5)
     big = pieces.Codec(unigram_model())

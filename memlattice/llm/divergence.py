@@ -1,7 +1,7 @@
 """Source divergence audit: how far the sources of a language differ in what they say, and by which terms.
 
-Each task counts its documents' terms into radix tries over bytes, one a language, whose leaves hold a counter for each
-source. A trie's walk gives its leaves in the order of UTF-8, so tries are merged by ranges of prefixes: leaves are dealt
+Each task counts its documents' terms, many texts at a time in arrays, into radix tries over bytes, one a language, whose
+leaves have a counter for each source. A trie's walk gives its leaves in the order of UTF-8, so tries are merged by ranges of prefixes: leaves are dealt
 by (language, term) ranges and sorted, and a task adds up those of one term as they stream by. Terms that too few
 documents hold go there. A second walk over what is kept turns counters into shares and adds up the divergence of each
 two sources; the most telling terms of each source are selected on the way, ties in the order of the terms.
@@ -15,9 +15,11 @@ Further columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import gc
+import itertools
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Callable, Iterator
+from operator import itemgetter
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import Query, Scratch, table
 
 UNIT = 1_000_000_000
-#: Entries (term, source) that a task counts before it pours them into its tries, and that its tries hold before they
-#: are handed on; bytes of a text that are cut into terms at a time.
-POUR, HOLD, STEP = 600_000, 1_000_000, 1 << 20
+#: Bytes of texts whose terms a task counts at once, and counts (of sources and of documents) that its tries hold before
+#: they are handed on; bytes of a longer text that are cut into terms at a time.
+POUR, HOLD, STEP = 1 << 23, 1_500_000, 1 << 20
 #: Cells of a table of terms and sources, and of sums of pairs, that a task holds.
 CELLS = 1 << 22
 #: Groups whose names and sums are broadcast at a time; languages are dealt into rounds of no more (or one language).
@@ -40,18 +42,19 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 
 
 class Trie:
-    """A radix trie over bytes; a node is [label, children by first byte, leaf], a leaf a dict of counters."""
+    """A radix trie over bytes; a node is [label, children by first byte, leaf], a leaf what ``make`` gives."""
 
-    def __init__(self):
+    def __init__(self, make: Callable = dict):
         self.root: list = [b"", {}, None]
+        self.make = make
 
-    def leaf(self, term: bytes) -> dict[int, int]:
+    def leaf(self, term: bytes):
         """The leaf of ``term``, which is made if there is none."""
         node, at = self.root, 0
         while at < len(term):
             kid = node[1].get(term[at])
             if kid is None:
-                new: dict[int, int] = {}
+                new = self.make()
                 node[1][term[at]] = [term[at:], {}, new]
                 return new
             label = kid[0]
@@ -64,10 +67,10 @@ class Trie:
                 label = kid[0]
             node, at = kid, at + len(label)
         if node[2] is None:
-            node[2] = {}
+            node[2] = self.make()
         return node[2]
 
-    def walk(self) -> Iterator[tuple[bytes, dict[int, int]]]:
+    def walk(self) -> Iterator[tuple[bytes, Any]]:
         """Terms and leaves in the order of the terms' bytes."""
         left = [(b"", self.root)]
         while left:
@@ -93,51 +96,95 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
 DOCS = -1  #: in a leaf, the counter of documents
 
 
+class Leaves:
+    """A language's trie, whose leaves are numbers, and what is counted at them: arrays of (leaf, source or DOCS, count),
+    an entry once or more."""
+
+    def __init__(self):
+        self.trie = Trie(itertools.count().__next__)
+        self.entries: list[np.ndarray] = []
+
+    def add(self, terms: list[bytes], place: np.ndarray, key: np.ndarray, n: np.ndarray) -> int:
+        """Counts ``n`` for sources or DOCS at terms, given by their place among ``terms``; how many entries."""
+        order = sorted(range(len(terms)), key=terms.__getitem__)  # neighbours share their way down
+        leaf = np.empty(len(terms), np.int64)
+        leaf[order] = np.fromiter(map(self.trie.leaf, map(terms.__getitem__, order)), np.int64, len(terms))
+        self.entries.append(np.stack([leaf[place], key, n]))
+        return len(place)
+
+    def given(self, lang: str) -> Iterator[pa.RecordBatch]:
+        walk = list(self.trie.walk())
+        rank = np.empty(len(walk), np.int64)
+        rank[[k for _, k in walk]] = np.arange(len(walk))
+        leaf, key, n = np.concatenate(self.entries, axis=1)
+        leaf = rank[leaf]
+        order = np.lexsort((key, leaf))  # a leaf's documents come first
+        leaf, key, n = leaf[order], key[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (key[1:] != key[:-1]))))
+        leaf, key, n = leaf[first], key[first], np.add.reduceat(n, first)
+        docs, own = n[key == DOCS], key != DOCS
+        pairs, ends = np.stack([key[own], n[own]], axis=1), np.searchsorted(leaf[own], np.arange(len(walk) + 1))
+        for lo in range(0, len(walk), 1 << 14):
+            rows, at = walk[lo : lo + (1 << 14)], ends[lo : lo + (1 << 14) + 1]
+            yield packed(pa.array([lang] * len(rows), pa.string()), pa.array([t for t, _ in rows], pa.binary()), docs[lo : lo + len(rows)], pairs[at[0] : at[-1]], np.diff(at))
+
+
 class Counts:
-    """A task's tries. Terms are counted in plain dicts first, which are poured into the tries in bulk."""
+    """A task's tries. The terms of many texts are counted in arrays first, which are poured into the tries in bulk."""
 
     def __init__(self):
-        self.tries: dict[str, Trie] = defaultdict(Trie)
-        self.fresh: dict[str, dict[int, Counter[bytes]]] = defaultdict(lambda: defaultdict(Counter))
+        self.tries: dict[str, Leaves] = defaultdict(Leaves)
+        self.fresh: dict[str, list[tuple[int, bytes]]] = defaultdict(list)
         self.new = self.held = 0
 
     def add(self, lang: str, source: int, text: bytes) -> None:
-        fresh, seen = self.fresh[lang], None
-        own, docs = fresh[source], fresh[DOCS]
-        before = len(own) + len(docs)
-        for part in terms(text):
-            own.update(part)
-            seen = set(part) if seen is None else seen.union(part)
-        docs.update(seen)
-        self.new += len(own) + len(docs) - before
+        if len(text) > STEP:
+            own: Counter[bytes] = Counter()
+            for part in terms(text):
+                own.update(part)
+            if own:
+                n = len(own)
+                key = np.concatenate((np.full(n, DOCS), np.full(n, source)))
+                sums = np.concatenate((np.ones(n, np.int64), np.fromiter(own.values(), np.int64, n)))
+                self.held += self.tries[lang].add(list(own), np.tile(np.arange(n), 2), key, sums)
+            return
+        self.fresh[lang].append((source, text))
+        self.new += len(text)
         if self.new > POUR:
             self.pour()
 
     def pour(self) -> None:
         for lang, fresh in self.fresh.items():
-            leaf = self.tries[lang].leaf
-            leaves = {t: leaf(t) for t in fresh[DOCS]}  # every term of any source is among them
-            for key, own in fresh.items():
-                for t, n in own.items():
-                    x = leaves[t]
-                    if key in x:
-                        x[key] += n
-                    else:
-                        x[key] = n
-                        self.held += 1
+            fresh.sort(key=itemgetter(0))  # so that a term's documents are in order of their sources
+            source = np.array([s for s, _ in fresh], np.int64)
+            data = np.frombuffer(b" ".join(t for _, t in fresh).translate(LETTERS) + b" ", np.uint8)
+            letter = data != 32
+            edges = np.flatnonzero(np.diff(letter, prepend=False))  # a term's begin and end in turn
+            starts, ends = edges[::2], edges[1::2]
+            if not len(starts):
+                continue
+            places = np.concatenate(([0], np.cumsum(ends - starts)))
+            found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data[letter])]).dictionary_encode()
+            bounds = np.cumsum([len(t) + 1 for _, t in fresh])
+            # Terms by document, sorted: a run of them is a term's count in a document.
+            both = found.indices.to_numpy().astype(np.int64) * len(fresh) + np.searchsorted(bounds, starts, "right")
+            both.sort()
+            term, doc = np.divmod(both, len(fresh))
+            key = source[doc]
+            first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (key[1:] != key[:-1]))))
+            held = np.bincount(term[np.concatenate(([True], both[1:] != both[:-1]))])
+            place = np.concatenate((np.arange(len(held)), term[first]))
+            key = np.concatenate((np.full(len(held), DOCS), key[first]))
+            n = np.concatenate((held, np.diff(np.append(first, len(term)))))
+            self.held += self.tries[lang].add(found.dictionary.to_pylist(), place, key, n)
         self.fresh.clear()
         self.new = 0
 
     def given(self) -> Iterator[pa.RecordBatch]:
         """The tries' leaves; afterwards there are none."""
         self.pour()
-        for lang, trie in sorted(self.tries.items()):
-            walk = trie.walk()
-            while rows := list(islice(walk, 1 << 14)):
-                docs = np.array([x.pop(DOCS) for _, x in rows], np.int64)
-                pairs = np.fromiter(chain.from_iterable(chain.from_iterable(x.items()) for _, x in rows), np.int64).reshape(-1, 2)
-                sizes = np.array([len(x) for _, x in rows], np.int64)
-                yield packed(pa.array([lang] * len(rows), pa.string()), pa.array([t for t, _ in rows], pa.binary()), docs, pairs, sizes)
+        for lang, leaves in sorted(self.tries.items()):
+            yield from leaves.given(lang)
         self.tries.clear()
         self.held = 0
 

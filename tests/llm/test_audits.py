@@ -190,6 +190,31 @@ def test_tries_walk_in_order_and_merge():
     assert [(t, x[0]) for t, x in one.walk()] == sorted(Counter(words).items())
 
 
+@pytest.mark.parametrize("pour, step", [(1 << 24, 1 << 20), (200, 1 << 20), (1 << 24, 30)])
+def test_terms_of_many_texts_are_counted_at_once(monkeypatch, pour, step):
+    """Leaves hold each source's count and the number of documents, and tries see a term once a pour, however often it
+    occurs; also across pours and in texts that are counted by parts."""
+    monkeypatch.setattr(divergence, "POUR", pour)
+    monkeypatch.setattr(divergence, "STEP", step)
+    asked, leaf = [], divergence.Trie.leaf
+    monkeypatch.setattr(divergence.Trie, "leaf", lambda self, term: asked.append(term) or leaf(self, term))
+    r, want, held = Random(6), defaultdict(Counter), Counter()
+    counts = divergence.Counts()
+    for _ in range(120):
+        lang, source = r.choice("xy"), r.randrange(4)
+        text = "".join(r.choice(["Ab", "ab", "é", "abc", " ", "  ", "1", "\n", "zq"]) for _ in range(r.randrange(30)))
+        found = TERM.findall(text.replace("A", "a"))
+        for t in found:
+            want[lang, t.encode()][source] += 1
+        held.update((lang, t.encode()) for t in set(found))
+        counts.add(lang, source, text.encode())
+    got = [x for b in counts.given() for x in b.to_pylist()]
+    assert {(x["lang"], x["term"]): dict(np.frombuffer(x["leaf"], np.int64).reshape(-1, 2).tolist()) for x in got} == want
+    assert {(x["lang"], x["term"]): x["docs"] for x in got} == held and len(got) == len(want)
+    assert [(x["lang"], x["term"]) for x in got] == sorted(want) and (pour < 1000 or step < 1000 or sorted(asked) == sorted(t for _, t in want))
+    assert list(counts.given()) == [] and not counts.held and len(divergence.Leaves().entries) == 0
+
+
 def test_shares_are_exact_beyond_64_bits():
     counts, total = np.array([0, 10**12, 7 * 10**14]), np.array([9 * 10**14] * 3)
     assert divergence.shares(counts, total).tolist() == [1 + 10**9 * (int(c) + 1) // int(t) for c, t in zip(counts, total)]

@@ -12,7 +12,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
@@ -28,8 +28,11 @@ def best_match(incoming: DataFrame, existing: DataFrame, block: list[str], key:
     of the built-in ratio; it is then computed for every pair of a block."""
     theirs = existing.select(*block, key, text, *([F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in (text, summary)]).alias("_longer")] if summary else []))
     sides = [text, "_longer"] if summary else [text]
-    if similarity is None:
-        pairs = [matched(incoming, theirs.select(*block, key, F.col(c).alias(text)), block, key, text, least, earlier) for c in sides]
+    tables = [existing] if summary is None else [theirs.select(*block, key, F.col(c).alias(text)) for c in sides]
+    if similarity is None and earlier:
+        pairs = [best_earlier(incoming, tables, block, key, text, least)]
+    elif similarity is None:
+        pairs = [matched(incoming, x, block, key, text, least) for x in tables]
     else:
         both = incoming.select(*block, key, text).join(theirs.select(*block, F.col(key).alias("match"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(sides)]), block)
         both = both.where(F.col("match") < F.col(key) if earlier else F.col(key) != F.col("match"))
@@ -40,20 +43,33 @@ def best_match(incoming: DataFrame, existing: DataFrame, block: list[str], key:
     return incoming.join(top, key, "left")
 
 
-def matched(incoming: DataFrame, existing: DataFrame, block: list[str], key: str, text: str, least: float, earlier: bool) -> DataFrame:
+def matched(incoming: DataFrame, existing: DataFrame, block: list[str], key: str, text: str, least: float) -> DataFrame:
     """(key, match, similarity): for each incoming row and each like text of another row, the smallest key with it."""
     left, ours = simjoin.texts(incoming, block, key, text)
-    right, owners = simjoin.texts(existing, block, key, text)
-    pairs = simjoin.similar(left, right, block, least, earlier)
-    pairs = ours.withColumnRenamed("node", "left_node").join(pairs, "left_node")
-    if earlier:
-        pairs = pairs.where(F.col("right_node") < F.col("_key")).withColumn("match", F.col("right_node"))
-    else:  # a row is not its own match; the text may have another row
-        second = owners.where("_key > node").groupBy(F.col("node").alias("right_node")).agg(F.min("_key").alias("second"))
-        pairs = pairs.join(second, "right_node", "left").withColumn("match", F.when(F.col("right_node") == F.col("_key"), F.col("second")).otherwise(F.col("right_node")))
+    right, owners = (left, ours) if existing is incoming else simjoin.texts(existing, block, key, text)
+    pairs = ours.withColumnRenamed("node", "left_node").join(simjoin.similar(left, right, block, least), "left_node")
+    # a row is not its own match; the text may have another row
+    second = owners.where("_key > node").groupBy(F.col("node").alias("right_node")).agg(F.min("_key").alias("second"))
+    pairs = pairs.join(second, "right_node", "left").withColumn("match", F.when(F.col("right_node") == F.col("_key"), F.col("second")).otherwise(F.col("right_node")))
     return pairs.where("match IS NOT NULL").select(F.col("_key").alias(key), "match", F.col("ratio").alias("similarity"))
 
 
+def best_earlier(incoming: DataFrame, existing: list[DataFrame], block: list[str], key: str, text: str, least: float) -> DataFrame:
+    """(key, match, similarity): for each incoming row the best of the like texts of rows with a smaller key, by any of
+    the tables ``existing``. Which one that is only changes with the key where a text is more alike than all that come
+    before it, so each text has a short list of those, and no row meets all of its like texts."""
+    left, ours = simjoin.texts(incoming, block, key, text)
+    rights = [left if x is incoming else simjoin.texts(x, block, key, text)[0] for x in existing]
+    pairs = reduce(DataFrame.unionByName, [simjoin.similar(left, x, block, least, earlier=True, best=True) for x in rights])
+    pairs = pairs.groupBy("left_node", "right_node").agg(F.max("ratio").alias("ratio"))
+    before = F.max("ratio").over(Window.partitionBy("left_node").orderBy("right_node").rowsBetween(Window.unboundedPreceding, -1))
+    steps = pairs.withColumn("_before", before).where("_before IS NULL OR ratio > _before")
+    steps = steps.groupBy("left_node").agg(F.sort_array(F.collect_list(F.struct(F.col("right_node").alias("match"), F.col("ratio").alias("similarity")))).alias("_steps"))
+    found = ours.join(steps, ours.node == steps.left_node)
+    found = found.withColumn("_best", F.try_element_at(F.filter("_steps", lambda x: x["match"] < F.col("_key")), F.lit(-1)))
+    return found.where("_best IS NOT NULL").select(F.col("_key").alias(key), "_best.match", "_best.similarity")
+
+
 def dedup_decision(similarity: Column) -> Column:
     return F.when(similarity > D.DUPLICATE_ABOVE, "discard").when(similarity >= D.MERGE_FROM, "merge").otherwise("store")
 
@@ -89,7 +105,8 @@ def contradictions(new: DataFrame, current: DataFrame, block: list[str], detect:
         b = current.select(*block, F.col("id").alias("old_id"), F.col("title").alias("_b"), F.col("content").alias("_bc"))
         pairs = a.join(b, block).where(F.col("new_id") != F.col("old_id"))
         return pairs.where(detect(F.col("_a"), F.col("_ac"), F.col("_b"), F.col("_bc"))).select("new_id", "old_id")
-    (left, ours), (right, theirs) = (simjoin.texts(x, block, "id", "title") for x in (new, current))
+    left, ours = simjoin.texts(new, block, "id", "title")
+    right, theirs = (left, ours) if new is current else simjoin.texts(current, block, "id", "title")
     pairs = simjoin.similar(left, right, block, D.CONTRADICTION_FROM)
     digest = lambda x, of: x.select(F.col("id").alias(of), F.sha2(strip(F.col("content")), 256).alias(f"_{of}"))
     pairs = pairs.join(ours.select(F.col("_key").alias("new_id"), F.col("node").alias("left_node")), "left_node")

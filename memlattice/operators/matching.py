@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domains as D
+from ..functions.similarity import Texts
 from ..functions.text import choose, strip
 from . import simjoin
 
@@ -141,12 +142,15 @@ def superseded(current: DataFrame, pairs: DataFrame, links: DataFrame, now: Colu
 
 
 class Stored:
-    """A block's stored memories, in the order in which they were stored: [key, title, text, both as compared]."""
+    """A block's stored memories, in the order in which they were stored: [key, title, text]. What bounds leave of them
+    is matched with a new one (``functions.similarity``)."""
 
     SPACE = " \t\n\r\f\v"
 
     def __init__(self, rows: Iterable[tuple[int, str, str]] = ()):
-        self.rows = [[k, head, body, self.whole(head, body)] for k, head, body in rows]
+        self.rows = [[k, head, body] for k, head, body in rows]
+        self.texts = Texts(self.whole(head, body) for _, head, body in self.rows)
+        self.matcher = SequenceMatcher(None)
 
     @classmethod
     def whole(cls, head: str, body: str) -> str:
@@ -156,22 +160,21 @@ class Stored:
         """(decision, key of the match) for a new memory, which is stored or merged accordingly: a merge adds its text
         to the stored one, and its title if that has none."""
         new, best, at = self.whole(head, body), 0.0, None
-        for i, (_, _, _, old) in enumerate(self.rows):
-            able = lambda x: x >= D.MERGE_FROM and x > best  # noqa: E731, B023  less than that is no match
-            if not able(2.0 * min(len(new), len(old)) / (len(new) + len(old)) if new or old else 1.0):
-                continue
-            m = SequenceMatcher(None, new, old)
-            if able(m.quick_ratio()) and able(s := m.ratio()):
+        for i in self.texts.reach(new, D.MERGE_FROM).tolist():  # less than that is no match
+            self.matcher.set_seqs(new, self.texts.texts[i])
+            if (s := self.matcher.ratio()) >= D.MERGE_FROM and s > best:
                 best, at = s, i
         if at is None:
-            self.rows.append([key, head, body, new])
+            self.rows.append([key, head, body])
+            self.texts.extend([new])
             return "store", None
-        match, title, text, _ = self.rows[at]
+        match, title, text = self.rows[at]
         if best > D.DUPLICATE_ABOVE:
             return "discard", match
         old, add = text.strip(self.SPACE), body.strip(self.SPACE)
         old = f"{old}\n\n{add}".strip(self.SPACE) if add and add not in old else old
-        self.rows[at] = [match, title or head, old, self.whole(title or head, old)]
+        self.rows[at] = [match, title or head, old]
+        self.texts.replace(at, self.whole(title or head, old))
         return "merge", match
 
 

@@ -25,7 +25,7 @@ def sequential(incoming: DataFrame, block: list[str], key: str, text: str, title
             stored = Stored(had)
             new = sorted(((int(i), h or "", b or "") for x in rows for i, h, b in x.iloc[:, :3].itertuples(index=False)), key=lambda r: r[0])
             out = [(*k, i, *stored.take(i, head, body)) for i, head, body in new]
-            for place, (i, head, body, _) in enumerate(stored.rows):
+            for place, (i, head, body) in enumerate(stored.rows):
                 if place >= len(had) or (head, body) != tuple(had[place][1:]):
                     self.state.updateValue((place,), (i, head, body))
             yield pd.DataFrame(out, columns=[*block, key, "decision", "match"], dtype=object)

@@ -28,10 +28,11 @@ def candidates(df: DataFrame, user: int | None = None, organization: str | None
     )
 
 
-def with_terms(df: DataFrame) -> DataFrame:
+def with_terms(df: DataFrame, asked: Column | None = None) -> DataFrame:
     """``df`` with the ``terms`` of each memory, to be taken before it is joined with queries: once a memory, and its
-    text need not travel."""
-    return df.withColumn("terms", text.terms(F.concat_ws(" ", "title", "content", F.concat_ws(" ", "tags"))))
+    text need not travel. With ``asked``, terms of all queries, only those of them that the memory has."""
+    own = text.terms(F.concat_ws(" ", "title", "content", F.concat_ws(" ", "tags")))
+    return df.withColumn("terms", own if asked is None else F.array_intersect(own, asked))
 
 
 def scored(df: DataFrame, query_terms: Column, query_vector: Column, linked: Column, now: Column) -> DataFrame:

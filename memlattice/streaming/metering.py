@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ from pyspark.sql import types as T
 from ..operators.scans import insert_new, upsert
 from ..sources.scratch import Scratch, folder
 
+#: Buckets of keys whose idempotency is kept together.
+BUCKETS = 1024
+
 EVENT = T.StructType([T.StructField(n, k) for n, k in (("event_id", T.LongType()), ("tenant_id", T.LongType()), ("actor_id", T.LongType()), ("event_type", T.StringType()), ("recorded_at", T.TimestampType()))])
 
 
@@ -50,43 +54,73 @@ def idempotent(events: DataFrame, *keys: str, tie: str = "event_id", ts: str = "
     """(tie, keys): the first event of each key, and the first that comes its lifetime of ``hours`` or more after the
     one let through before. The time of the last accepted event is the key's state, so a key lives on over batches.
 
-    The state of a key goes when the watermark passes the end of its lifetime, from when any event would be let through
-    anyway. Events of a batch are taken in order of time; batches should be, too, but for ``late``: events later than
-    that are dropped."""
+    Keys are dealt into ``BUCKETS`` by their hash, whose states are read and written as one each: what a batch costs
+    beside its events is a few calls a bucket, not a key. A key leaves its bucket when the watermark passes the end of
+    its lifetime, from when any event would be let through anyway. Events of a batch are taken in order of time; batches
+    should be, too, but for ``late``: events later than that are dropped."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    life, kinds = hours * 3_600_000_000, dict(events.dtypes)
+    life, kinds, names = hours * 3_600_000_000, dict(events.dtypes), [f"_k{n}" for n in range(len(keys))]
+    ends = lambda last: -(-(last + life) // 1000)  # noqa: E731  in milliseconds
 
     class First(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle, self.state = handle, handle.getValueState("last", "at long")
+            self.handle, self.state = handle, handle.getValueState("bucket", "last binary")
+
+        def read(self) -> dict[tuple, int]:
+            return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else {}
+
+        def write(self, last: dict[tuple, int]) -> None:
+            """The bucket's state, with a timer for the key that goes first."""
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            if last:
+                self.state.update((pickle.dumps(last),))
+                self.handle.registerTimer(ends(min(last.values())))
+            else:
+                self.state.clear()
 
         def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            last = self.state.get()[0] if self.state.exists() else None
-            at, ids = in_order(rows, 0, 1, None if last is None else last + life)
-            kept, i, before = [], 0, last
-            while i < len(at):
-                if last is None or at[i] - last >= life:
-                    last = int(at[i])
-                    kept.append(ids[i])
-                i = max(i + 1, int(np.searchsorted(at, last + life)))
-            if last != before:
-                self.state.update((last,))
-                for old in self.handle.listTimers():
-                    self.handle.deleteTimer(old)
-                self.handle.registerTimer(-(-(last + life) // 1000))
+            df, state, changed, kept = pd.concat([x.iloc[:, : 2 + len(names)] for x in rows], ignore_index=True), self.read(), False, []
+            at, ids = df.iloc[:, 0].to_numpy(), df.iloc[:, 1].to_numpy()
+            number, texts = np.zeros(len(df), np.int64), []
+            for n in range(len(names)):
+                codes, values = pd.factorize(df.iloc[:, 2 + n], use_na_sentinel=False)
+                number = pd.factorize(number * len(values) + codes)[0]
+                plain = [None if pd.isna(x) else x for x in values]
+                texts.append([plain[c] for c in codes])
+            order = np.lexsort((ids, at, number))
+            cuts = np.flatnonzero(np.diff(number[order], prepend=-1))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+                mine, key = order[lo:hi], tuple(x[order[lo]] for x in texts)
+                times, last = at[mine], state.get(key)
+                i = 0 if last is None else int(np.searchsorted(times, last + life))
+                while i < len(times):
+                    last = int(times[i])
+                    kept.append((ids[mine[i]], *key))
+                    i = max(i + 1, int(np.searchsorted(times, last + life)))
+                if last != state.get(key):
+                    state[key], changed = last, True
+            if changed:
+                self.write(state)
             if kept:
-                yield pd.DataFrame({tie: kept, **{name: pd.Series([v] * len(kept), dtype=object) for name, v in zip(keys, k)}})
+                columns = list(zip(*kept))
+                yield pd.DataFrame({tie: columns[0], **{name: pd.Series(c, dtype=object) for name, c in zip(names, columns[1:])}})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self.state.clear()
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            self.write({k: last for k, last in self.read().items() if ends(last) > now})
             return iter([])
 
         def close(self) -> None:
             pass
 
-    rows = events.withWatermark(ts, late).select(F.unix_micros(ts).alias("_at"), tie, *keys, ts)
-    return rows.groupBy(*keys).transformWithStateInPandas(First(), ", ".join(f"{c} {kinds[c]}" for c in (tie, *keys)), "append", "EventTime")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
+    texts = [F.col(c).cast("string").alias(name) for c, name in zip(keys, names)]
+    rows = events.withWatermark(ts, late).select(F.unix_micros(ts).alias("_at"), tie, *texts, bucket, ts)
+    shape = ", ".join([f"{tie} {kinds[tie]}", *(f"{name} string" for name in names)])
+    out = rows.groupBy("_bucket").transformWithStateInPandas(First(), shape, "append", "EventTime")
+    return out.select(tie, *[F.col(name).cast(kinds[c]).alias(c) for c, name in zip(keys, names)])
 
 
 def route(good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
